@@ -1,4 +1,617 @@
-"""Registered queries and their SQL."""
+"""The registered queries of the network operators, each with SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.functions import text
+from netloom.operators import clean, clusters, evaluation, fusion, ga, graph, idmap, similarity, tabu
+from netloom.operators.rng import uniform
+from netloom.plans import fixtures as fx
+from netloom.plans.fixtures import table, with_
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+# Cleaning
+
+
+@query("""SELECT c_name AS protein1, s_name AS protein2, n FROM (SELECT o_custkey, l_suppkey, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
+JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey % 3 = 1 AND s_nationkey % 3 = 1""")
+def clean_same_taxon(spark, d):
+    n = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = rows.select(F.col("c_name").alias("protein1"), F.col("s_name").alias("protein2"), "n", F.concat(F.lit("taxid:"), (F.col("c_nationkey") % 3).cast("string")).alias("ta"), F.concat(F.lit("taxid:"), (F.col("s_nationkey") % 3).cast("string")).alias("tb"))
+    return clean.same_taxon(rows, "ta", "tb", "taxid:1").drop("ta", "tb")
+
+
+_LINKS = "SELECT p_partkey, p_size * 20 AS combined_score, CASE WHEN p_size % 5 > 0 THEN p_size * 2 END AS experimental, p_size + 30 AS coexpression, p_partkey % 100 AS \"database\", 50 AS textmining FROM part"
+
+
+@query(f"SELECT p_partkey FROM ({_LINKS}) WHERE combined_score >= 700 AND greatest(experimental, coexpression, \"database\", textmining) > 90")
+def clean_supported_links(spark, d):
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select("p_partkey", (size * 20).alias("combined_score"), F.when(size % 5 > 0, size * 2).alias("experimental"), (size + 30).alias("coexpression"), (F.col("p_partkey") % 100).cast("int").alias("database"), F.lit(50).alias("textmining"))
+    return clean.supported_links(rows).select("p_partkey")
+
+
+@query(with_("links", "x AS (SELECT nullif(protein1, protein2) AS a, protein2 AS b, row_id FROM links)") + "SELECT row_id FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b")
+def clean_proper_pairs(spark, d):
+    rows = fx.part_links(spark, d).select(F.nullif("protein1", "protein2").alias("protein1"), "protein2", "row_id")
+    return clean.proper_pairs(rows).select("row_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE CAST(l_discount * 10 AS VARCHAR) END AS c FROM lineitem) WHERE c IS NULL OR try_cast(c AS DOUBLE) > 0.8")
+def clean_confidence(spark, d):
+    k = F.col("l_linenumber") % 4
+    rows = table(spark, d, "lineitem").withColumn("confidence", F.when(k == 0, F.lit(None)).when(k == 1, "x").otherwise((F.col("l_discount") * 10).cast("string")))
+    return clean.confident(rows).select("l_orderkey", "l_linenumber")
+
+
+def _evidence(spark, d, species):
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select(
+        "p_partkey",
+        F.when(size % 2 == 0, F.lit("X-ray crystallography|psi-mi:x")).otherwise(F.concat(F.lit("pull down|"), "p_type")).alias("Method"),
+        F.when(size % 3 == 0, F.lit("psi-mi:only")).when(size % 3 == 1, F.lit("Physical Association|complex")).alias("IntType"),
+        F.when(size % 4 > 0, F.concat("p_brand", F.repeat(F.lit("|x"), (size % 4).cast("int")))).alias("PubIDs"),
+    )
+    return clean.evidence(rows, species).select("p_partkey", *[F.col(c).cast("long").alias(c) for c in ("MethodScore", "TypeScore", "PubCount", "Total")])
+
+
+def _evidence_sql(xray: int, pull: int, assoc: int, pubs: str) -> str:
+    return f"""SELECT p_partkey, m AS "MethodScore", t AS "TypeScore", n AS "PubCount", 3 * m + 2 * t + n AS "Total" FROM (SELECT p_partkey,
+(CASE WHEN p_size % 2 = 0 THEN {xray} ELSE {pull} END)::BIGINT AS m, (CASE WHEN p_size % 3 = 1 THEN {assoc} ELSE 1 END)::BIGINT AS t,
+(CASE WHEN p_size % 4 > 0 THEN p_size % 4 + 1 ELSE {pubs} END)::BIGINT AS n FROM part)"""
+
+
+@query(_evidence_sql(10, 3, 4, "1"))
+def clean_evidence_yeast(spark, d):
+    return _evidence(spark, d, "yeast")
+
+
+@query(_evidence_sql(4, 2, 2, "NULL"))
+def clean_evidence_human(spark, d):
+    return _evidence(spark, d, "human")
+
+
+@query(with_("links", "k AS (SELECT *, row_number() OVER (PARTITION BY least(protein1, protein2), greatest(protein1, protein2) ORDER BY row_id, protein1, protein2, score) AS r FROM links)") + "SELECT protein1, protein2, row_id, score FROM k WHERE r = 1")
+def clean_undirected_first(spark, d):
+    return clean.undirected_first(fx.part_links(spark, d), "row_id")
+
+
+@query(with_("links", "k AS (SELECT *, row_number() OVER (PARTITION BY least(protein1, protein2), greatest(protein1, protein2) ORDER BY score DESC, row_id, protein1, protein2) AS r FROM links)") + "SELECT protein1, protein2, row_id, score FROM k WHERE r = 1")
+def clean_undirected_best(spark, d):
+    return clean.undirected_best(fx.part_links(spark, d), "score", "row_id")
+
+
+@query(with_("links") + "SELECT DISTINCT least(protein1, protein2) AS protein1, greatest(protein1, protein2) AS protein2 FROM links")
+def clean_pair_set(spark, d):
+    return clean.pair_set(fx.part_links(spark, d))
+
+
+@query("SELECT DISTINCT upper(trim(l_returnflag)) AS flag, l_linestatus, l_quantity FROM lineitem")
+def clean_distinct_rows(spark, d):
+    return table(spark, d, "lineitem").select(F.upper(text.strip(F.col("l_returnflag"))).alias("flag"), "l_linestatus", "l_quantity").dropDuplicates()
+
+
+@query(with_("links") + "SELECT protein1, protein2, row_id FROM links ORDER BY score DESC, row_id LIMIT 500")
+def clean_top(spark, d):
+    return clean.top(fx.part_links(spark, d), 500, [F.desc("score"), F.asc("row_id")]).select("protein1", "protein2", "row_id")
+
+
+@query(with_("links", """c AS (SELECT count(*) AS n, count(*) FILTER (score = (SELECT max(score) FROM links)) AS c1, 1000 AS t FROM links),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_id) AS r, max(score) OVER () AS top FROM links)""") + "SELECT protein1, protein2, row_id FROM k, c WHERE n <= t OR (c1 > t AND n <= 1.2 * t) OR (c1 <= t AND c1 >= 0.8 * t AND score = top) OR (((c1 > t AND n > 1.2 * t) OR c1 < 0.8 * t) AND r <= t)")
+def clean_dynamic_cut(spark, d):
+    return clean.dynamic_cut(fx.part_links(spark, d), "score", "row_id", 1000).select("protein1", "protein2", "row_id")
+
+
+@query(with_("links") + "SELECT protein1 AS protein FROM links UNION SELECT protein2 FROM links ORDER BY protein")
+def clean_nodes(spark, d):
+    return clean.nodes(fx.part_links(spark, d)).orderBy("protein")
+
+
+@query(with_("links") + "SELECT count(*) AS total, count(*) FILTER (score > 25) AS same_taxon, count(*) FILTER (score > 25 AND row_id % 3 > 0) AS named, count(*) FILTER (score > 25 AND row_id % 3 > 0 AND protein1 <> protein2) AS proper FROM links")
+def clean_stage_counts(spark, d):
+    kind = F.when(F.col("score") > 25, "t").otherwise("u")
+    rows = fx.part_links(spark, d).withColumns({"taxon_a": kind, "taxon_b": kind, "protein1": F.when(F.col("row_id") % 3 > 0, F.col("protein1"))})
+    return clean.stage_counts(rows, taxon="t")
+
+
+@query("SELECT min(l_extendedprice) AS min_score, max(l_extendedprice) AS max_score, round(avg(l_extendedprice), 4) AS mean_score FROM lineitem")
+def clean_score_summary(spark, d):
+    return rounded(clean.score_summary(table(spark, d, "lineitem"), "l_extendedprice"), "mean_score", digits=4)
+
+
+@query(with_("links") + "SELECT row_id FROM links WHERE protein1 IN (SELECT p_name FROM part WHERE p_size > 40)")
+def clean_only_known(spark, d):
+    return clean.only(fx.part_links(spark, d), "protein1", table(spark, d, "part").where("p_size > 40"), "p_name").select("row_id")
+
+
+@query(with_("links") + "SELECT DISTINCT protein2 FROM links WHERE protein2 NOT IN (SELECT p_name FROM part)")
+def clean_missing(spark, d):
+    return clean.missing(fx.part_links(spark, d), "protein2", table(spark, d, "part"), "p_name")
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part WHERE p_size % 7 > 0 AND p_partkey % 11 > 0")
+def clean_complete_rows(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 7 > 0, F.col("p_size").cast("string")).alias("a"), F.when(F.col("p_partkey") % 11 > 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("b"))
+    return clean.complete_rows(rows, "p_partkey", ["a", "b"])
+
+
+@query("SELECT p_brand AS protein, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r = 1")
+def clean_first_row(spark, d):
+    return clean.first_row(table(spark, d, "part").select(F.col("p_brand").alias("protein"), "p_partkey", "p_name"), "protein", "p_partkey")
+
+
+# Text functions
+
+
+@query(r"""SELECT c_custkey, upper(coalesce(nullif(regexp_extract(x, '(?i)uniprot/swiss[\W-]?prot:([A-Z0-9]{6,10})', 1), ''), nullif(regexp_extract(x, '(?i)uniprot:([A-Z0-9]{6,10})', 1), ''), nullif(regexp_extract(x, '(?i)swiss[\W-]?prot:([A-Z0-9]{6,10})', 1), ''), nullif(regexp_extract(x, '(?i)([A-Z0-9]{6,10})\.\d', 1), ''))) AS acc
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'a|uniprot/swiss-prot:p' || (10000 + c_custkey) WHEN 1 THEN 'UniProt:q' || (10000 + c_custkey) WHEN 2 THEN 'swissprot:O' || (10000 + c_custkey) WHEN 3 THEN 'x' || (10000 + c_custkey) || '.2' ELSE c_name END AS x FROM customer)""")
+def text_accession(spark, d):
+    k, n = F.col("c_custkey") % 5, (F.col("c_custkey") + 10000).cast("string")
+    x = F.when(k == 0, F.concat(F.lit("a|uniprot/swiss-prot:p"), n)).when(k == 1, F.concat(F.lit("UniProt:q"), n)).when(k == 2, F.concat(F.lit("swissprot:O"), n)).when(k == 3, F.concat(F.lit("x"), n, F.lit(".2"))).otherwise(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", text.accession(x, text.ACCESSION_PATTERNS["yeast"], True).alias("acc"))
+
+
+@query(r"""SELECT page_id, replace(url, 'http://', '') AS bare, split_part(url, '.', 2) AS second, split_part(url, '.', -1) AS last, len(string_split(url, '/')) - 1 AS slashes, upper(url) LIKE 'HTTPS%' AS secure FROM pages""")
+def text_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", text.without(u, "http://").alias("bare"), text.dotted_part(u, 2).alias("second"), text.dotted_part(u, -1).alias("last"), F.regexp_count(u, F.lit("/")).cast("long").alias("slashes"), F.startswith(F.upper(u), F.lit("HTTPS")).alias("secure"))
+
+
+@query("SELECT p_partkey, unnest(regexp_extract_all(x, 'GO:\\d+')) AS term FROM (SELECT p_partkey, p_name || ' GO:' || (p_size % 9) || '; GO:x GO:' || p_partkey AS x FROM part)")
+def text_go_terms(spark, d):
+    x = F.concat("p_name", F.lit(" GO:"), (F.col("p_size") % 9).cast("string"), F.lit("; GO:x GO:"), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.explode(text.go_terms(x)).alias("term"))
+
+
+@query("SELECT p_partkey, regexp_matches(x, '^Y[A-Z]{2}\\d{3}[A-Z]?$') AS locus, try_cast(y AS DOUBLE) AS n FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'YAL00' || p_size % 10 || 'W' WHEN 1 THEN 'YBR123' ELSE 'YAL001W-A' END AS x, CASE p_size % 2 WHEN 0 THEN p_size || '.5' ELSE 'bad' END AS y FROM part)")
+def text_patterns(spark, d):
+    s = F.col("p_size")
+    x = F.when(s % 3 == 0, F.concat(F.lit("YAL00"), (s % 10).cast("string"), F.lit("W"))).when(s % 3 == 1, "YBR123").otherwise("YAL001W-A")
+    y = F.when(s % 2 == 0, F.concat(s.cast("string"), F.lit(".5"))).otherwise("bad")
+    return table(spark, d, "part").select("p_partkey", text.is_locus(x).alias("locus"), text.number(y).alias("n"))
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform(string_split(x, ';'), lambda v: trim(v)), lambda v: v <> ''))) AS items FROM (SELECT p_partkey, p_brand || '; ' || p_type || ';;' || p_brand || ' ;' AS x FROM part)")
+def text_members(spark, d):
+    x = F.concat("p_brand", F.lit("; "), "p_type", F.lit(";;"), "p_brand", F.lit(" ;"))
+    return table(spark, d, "part").select("p_partkey", F.sort_array(text.members(x, ";")).alias("items"))
+
+
+# Identifier mapping
+
+
+_TO = "t AS (SELECT db_id AS key, arg_min(uniprot, line_no) AS \"to\" FROM idmap WHERE db = 'Gene_Name' GROUP BY 1)"
+
+
+@query(with_("links idmap", _TO) + 'SELECT x."to" AS protein1, y."to" AS protein2, row_id FROM links JOIN t x ON protein1 = x.key JOIN t y ON protein2 = y.key')
+def idmap_inner(spark, d):
+    t = idmap.lookup(fx.idmap(spark, d), "Gene_Name")
+    return idmap.map_edges(fx.part_links(spark, d).drop("score"), t).select("protein1", "protein2", "row_id")
+
+
+@query(with_("links idmap", _TO) + 'SELECT coalesce(x."to", protein1) AS protein1, coalesce(y."to", protein2) AS protein2, row_id FROM links LEFT JOIN t x ON protein1 = x.key LEFT JOIN t y ON protein2 = y.key')
+def idmap_keep(spark, d):
+    t = idmap.lookup(fx.idmap(spark, d), "Gene_Name")
+    return idmap.map_edges(fx.part_links(spark, d).drop("score"), t, "keep").select("protein1", "protein2", "row_id")
+
+
+@query(with_("idmap") + """SELECT db, db_id, arg_min(uniprot, line_no) AS first, arg_max(uniprot, line_no) AS last FROM idmap WHERE db IN ('ORF', 'Gene_OrderedLocusName') GROUP BY 1, 2""")
+def idmap_first_last(spark, d):
+    m = fx.idmap(spark, d)
+    out = None
+    for db in ("ORF", "Gene_OrderedLocusName"):
+        both = idmap.lookup(m, db, name="first").join(idmap.lookup(m, db, keep="last", name="last"), "key").select(F.lit(db).alias("db"), F.col("key").alias("db_id"), "first", "last")
+        out = both if out is None else out.union(both)
+    return out
+
+
+@query(with_("idmap", """asked AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || '/' || p_size WHEN 1 THEN p_brand || '-' || p_size WHEN 2 THEN upper(p_name) ELSE 'unknown' END AS x FROM part),
+l AS (SELECT db_id AS key, arg_min(uniprot, line_no) AS v FROM idmap WHERE db = 'Gene_OrderedLocusName' GROUP BY 1), o AS (SELECT db_id AS key, arg_min(uniprot, line_no) AS v FROM idmap WHERE db = 'ORF' GROUP BY 1), n AS (SELECT upper(db_id) AS key, arg_min(uniprot, line_no) AS v FROM idmap WHERE db = 'Gene_Name' GROUP BY 1)""") + "SELECT p_partkey, x, coalesce(l.v, o.v, n.v) AS mapped FROM asked LEFT JOIN l ON x = l.key LEFT JOIN o ON x = o.key LEFT JOIN n ON upper(x) = n.key")
+def idmap_cascade(spark, d):
+    k, p = F.col("p_partkey") % 4, table(spark, d, "part")
+    x = F.when(k == 0, F.concat("p_type", F.lit("/"), F.col("p_size").cast("string"))).when(k == 1, F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).when(k == 2, F.upper("p_name")).otherwise("unknown")
+    return idmap.expression_lookup(p.select("p_partkey", x.alias("x")), "x", fx.idmap(spark, d), "yeast")
+
+
+_COMP = """asked AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'P' || p_partkey WHEN 1 THEN 'ENSP' || (p_partkey + 1) WHEN 2 THEN 'ENSP9' || p_partkey ELSE 'Q' || p_partkey END AS protein_id FROM part),
+own AS (SELECT DISTINCT uniprot FROM idmap), s AS (SELECT split_part(db_id, '.', -1) AS key, arg_max(uniprot, line_no) AS v FROM idmap WHERE db = 'STRING' GROUP BY 1), e AS (SELECT split_part(db_id, '.', 1) AS key, arg_max(uniprot, line_no) AS v FROM idmap WHERE db = 'Ensembl_PRO' GROUP BY 1),
+m AS (SELECT p_partkey, protein_id, coalesce(own.uniprot, s.v, e.v) AS u FROM asked LEFT JOIN own ON protein_id = own.uniprot LEFT JOIN s ON protein_id = s.key LEFT JOIN e ON protein_id = e.key)"""
+
+
+def _compartments(spark, d):
+    k, n = F.col("p_partkey") % 4, F.col("p_partkey")
+    x = F.when(k == 0, F.concat(F.lit("P"), n)).when(k == 1, F.concat(F.lit("ENSP"), n + 1)).when(k == 2, F.concat(F.lit("ENSP9"), n)).otherwise(F.concat(F.lit("Q"), n))
+    return idmap.map_compartments(table(spark, d, "part").select("p_partkey", x.alias("protein_id")), fx.idmap(spark, d), "human")
+
+
+@query(with_("idmap", _COMP) + """SELECT p_partkey, protein_id, u AS "Mapped_UniProtKB_ID", CASE WHEN u IS NULL THEN 'Failed' ELSE 'Success' END AS "Mapping_Status" FROM m""")
+def idmap_compartments(spark, d):
+    return _compartments(spark, d)
+
+
+@query(with_("idmap", _COMP) + "SELECT count(*) AS total, count(u) AS mapped, count(*) - count(u) AS unmapped, printf('%.1f%%', 100.0 * count(u) / count(*)) AS mapped_share, printf('%.1f%%', 100.0 * (count(*) - count(u)) / count(*)) AS unmapped_share FROM m")
+def idmap_stats(spark, d):
+    return idmap.mapping_stats(_compartments(spark, d))
+
+
+# Similarity
+
+
+_HCN = """deg AS (SELECT src, count(*) AS n FROM nb GROUP BY 1),
+com AS (SELECT pe.u, pe.v, count(b.dst) AS c FROM pe JOIN nb a ON a.src = pe.u JOIN nb b ON b.src = pe.v AND b.dst = a.dst GROUP BY 1, 2),
+x AS (SELECT pe.u, pe.v, coalesce(c, 0) AS c, p.n AS du, q.n AS dv FROM pe LEFT JOIN com ON pe.u = com.u AND pe.v = com.v JOIN deg p ON p.src = pe.u JOIN deg q ON q.src = pe.v)"""
+
+
+@query(with_("nb", _HCN) + 'SELECT u AS protein1, v AS protein2, round((c * c)::DOUBLE / (du * dv * (du + dv - c)), 9) AS "HCN_score", c AS common_neighbors, du AS degree_v, dv AS degree_u FROM x')
+def sim_hcn(spark, d):
+    return rounded(similarity.hcn(fx.part_edges(spark, d).select("u", "v")), "HCN_score")
+
+
+@query(with_("nb", _HCN) + "SELECT u AS protein1, v AS protein2, c AS common_neighbors, du AS degree_v, dv AS degree_u FROM x")
+def sim_hcn_triangles(spark, d):
+    return similarity.hcn(fx.part_edges(spark, d).select("u", "v"), array_degree=0).drop("HCN_score")
+
+
+@query("""SELECT a.vec_id AS protein1, b.vec_id AS protein2, round((corr(x, y) + 1) / 2, 6) AS "PCC" FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id,
+LATERAL (SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y) GROUP BY 1, 2""")
+def sim_pcc(spark, d):
+    e = table(spark, d, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("protein1"), "label").join(e.select(F.col("vec_id").alias("protein2"), "label"), "label").where("protein1 < protein2").select("protein1", "protein2")
+    return rounded(similarity.coexpression(pairs, e.select(F.col("vec_id").alias("protein"), F.col("embedding").alias("v"))), "PCC", digits=6)
+
+
+_OVERLAP = """n AS (SELECT protein, count(*) AS n FROM pt GROUP BY 1),
+s AS (SELECT protein1, protein2, count(*) AS s FROM pe2 JOIN pt a ON a.protein = protein1 JOIN pt b ON b.protein = protein2 AND b.term = a.term GROUP BY 1, 2),
+x AS (SELECT protein1, protein2, s, a.n AS n1, b.n AS n2 FROM s JOIN n a ON a.protein = protein1 JOIN n b ON b.protein = protein2)"""
+
+
+@query(with_("pe2 pt", _OVERLAP) + "SELECT protein1, protein2, round(s / sqrt((n1 * n2)::DOUBLE), 9) AS weight FROM x")
+def sim_cosine_sets(spark, d):
+    return rounded(similarity.annotation_cosine(fx.edges2(spark, d), fx.part_terms(spark, d)), "weight")
+
+
+@query(with_("pe2 pt", _OVERLAP) + "SELECT protein1, protein2, round((s * s)::DOUBLE / (n1 * n2), 9) AS weight FROM x")
+def sim_localization(spark, d):
+    return rounded(similarity.localization_edges(fx.edges2(spark, d), fx.part_terms(spark, d)), "weight")
+
+
+_LOC = """keyed AS (SELECT DISTINCT unnest([p_brand, upper(p_name)]) AS protein, p_type || (p_partkey % 50) AS term FROM part WHERE p_size % 5 >= 1),
+n AS (SELECT protein, count(*) AS n FROM keyed GROUP BY 1), s AS (SELECT a.protein AS protein1, b.protein AS protein2, count(*) AS s FROM keyed a JOIN keyed b ON a.term = b.term AND a.protein <= b.protein GROUP BY 1, 2)"""
+
+
+@query("WITH " + _LOC + " SELECT protein1, protein2, round((s * s)::DOUBLE / (a.n * b.n), 9) AS sim FROM s JOIN n a ON a.protein = protein1 JOIN n b ON b.protein = protein2")
+def sim_localization_matrix(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("protein_id"), F.col("p_name").alias("gene_name"), F.concat("p_type", (F.col("p_partkey") % 50).cast("string")).alias("go_term"), (F.col("p_size") % 5).cast("double").alias("score"))
+    return rounded(similarity.localization_matrix(similarity.localization_terms(rows)), "sim")
+
+
+# Fusion
+
+
+def _four(spark, d):
+    e = fx.edges2(spark, d)
+    a, b = F.col("protein1"), F.col("protein2")
+    w = F.col("w").cast("double")
+    return {
+        "fs": e.where((a + b) % 5 > 0).select(b.alias("protein1"), a.alias("protein2"), (w / 7).alias("weight")),
+        "sl": e.where(a % 4 > 0).select(a, b, F.when(b % 3 == 0, 0.0).otherwise(w / 3).alias("weight")),
+        "co": e.select(a, b, F.when((a + b) % 2 == 0, 0.0).otherwise(w / 9).alias("weight")),
+        "hcn": e.where(b % 7 > 0).select(a, b, F.when(a % 3 == 0, 0.0).otherwise(w / 11).alias("weight")),
+    }
+
+
+_FOUR = """f AS (SELECT protein1 AS a, protein2 AS b, CASE WHEN (protein1 + protein2) % 5 > 0 THEN w / 7.0::DOUBLE END AS fs, CASE WHEN protein1 % 4 > 0 THEN CASE WHEN protein2 % 3 = 0 THEN 0.0::DOUBLE ELSE w / 3.0::DOUBLE END END AS sl,
+CASE WHEN (protein1 + protein2) % 2 = 0 THEN 0.0::DOUBLE ELSE w / 9.0::DOUBLE END AS co, CASE WHEN protein2 % 7 > 0 THEN CASE WHEN protein1 % 3 = 0 THEN 0.0::DOUBLE ELSE w / 11.0::DOUBLE END END AS hcn FROM pe2)"""
+
+
+@query(with_("pe2", _FOUR) + "SELECT a AS protein1, b AS protein2, round((coalesce(fs, 0) + coalesce(sl, 0) + co + coalesce(hcn, 0)) / ((fs IS NOT NULL)::INT + (sl IS NOT NULL)::INT + 1 + (hcn IS NOT NULL)::INT), 9) AS weight FROM f")
+def fuse_union(spark, d):
+    return rounded(fusion.fuse_union(_four(spark, d)), "weight")
+
+
+_MEAN = "SELECT a AS protein1, b AS protein2, (fs + sl + co + hcn) / ((fs <> 0)::INT + (sl <> 0)::INT + (co <> 0)::INT + (hcn <> 0)::INT) AS mean_weight FROM f WHERE fs IS NOT NULL AND sl IS NOT NULL AND hcn IS NOT NULL AND fs + sl + co + hcn > 0"
+
+
+@query(with_("pe2", _FOUR) + f"SELECT protein1, protein2, round(mean_weight, 9) AS mean_weight FROM ({_MEAN})")
+def fuse_intersection(spark, d):
+    return rounded(fusion.fuse_intersection(_four(spark, d)), "mean_weight")
+
+
+@query(with_("pe2", _FOUR + f", m AS ({_MEAN}), n AS (SELECT count(*) AS k FROM (SELECT protein1 FROM m UNION SELECT protein2 FROM m))") + "SELECT any_value(k) AS proteins, count(*) AS interactions, round(avg(mean_weight), 9) AS mean_weight, round(count(*) / (any_value(k) * (any_value(k) - 1) / 2), 9) AS density FROM m, n")
+def fuse_network_stats(spark, d):
+    return rounded(graph.network_stats(fusion.fuse_intersection(_four(spark, d)), "mean_weight"), "mean_weight", "density")
+
+
+@query(with_("pe2", "a AS (SELECT protein1, protein2 FROM pe2 WHERE protein1 % 4 > 0), b AS (SELECT protein1, protein2 FROM pe2 WHERE protein2 % 7 > 0)") + "SELECT * FROM a INTERSECT SELECT * FROM b")
+def fuse_common_pairs(spark, d):
+    e = fx.edges2(spark, d)
+    return e.where("protein1 % 4 > 0").select("protein1", "protein2").intersect(e.where("protein2 % 7 > 0").select("protein1", "protein2"))
+
+
+# Graphs and groups
+
+
+@query(with_("nb") + "SELECT src AS node, count(*) AS degree FROM nb GROUP BY 1")
+def graph_degree(spark, d):
+    return graph.degrees(graph.symmetric(fx.part_edges(spark, d)))
+
+
+@query(with_("nb") + "SELECT count(*) // 2 AS interactions FROM nb")
+def graph_interactions(spark, d):
+    return graph.interaction_count(graph.symmetric(fx.part_edges(spark, d)))
+
+
+@query(with_("pe", "n AS (SELECT count(*) AS k FROM (SELECT u FROM pe UNION SELECT v FROM pe))") + "SELECT any_value(k) AS proteins, count(*) AS interactions, round(avg(w), 9) AS mean_weight, round(count(*) / (any_value(k) * (any_value(k) - 1) / 2), 9) AS density FROM pe, n")
+def graph_network_stats(spark, d):
+    return rounded(graph.network_stats(fx.part_edges(spark, d), "w", "u", "v"), "mean_weight", "density")
+
+
+_CONNECTED = """inner2 AS (SELECT b.complex_id, e.src, e.dst FROM baskets b JOIN nb2 e ON e.src = b.protein JOIN baskets c ON c.complex_id = b.complex_id AND c.protein = e.dst),
+start AS (SELECT complex_id, min(protein) AS s, count(*) AS size FROM baskets GROUP BY 1),
+reach AS (SELECT complex_id, s AS p FROM start UNION SELECT r.complex_id, i.dst FROM reach r JOIN inner2 i ON i.complex_id = r.complex_id AND i.src = r.p),
+con AS (SELECT start.complex_id, size, count(p) = size AS connected FROM start JOIN reach USING (complex_id) GROUP BY start.complex_id, size),
+st AS (SELECT b.complex_id, count(*) AS size, CASE WHEN count(*) < 3 THEN 'small' WHEN count(k.src) < count(*) THEN 'missing' WHEN bool_and(connected) THEN 'kept' ELSE 'disconnected' END AS status FROM baskets b JOIN con USING (complex_id) LEFT JOIN (SELECT DISTINCT src FROM nb2) k ON k.src = b.protein GROUP BY 1)"""
+
+
+def _both2(spark, d):
+    return graph.symmetric(fx.edges2(spark, d), "protein1", "protein2")
+
+
+@query(with_("nb2 baskets", _CONNECTED, True) + "SELECT complex_id, connected FROM con")
+def graph_connected_groups(spark, d):
+    return graph.connected_groups(fx.baskets(spark, d), _both2(spark, d))
+
+
+@query(with_("nb2 baskets", _CONNECTED, True) + "SELECT complex_id, size, status FROM st")
+def graph_filter_groups(spark, d):
+    return graph.filter_groups(fx.baskets(spark, d), _both2(spark, d))
+
+
+@query(with_("nb2 baskets", _CONNECTED, True) + "SELECT count(*) AS total, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'small') AS small, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'disconnected') AS disconnected FROM st")
+def graph_filter_counts(spark, d):
+    return graph.filter_counts(graph.filter_groups(fx.baskets(spark, d), _both2(spark, d)))
+
+
+@query(with_("baskets", "s AS (SELECT complex_id, count(*) AS size FROM baskets GROUP BY 1)") + "SELECT size, count(*) AS groups, round(count(*) / sum(count(*)) OVER (), 9) AS share, round(sum(size * count(*)) OVER () / sum(count(*)) OVER (), 9) AS mean_size FROM s GROUP BY size")
+def graph_group_sizes(spark, d):
+    return rounded(graph.size_distribution(fx.baskets(spark, d)), "share", "mean_size")
+
+
+@query(with_("baskets") + "SELECT protein, count(*) AS groups FROM baskets GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def graph_frequent_members(spark, d):
+    return graph.frequent_members(fx.baskets(spark, d))
+
+
+@query(with_("det", "m AS (SELECT cid AS complex_id, p % 4 AS protein FROM det), g AS (SELECT complex_id, array_to_string(list_sort(list(DISTINCT protein)), ';') AS proteins FROM m GROUP BY 1)") + "SELECT proteins, min(complex_id) AS complex_id FROM g GROUP BY 1")
+def graph_unique_groups(spark, d):
+    m = fx.supplier_groups(spark, d, 0).select(F.col("cid").alias("complex_id"), (F.col("p") % 4).alias("protein"))
+    return graph.unique_groups(m, "complex_id")
+
+
+# Clusters
+
+
+_CL = """m AS (SELECT cid AS cluster_id, p AS protein FROM det),
+e AS (SELECT m.cluster_id, weight, k.protein IS NOT NULL AS here FROM m JOIN adj ON src = m.protein LEFT JOIN m k ON k.cluster_id = m.cluster_id AND k.protein = dst),
+t AS (SELECT s.cluster_id, n, coalesce(win, 0) AS win, coalesce(wout, 0) AS wout, coalesce(ein, 0) AS ein, coalesce(eout, 0) AS eout FROM (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1) s LEFT JOIN (SELECT cluster_id, sum(weight) FILTER (here) AS win, sum(weight) FILTER (NOT here) AS wout, count(*) FILTER (here) AS ein, count(*) FILTER (NOT here) AS eout FROM e GROUP BY 1) x ON x.cluster_id = s.cluster_id),
+b AS (SELECT cluster_id, n, coalesce(win / nullif(win + wout, 0), 0) AS cohesiveness, CASE WHEN n > 1 THEN 2 * win / (n * (n - 1)) ELSE 0 END AS density, coalesce(win / nullif(ein, 0), 0) AS aiew, coalesce(wout / nullif(eout, 0), 0) AS abew FROM t),
+q AS (SELECT *, coalesce(aiew / nullif(aiew + abew, 0), 0) AS awm FROM b), ff AS (SELECT *, cohesiveness + density + aiew - abew + awm AS ff FROM q)"""
+_PARTS = ("cohesiveness", "density", "aiew", "abew", "awm", "ff")
+
+
+def _clusters(spark, d):
+    return fx.supplier_groups(spark, d, 0).select(F.col("cid").alias("cluster_id"), F.col("p").alias("protein"))
+
+
+@query(with_("adj det", _CL) + "SELECT cluster_id, n, " + ", ".join(f"round({c}, 9) AS {c}" for c in _PARTS) + " FROM ff")
+def cluster_metrics(spark, d):
+    return rounded(clusters.cluster_metrics(_clusters(spark, d), fx.supplier_graph(spark, d)), *_PARTS)
+
+
+@query(with_("adj det", _CL) + "SELECT (cluster_id // 10) % 5 AS individual_id, round(sum(ff), 6) AS fs FROM ff GROUP BY 1")
+def cluster_individuals(spark, d):
+    own = _clusters(spark, d).withColumn("individual_id", F.floor(F.col("cluster_id") / 10) % 5)
+    return rounded(clusters.individual_fitness(own, fx.supplier_graph(spark, d)), "fs", digits=6)
+
+
+@query()
+def cluster_local_search(spark, d):
+    return clusters.local_search(_clusters(spark, d).where("cluster_id % 200 = 0"), fx.supplier_graph(spark, d), 3)
+
+
+# Evaluation
+
+
+_EV = """nd AS (SELECT cid, count(*) AS n FROM det GROUP BY 1), nk AS (SELECT cid, count(*) AS n FROM kno GROUP BY 1),
+s AS (SELECT d.cid AS did, k.cid AS kid, count(*) AS s FROM det d JOIN kno k ON d.p = k.p GROUP BY 1, 2),
+x AS (SELECT did, kid, s, a.n AS nd, b.n AS nk, (s * s)::DOUBLE / (a.n * b.n) AS o, s::DOUBLE / (a.n + b.n - s) AS j FROM s JOIN nd a ON a.cid = did JOIN nk b ON b.cid = kid),
+z AS (SELECT (SELECT count(*) FROM nd)::DOUBLE AS d, (SELECT count(*) FROM nk)::DOUBLE AS k, (SELECT count(DISTINCT did) FROM x WHERE o >= 0.2)::DOUBLE AS tp),
+pr AS (SELECT tp / d AS p, tp / k AS r FROM z),
+cov AS (SELECT count(DISTINCT p) / (SELECT count(DISTINCT p) FROM kno)::DOUBLE AS coverage FROM kno WHERE cid IN (SELECT kid FROM s)),
+best AS (SELECT *, row_number() OVER (PARTITION BY kid ORDER BY o DESC, did) AS r FROM x),
+con AS (SELECT cid, array_to_string(list_sort(list(p::VARCHAR)), ',') AS c FROM det GROUP BY 1),
+tk AS (SELECT o, row_number() OVER (PARTITION BY c ORDER BY kid) AS r FROM best JOIN con ON cid = did WHERE r = 1),
+mm AS (SELECT sum(o) / (SELECT k FROM z) AS mmr FROM tk WHERE r = 1),
+jj AS (SELECT (SELECT sum(m) FROM (SELECT max(j) AS m FROM x GROUP BY did)) / d AS jc, (SELECT sum(m) FROM (SELECT max(j) AS m FROM x GROUP BY kid)) / k AS jg FROM z)"""
+
+
+def _groups(spark, d):
+    return fx.supplier_groups(spark, d, 0), fx.supplier_groups(spark, d, 1)
+
+
+@query(with_("det kno", _EV) + "SELECT did, kid, s AS shared, round(o, 9) AS overlap, round(j, 9) AS jaccard FROM x")
+def eval_overlaps(spark, d):
+    pairs = evaluation.overlaps(*_groups(spark, d))
+    return rounded(pairs.select("did", "kid", "shared", evaluation.overlap_score().alias("overlap"), evaluation.jaccard().alias("jaccard")), "overlap", "jaccard")
+
+
+@query(with_("det kno", _EV) + 'SELECT round(p, 9) AS "precision", round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f_measure FROM pr')
+def eval_precision_recall(spark, d):
+    return rounded(evaluation.precision_recall(*_groups(spark, d)), "precision", "recall", "f_measure")
+
+
+@query(with_("det kno", _EV) + "SELECT round(coverage, 9) AS coverage FROM cov")
+def eval_coverage(spark, d):
+    return rounded(evaluation.coverage_rate(*_groups(spark, d)), "coverage")
+
+
+@query(with_("det kno", _EV) + "SELECT round(sqrt(p * r), 9) AS accuracy FROM pr")
+def eval_accuracy(spark, d):
+    return rounded(evaluation.accuracy(*_groups(spark, d)), "accuracy")
+
+
+@query(with_("det kno", _EV) + "SELECT round(mmr, 9) AS mmr FROM mm")
+def eval_mmr(spark, d):
+    return rounded(evaluation.matching_ratio(*_groups(spark, d)), "mmr")
+
+
+@query(with_("det kno", _EV) + "SELECT round(jc, 9) AS jc, round(jg, 9) AS jg, round(2 * jc * jg / (jc + jg), 9) AS jaccard FROM jj")
+def eval_jaccard(spark, d):
+    return rounded(evaluation.jaccard_index(*_groups(spark, d)), "jc", "jg", "jaccard")
+
+
+_TOTAL = ("f_measure", "accuracy", "coverage", "mmr", "jaccard", "total")
+
+
+@query(with_("det kno", _EV + ", y AS (SELECT 2 * p * r / (p + r) AS f_measure, sqrt(p * r) AS accuracy, coverage, mmr, 2 * jc * jg / (jc + jg) AS jaccard FROM pr, cov, mm, jj)") + "SELECT " + ", ".join(f"round({c}, 9) AS {c}" for c in _TOTAL[:5]) + ", round(f_measure + coverage + accuracy + mmr + jaccard, 9) AS total FROM y")
+def eval_total(spark, d):
+    return rounded(evaluation.total_score(*_groups(spark, d)), *_TOTAL)
+
+
+# Genetic algorithm
+
+_FIT = "ev AS (SELECT *, -list_sum(list_transform(genes, lambda g: g * g)) AS fitness FROM pop)"
+
+
+def sphere(genes):
+    """The negative sum of squares."""
+    return -F.aggregate(genes, F.lit(0.0), lambda a, g: a + g * g)
+
+
+def _evaluated(spark, d):
+    return ga.evaluate(fx.population(spark, d), sphere)
+
+
+@query(with_("pop", _FIT) + "SELECT island, count(*) AS n, round(max(fitness), 9) AS best, round(avg(fitness), 9) AS avg, first(idx ORDER BY fitness DESC, idx) AS best_idx FROM ev GROUP BY 1")
+def ga_summary(spark, d):
+    return rounded(ga.summary(_evaluated(spark, d)), "best", "avg")
+
+
+@query(with_("pop", _FIT) + "SELECT island, idx, round(fitness / max(fitness) OVER (PARTITION BY island), 9) AS normalised FROM ev")
+def ga_normalised(spark, d):
+    return rounded(ga.normalised(_evaluated(spark, d)).select("island", "idx", "normalised"), "normalised")
+
+
+def _u(*parts: str) -> str:
+    return "(('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _drawn(purpose: str) -> str:
+    return f"""(SELECT island, slot, first(genes ORDER BY fitness DESC, idx) AS genes FROM (SELECT s.island, s.idx AS slot, p.idx, p.genes, p.fitness FROM ev s CROSS JOIN (SELECT unnest(range(3)) AS k) JOIN (SELECT island, count(*) AS n FROM ev GROUP BY 1) c ON c.island = s.island
+JOIN ev p ON p.island = s.island AND p.idx = floor({_u("'7'", "'1'", "s.island", "s.idx", f"'{purpose}'", "k")} * n)::BIGINT) GROUP BY 1, 2)"""
+
+
+@query(with_("pop", _FIT) + f"SELECT island, slot, list_transform(genes, lambda g: round(g, 9)) AS genes FROM {_drawn('first')}")
+def ga_tournament(spark, d):
+    return ga.tournament(_evaluated(spark, d), 7, 1, "first").select("island", "slot", F.transform("genes", lambda g: F.round(g, 9)).alias("genes"))
+
+
+_CROSS = f"""ch AS (SELECT a.island, a.slot, i, CASE WHEN {_u("'7'", "'1'", "a.island", "a.slot", "'cross'", "i - 1")} < 0.5 THEN a.genes[i] ELSE b.genes[i] END AS g FROM {_drawn('first')} a JOIN {_drawn('second')} b ON a.island = b.island AND a.slot = b.slot CROSS JOIN (SELECT unnest(range(1, 9)) AS i))"""
+_NOISE = "md5(concat_ws('|', '7', '1', island, slot, 'noise', i - 1))"
+
+
+@query(with_("pop", _FIT + ", " + _CROSS) + f"""SELECT island, slot AS idx, i - 1 AS pos, round(CASE WHEN {_u("'7'", "'1'", "island", "slot", "'mutate'", "i - 1")} < 0.2 THEN g + 0.1 * sqrt(-2.0 * ln((('0x' || substr({_NOISE}, 1, 8))::BIGINT + 1.0::DOUBLE) / 4294967297.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (('0x' || substr({_NOISE}, 9, 8))::BIGINT / 4294967296.0::DOUBLE)) ELSE g END, 9) AS gene FROM ch""")
+def ga_generation(spark, d):
+    children = ga.next_generation(_evaluated(spark, d), sphere, 7, 1, mutator=ga.gaussian_mutator(0.2))
+    return rounded(children.select("island", "idx", F.posexplode("genes").alias("pos", "gene")).withColumn("pos", F.col("pos").cast("long")), "gene")
+
+
+@query(with_("pop", _FIT + ", s AS (SELECT island, max(idx) AS last, first(fitness ORDER BY fitness DESC, idx) AS f FROM ev GROUP BY 1)") + "SELECT ev.island, ev.idx, round(CASE WHEN ev.idx = s.last THEN t.f ELSE fitness END, 9) AS fitness FROM ev JOIN s ON s.island = ev.island JOIN s t ON t.island = (ev.island + 1) % 4")
+def ga_migrate(spark, d):
+    return rounded(ga.migrate(_evaluated(spark, d)).select("island", "idx", "fitness"), "fitness")
+
+
+@query("SELECT vec_id, island, (row_number() OVER (PARTITION BY island ORDER BY vec_id) - 1)::INT AS idx FROM (SELECT vec_id, (ntile(7) OVER (ORDER BY vec_id) - 1)::INT AS island FROM embeddings)")
+def ga_split(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("vec_id").alias("idx"))
+    return ga.split_population(e, 7).select("vec_id", "island", "idx")
+
+
+@query()
+def ga_islands(spark, d):
+    final, _ = ga.run(fx.population(spark, d), sphere, 4, 2, 7, mutator=ga.gaussian_mutator(0.1))
+    return final
+
+
+@query("SELECT vec_id, round(('0x' || substr(md5(concat_ws('|', '1', vec_id, 'u')), 1, 8))::BIGINT / 4294967296.0, 12) AS u FROM embeddings")
+def ga_uniform(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(uniform(1, F.col("vec_id"), "u"), 12).alias("u"))
+
+
+# Tabu search: the first thirteen parts are the items, and starts that choose the items of one remainder by three
+
+
+def _items(spark, d):
+    rows = table(spark, d, "part").where("p_partkey <= 12").select("p_partkey", "p_retailprice", "p_size").orderBy("p_partkey").collect()
+    return [r[1] for r in rows], [float(r[2]) for r in rows], len(rows)
+
+
+def _starts(spark, d):
+    n = _items(spark, d)[2]
+    return spark.range(3).select(F.col("id").alias("start_id"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 3 == F.col("id")).alias("repr"))
+
+
+_ITEMS = """it AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_retailprice AS value, p_size AS weight FROM part WHERE p_partkey <= 12), ln AS (SELECT count(*) AS n FROM it),
+st AS (SELECT s AS start_id, list_transform(range(n), lambda i: i % 3 = s) AS repr FROM ln CROSS JOIN (SELECT unnest(range(3)) AS s)),
+ij AS (SELECT i, j FROM ln CROSS JOIN (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(20)) AS j) WHERE i < n AND j < n)"""
+_SWAPS = "sw AS (SELECT start_id, row_number() OVER (PARTITION BY start_id ORDER BY i, j) - 1 AS pos, list_transform(range(len(repr)), lambda k: CASE k WHEN i THEN repr[j + 1] WHEN j THEN repr[i + 1] ELSE repr[k + 1] END) AS repr FROM st JOIN ij ON i < j)"
+
+
+@query("WITH " + _ITEMS + ", " + _SWAPS + " SELECT start_id, pos, array_to_string(list_transform(repr, lambda x: x::VARCHAR), ',') AS key FROM sw")
+def tabu_neighbors_swap(spark, d):
+    return tabu.neighbors(_starts(spark, d), tabu.SWAP).select("start_id", F.col("pos").cast("long").alias("pos"), tabu.key_of(F.col("repr")).alias("key"))
+
+
+@query("WITH " + _ITEMS + """, r AS (SELECT start_id, i, j, list_filter(list_transform(range(len(repr)), lambda k: CASE WHEN k <> i THEN repr[k + 1] END), lambda x: x IS NOT NULL) AS rest, repr[i + 1] AS v FROM st JOIN ij ON i <> j)
+SELECT start_id, row_number() OVER (PARTITION BY start_id ORDER BY i, j) - 1 AS pos, array_to_string(list_transform(rest[1:j] || [v] || rest[j + 1:], lambda x: x::VARCHAR), ',') AS key FROM r""")
+def tabu_neighbors_insert(spark, d):
+    return tabu.neighbors(_starts(spark, d), tabu.INSERT).select("start_id", F.col("pos").cast("long").alias("pos"), tabu.key_of(F.col("repr")).alias("key"))
+
+
+@query("WITH " + _ITEMS + ", " + _SWAPS + """, one AS (SELECT start_id, pos, unnest(range(len(repr))) AS k, unnest(repr) AS taken FROM sw),
+s AS (SELECT start_id, pos, sum(CASE WHEN taken THEN value ELSE 0 END) AS v, sum(CASE WHEN taken THEN weight ELSE 0 END) AS w FROM one JOIN it USING (k) GROUP BY 1, 2)
+SELECT start_id, pos, round(CASE WHEN w <= 80 THEN v ELSE -1 END, 6) AS value, coalesce(pos % 5, 0) < 3 AS intensified, (v > 4000 OR pos % 5 < 2) AS aspired FROM s""")
+def tabu_values(spark, d):
+    values, weights, _ = _items(spark, d)
+    rows = tabu.neighbors(_starts(spark, d), tabu.SWAP)
+    visits = F.col("pos") % 5
+    plain = tabu.knapsack(values, weights, float("1e12"))(F.col("repr"))
+    return rows.select("start_id", F.col("pos").cast("long").alias("pos"), F.round(tabu.knapsack(values, weights, 80)(F.col("repr")), 6).alias("value"), tabu.rarely_visited(visits).alias("intensified"), tabu.aspired(plain, F.lit(4000.0), visits).alias("aspired"))
+
+
+@query()
+def tabu_search(spark, d):
+    values, weights, _ = _items(spark, d)
+    return tabu.search(_starts(spark, d), tabu.composite([tabu.SWAP, tabu.INSERT]), tabu.knapsack(values, weights, 120), 5)
