@@ -1,50 +1,5 @@
-"""Tables written to the shared folder, to cut lineage so that a lost executor costs one stage at most.
+"""Tables in the shared folder, for the operators of this subpackage."""
 
-The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none gets one of its own.
-"""
+from netloom.storage import Store, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is made only for a local session without the setting."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-class Store:
-    """Writes intermediate frames as Parquet tables in the shared folder and reads them back."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once; what is returned scans the written table."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.netloom_path = path
-        return out
-
-    def free(self, *frames: DataFrame) -> None:
-        """Delete tables that :meth:`put` returned and that nothing reads any more."""
-        jvm = self.spark._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.netloom_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["Store", "shared_dir"]
