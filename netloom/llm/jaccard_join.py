@@ -6,7 +6,7 @@ of all n-grams their first ``a - ceil(t a) + 1`` and ``b - ceil(t b) + 1`` eleme
 matrix enter the product. The order puts n-grams that many texts have last (counts by chunk of the input, summed; they
 steer cost, not results), so common passages hardly enter.
 
-Texts that are the same sequence of words are one row. Of the product, first only the cells of each text with one
+Texts that are the same string are one row, by their 64-bit hash. Of the product, first only the cells of each text with one
 leader for each column are formed, and their pairs compared in full; texts so linked are one class from then on, and
 columns within one class are done. A few rounds of this leave little, and of what is left all pairs of different
 classes are formed, in blocks of bounded size, with their overlap so far; pairs whose sizes and overlap cannot reach
@@ -15,72 +15,72 @@ the bound are dropped, the others compared in full. No link between texts of dif
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.components import component_labels
 from netloom.llm.storage import Store
 
 #: N-grams that a task counts at a time, how often one must come there to be told, and how many the order knows.
-CHUNK, TOLD, ORDERED = 2_000_000, 4, 1 << 17
-#: Rounds with leaders at most, while there are so many pairs for each cell; rows of a column that one block holds.
-ROUNDS, BLOCK, PAIRS_PER_CELL = 4, 256, 0.5
+CHUNK, TOLD, ORDERED = 2_000_000, 3, 1 << 19
+#: Rounds with leaders at most, rows of a column that one block holds; pairs for each cell from which a second round pays.
+ROUNDS, BLOCK, PAIRS_PER_CELL = 4, 256, 100
 #: Bits of the map of the texts whose n-grams are needed in full.
 MAP_BITS = 1 << 23
 WORDS_KEPT = 300_000
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """N-grams of words as sorted arrays of distinct 64-bit hashes."""
+    """Reads texts as sorted arrays of the distinct 64-bit hashes of their n-grams of words."""
 
     def __init__(self, n: int) -> None:
         self.n = n
-        self.ids: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
-        """The hash of the sequence of words, and the hashes of its n-grams; without words 0 and none."""
+    def sequence(self, text: str | None) -> np.ndarray:
+        """A hash for each word; bytes are parted at ASCII white space and only ASCII letters are lower-cased."""
         import xxhash
 
-        words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER))
-        if not words:
-            return 0, np.empty(0, np.uint64)
-        if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()
         try:
-            ids = np.array([self.ids[w] for w in words], np.uint64)
+            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         except KeyError:
+            if len(self.known) > WORDS_KEPT:
+                self.known.clear()
             for w in set(words):
-                self.ids.setdefault(w, xxhash.xxh3_64_intdigest(w))
-            ids = np.array([self.ids[w] for w in words], np.uint64)
-        whole = xxhash.xxh3_64_intdigest(ids.tobytes())
-        k = max(1, len(ids) - self.n + 1)
-        grams = np.full(k, len(ids[: self.n]), np.uint64)
-        for i in range(min(self.n, len(ids))):
-            grams = _mixed(grams ^ ids[i : i + k])
-        return whole or 1, np.unique(grams)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+                if w not in self.known:
+                    self.known[w] = xxhash.xxh3_64_intdigest(w) >> 1
+            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The hashes of the n-grams; a shorter sequence is one element as a whole, an empty one has none."""
+        sequence = self.sequence(text)
+        if not len(sequence):
+            return np.empty(0, np.uint64)
+        ids = sequence.view(np.uint64)
+        width = min(self.n, len(ids))
+        k = len(ids) - width + 1
+        out = ids[:k] + np.uint64(width)
+        for i in range(1, width):
+            out *= _FACTOR
+            out += ids[i : i + k]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(words).alias("text_key"), words.alias("text"))
 
 
 def _described(rows: DataFrame, n: int) -> DataFrame:
@@ -102,17 +102,16 @@ def _described(rows: DataFrame, n: int) -> DataFrame:
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
-            keys, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                key, grams = shingle(text)
-                keys.append(_signed(key))
+            sizes = []
+            for text in batch.column(2).to_pylist():
+                grams = shingle(text)
                 sizes.append(len(grams))
                 chunk.append(grams)
                 held += len(grams)
                 if held >= CHUNK:
                     yield told()
                     chunk, held = [], 0
-            yield out(batch.column(0), keys, sizes, False)
+            yield out(batch.column(0), batch.column(1), sizes, False)
         if chunk:
             yield told()
 
@@ -126,66 +125,87 @@ def _prefixes(rows: DataFrame, n: int, percent: int, common: np.ndarray, counts:
         shingle, seen = Shingler(n), set()
         for batch in batches:
             keys, sizes, lengths, grams = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                key, found = shingle(text)
-                if not key or key in seen:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key in seen:
                     continue
                 if len(seen) < WORDS_KEPT:
                     seen.add(key)
-                k = len(found) - (percent * len(found) + 99) // 100 + 1
-                weight = np.zeros(len(found), np.int64)
+                found = shingle(text)
+                if not len(found):
+                    continue
+                first = len(found) - (percent * len(found) + 99) // 100 + 1
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    weight = np.where(common[at] == found, counts[at], 0)
-                first = np.lexsort((found, weight))[:k]
-                keys.append(_signed(key))
+                    at = np.searchsorted(common, found)
+                    at[at == len(common)] = 0
+                    often = common[at] == found
+                    rare = found[~often]
+                    if len(rare) < first:
+                        # The hashes are sorted, so of equal counts the smaller hash comes first.
+                        more = found[often][np.argsort(counts[at[often]], kind="stable")]
+                        rare = np.concatenate([rare, more])
+                    chosen = rare[:first]
+                else:
+                    chosen = found[:first]
+                keys.append(key)
                 sizes.append(len(found))
-                lengths.append(k)
-                grams.append(found[first])
+                lengths.append(len(chosen))
+                grams.append(chosen)
             if keys:
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(place)], ["gram", "text_key", "n", "place"])
 
-    return rows.select("text").mapInArrow(run, "gram long, text_key long, n int, place int")
+    return rows.select("text_key", "text").mapInArrow(run, "gram long, text_key long, n int, place int")
+
 
+def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_key, text) of the rows whose keys are wanted, and few others, once each.
 
-def _wanted_bits(keys: DataFrame) -> np.ndarray:
-    """A map of fixed size with a bit for each key; more keys set more bits, so it lets more through, never less."""
+    The keys set bits of a map of fixed size, of a megabyte, that goes to where the rows are. More keys set more bits,
+    so it lets more through, never less, and the joins that follow are exact.
+    """
     slot = F.pmod(F.col("text_key"), F.lit(MAP_BITS)) + 1
-    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    bits = np.zeros((MAP_BITS // 32768 + 1) * 4096, np.uint8)
-    for row in parts:
-        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return bits
+    bits = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("part"))
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).groupBy("text_key").agg(F.first("text").alias("text"))
 
 
-def _whole_sets(rows: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
-    """(text_key, grams) of the texts on the map."""
+def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (a, b) of rows (a, b, x, y) whose texts x and y are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(n), set()
+        shingle = Shingler(n)
+        held: dict[int, np.ndarray] = {}
+
+        def grams(key: int, text: str) -> np.ndarray:
+            if key not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[key] = shingle(text)
+            return held[key]
+
         for batch in batches:
-            keys, grams = [], []
-            for text in batch.column(0).to_pylist():
-                key, found = shingle(text)
-                slot = _signed(key) % MAP_BITS
-                if not key or key in seen or not bits[slot >> 3] >> (slot & 7) & 1:
-                    continue
-                if len(seen) < WORDS_KEPT:
-                    seen.add(key)
-                keys.append(_signed(key))
-                grams.append(found.astype(np.int64))
-            ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(grams) if grams else pa.array([], pa.int64()))], ["text_key", "grams"])
+            good = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v = grams(b, y), grams(a, x)
+                both = np.concatenate([u, v])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                good.append(shared * 100 >= (len(both) - shared) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("text").mapInArrow(run, "text_key long, grams array<long>")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    x, y = sets.select(F.col("text_key").alias("a"), F.col("grams").alias("x")), sets.select(F.col("text_key").alias("b"), F.col("grams").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
+def _linked(pairs: DataFrame, rows: DataFrame, n: int, percent: int, store: Store) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Only the texts that are in a pair move."""
+    pairs = store.put(pairs)
+    texts = _wanted(rows, pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")))
+    x, y = texts.select(F.col("text_key").alias("a"), F.col("text").alias("x")), texts.select(F.col("text_key").alias("b"), F.col("text").alias("y"))
+    links = store.put(_similar(pairs.join(x, "a").join(y, "b"), n, percent))
+    store.free(pairs)
+    return links
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -193,11 +213,21 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _reaches(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether sets whose first common element has these places can still share enough: what follows bounds it."""
+    return F.least(na - pa, nb - pb) * (100 + percent) >= (na + nb) * percent
+
+
 def _leaders(cells: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each text the leader that shares most columns with it: a text of another class, one for each column."""
-    rank = F.struct("n", F.xxhash64("text_key", F.lit(turn))) if turn % 2 == 0 else F.struct(F.xxhash64("text_key", F.lit(turn)), "n")
-    heads = cells.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "text_key", "n", "class")).alias("head"))
-    pairs = cells.join(heads, "gram").where((F.col("class") != F.col("head.class")) & _sizes_fit(F.col("n"), F.col("head.n"), percent))
+    """For each text the leader that shares most columns with it: a text of another class, one for each column.
+
+    The first leaders are the texts with the fewest rarer elements before the column: the least edited of a family.
+    Later ones are drawn.
+    """
+    rank = F.struct("place", "n", "text_key") if turn == 0 else F.struct(F.xxhash64("text_key", F.lit(turn)), "n")
+    heads = cells.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "text_key", "n", "place", "class")).alias("head"))
+    fits = _sizes_fit(F.col("n"), F.col("head.n"), percent) & _reaches(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"), percent)
+    pairs = cells.join(heads, "gram").where((F.col("class") != F.col("head.class")) & fits)
     shared = pairs.groupBy("text_key", F.col("head.text_key").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
     best = shared.groupBy("text_key").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
     return best.select(F.least("text_key", "leader").alias("a"), F.greatest("text_key", "leader").alias("b")).distinct()
@@ -209,29 +239,45 @@ def _open_cells(cells: DataFrame) -> DataFrame:
     return cells.join(columns, "gram", "left_semi")
 
 
-def _many_pairs(cells: DataFrame) -> bool:
-    """Whether the pairs of different classes that share a column are many more than the cells."""
+def _pairs_left(cells: DataFrame) -> tuple[float, int]:
+    """The pairs of different classes that share a column, one for each column, and the cells."""
     of_class = cells.groupBy("gram", "class").agg(F.count(F.lit(1)).cast("double").alias("k"))
     columns = of_class.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
     pairs, all_cells = columns.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.sum("k")).head()
-    return bool(pairs) and pairs > PAIRS_PER_CELL * all_cells
+    return pairs or 0.0, int(all_cells or 0)
 
 
 def _product(cells: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes with a column in common whose sizes and overlap so far allow the similarity.
 
     A column's cells are dealt into blocks; two blocks, or a block and itself, meet in one task, so that no task holds
-    more than two blocks of a column.
+    more than two blocks of a column. A pair is formed where it first meets: not where both texts have the same cell
+    in front, since they met there.
     """
     sizes = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"))
     rows = cells.join(sizes, "gram").withColumn("blocks", F.ceil(F.col("cells") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("gram", F.col("text_key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("class").alias("ca"), F.col("block").alias("block_a"), every.alias("block_b"))
-    right = rows.select(F.col("gram").alias("gram_b"), F.col("text_key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("class").alias("cb"), F.col("block").alias("to_b"), every.alias("to_a"))
-    met = left.join(right, (F.col("gram") == F.col("gram_b")) & (F.col("block_a") == F.col("to_a")) & (F.col("block_b") == F.col("to_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
-    overlaps = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    most = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return overlaps.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    left = rows.select("gram", F.col("text_key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("class").alias("ca"), F.col("front").alias("fa"), F.col("block").alias("block_a"), every.alias("block_b"))
+    right = rows.select(F.col("gram").alias("gram_b"), F.col("text_key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("class").alias("cb"), F.col("front").alias("fb"), F.col("block").alias("to_b"), every.alias("to_a"))
+    meet = (F.col("gram") == F.col("gram_b")) & (F.col("block_a") == F.col("to_a")) & (F.col("block_b") == F.col("to_b"))
+    first = F.col("fa").isNull() | F.col("fb").isNull() | (F.col("fa") != F.col("fb"))
+    fits = _sizes_fit(F.col("na"), F.col("nb"), percent) & _reaches(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
+    met = left.join(right, meet & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first & fits)
+    return met.select("a", "b").distinct()
+
+
+def _promising(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap in the product, and what the rest of either set can add, reach the bound.
+
+    Of the two, let a's last cell in the product come first in the order: then all cells of a in the product that b
+    has are in the product for b too, so the overlap is at most theirs and the cells of a that are not in it.
+    """
+    texts = cells.groupBy("text_key").agg(F.collect_list("gram").alias("grams"), F.first("n").alias("n"))
+    x = texts.select(F.col("text_key").alias("a"), F.col("grams").alias("x"), F.col("n").alias("na"))
+    y = texts.select(F.col("text_key").alias("b"), F.col("grams").alias("y"), F.col("n").alias("nb"))
+    rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    most = F.least(F.size(F.array_intersect("x", "y")) + rest, "na", "nb")
+    return pairs.join(x, "a").join(y, "b").where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,22 +296,21 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
     grams, counts = common["text_key"].to_numpy(np.int64).astype(np.uint64), common["n"].to_numpy(np.int64)
     order = np.argsort(grams)
     cells = _prefixes(rows, n, percent, grams[order], counts[order])
-    # A column that only one text has takes no part in the product; the columns are dealt out by hash once.
-    cells = cells.repartition("gram").groupBy("gram", "text_key").agg(F.first("n").alias("n"), F.first("place").alias("place")).withColumn("class", F.col("text_key"))
-    cells = store.put(_shared_columns(cells))
-    links, turn = [], 0
-    if not cells.isEmpty():
-        keys = store.put(cells.select("text_key").distinct())
-        found = _whole_sets(rows, n, _wanted_bits(keys)).groupBy("text_key").agg(F.first("grams").alias("grams"))
-        sets = store.put(found.join(keys, "text_key", "left_semi"))
-        while turn < ROUNDS and _many_pairs(cells):
-            links.append(store.put(_linked(_leaders(cells, percent, turn), sets, percent)))
-            so_far = component_labels(_union(links), store).select(F.col("node").alias("text_key"), F.col("label").alias("class"))
-            labelled = cells.drop("class").join(so_far, "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
-            old, cells, turn = cells, store.put(_open_cells(labelled.select(*cells.columns))), turn + 1
-            store.free(old)
-        links.append(store.put(_linked(_product(cells, percent), sets, percent)))
-        store.free(cells, keys, sets)
+    # A column that only one text has takes no part in the product.
+    in_front = F.lag("gram").over(Window.partitionBy("text_key").orderBy("place"))
+    cells = store.put(_shared_columns(cells).withColumn("class", F.col("text_key")).withColumn("front", in_front))
+    links, turn, last = [], 0, float("inf")
+    left, size = _pairs_left(cells)
+    while turn < ROUNDS and size and (not turn or PAIRS_PER_CELL * size < left < 0.8 * last):
+        links.append(_linked(_promising(_leaders(cells, percent, turn), cells, percent), rows, n, percent, store))
+        so_far = component_labels(_union(links), store).select(F.col("node").alias("text_key"), F.col("label").alias("class"))
+        labelled = cells.drop("class").join(so_far, "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
+        old, cells, turn, last = cells, store.put(_open_cells(labelled.select(*cells.columns))), turn + 1, left
+        store.free(old)
+        left, size = _pairs_left(cells)
+    if size:
+        links.append(_linked(_promising(_product(cells, percent), cells, percent), rows, n, percent, store))
+    store.free(cells)
     if not links:
         classes = documents.withColumn("class", F.col("text_key"))
     else:
@@ -277,9 +322,11 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
 
 
 def _shared_columns(cells: DataFrame) -> DataFrame:
-    """The cells of columns that two texts or more have."""
-    few = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("gram")
-    return cells.join(few, "gram", "left_semi")
+    """The cells of columns that two texts or more have, once each."""
+    order = Window.partitionBy("gram").orderBy("text_key")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    beside = cells.select("*", F.lag("text_key").over(order).alias("before"), F.first("text_key").over(whole).alias("low"), F.last("text_key").over(whole).alias("high"))
+    return beside.where("low <> high AND NOT before <=> text_key").drop("before", "low", "high")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
