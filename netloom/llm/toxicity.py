@@ -25,7 +25,7 @@ POSITIVE, NEGATIVE, UNLABELLED, SAMPLE_CHARS = 4_000, 4_000, 8_000, 40_000_000
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 _EDGE = ".,;:!?\"'()[]{}<>*_-¿¡"
 
 
@@ -94,16 +94,21 @@ def _distinct(texts: list[str]) -> list[str]:
     return out
 
 
-def _matrix(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    return rows, np.array([f for s in sets for f in sorted(s)], np.int64)
+def _arrays(texts: list[str]) -> list[np.ndarray]:
+    """The features of each text, in order; arrays take a tenth of what sets take."""
+    read = Reader()
+    return [np.sort(np.fromiter(found, np.int32, len(found))) for found in map(read, texts)]
+
+
+def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([*rows, np.empty(0, np.int32)])
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_nnpu(positive: list[set[int]], unlabelled: list[set[int]], size: int, prior: float) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam over the whole sample."""
     (pr, pc), (ur, uc) = _matrix(positive), _matrix(unlabelled)
     np_, nu = max(1, len(positive)), max(1, len(unlabelled))
@@ -128,21 +133,19 @@ def fit_nnpu(positive: list[set[int]], unlabelled: list[set[int]], size: int, pr
 
 def train(positive: list[str], negative: list[str], unlabelled: list[str], prior: float) -> Model:
     """A model from confirmed toxic texts and unlabelled ones; labelled clean texts serve to set the cut only."""
-    read = Reader()
-    own, at_large = [read(t) for t in _distinct(positive)], [read(t) for t in _distinct(unlabelled)]
+    own, at_large = _arrays(_distinct(positive)), _arrays(_distinct(unlabelled))
     if not own or not at_large:
         return Model()
-    in_own, in_all = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for counts, sets in ((in_own, own), (in_all, at_large)):
-        for s in sets:
-            counts[list(s)] += 1
+    in_own, in_all = (sum((np.bincount(x, minlength=BUCKETS) for x in (np.concatenate(part[i : i + 500]) for i in range(0, len(part), 500))), np.zeros(BUCKETS)) for part in (own, at_large))
     ratio = (in_own / len(own)) / ((in_all + 0.5) / len(at_large))
     least = max(3, 0.005 * len(own))
     chosen = np.flatnonzero((in_own >= least) & (ratio >= 1 + 0.35 * (1 / max(prior, 0.02) - 1)))
     index = {int(f): i for i, f in enumerate(chosen)}
-    reader = Reader(index)
-    w, b = fit_nnpu([{index[f] for f in s if f in index} for s in own], [{index[f] for f in s if f in index} for s in at_large], len(chosen), prior)
-    model = Model(index, w, b)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    own, at_large = ([(p := place[x])[p >= 0] for x in part] for part in (own, at_large))
+    w, b = fit_nnpu(own, at_large, len(chosen), prior)
+    model, reader = Model(index, w, b), Reader(index)
     toxic, clean = np.sort(model.sums(positive, reader)), np.sort(model.sums(negative, reader))
     if len(clean):
         # The cut with the fewest errors on the labelled rows; of equal ones, the middle of the widest gap.

@@ -272,7 +272,7 @@ def test_no_confirmed_texts(spark):
 
 
 def test_risk_does_not_fall_below_zero():
-    w, b = toxicity.fit_nnpu([{0}, {0, 1}] * 20, [{0}] * 10 + [{2}] * 90, 3, 0.1)
+    w, b = toxicity.fit_nnpu([np.array([0]), np.array([0, 1])] * 20, [np.array([0])] * 10 + [np.array([2])] * 90, 3, 0.1)
     assert w[0] + b > 0 > w[2] + b and np.isfinite(w).all()
 
 
