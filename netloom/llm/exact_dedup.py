@@ -17,6 +17,8 @@ from netloom.llm.storage import Store
 SAMPLE_ROWS = 20_000
 #: Parts that a frequent text is dealt to.
 PARTS = 32
+#: Characters of a text that splitters hold.
+HEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -46,9 +48,12 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parti
     content = normalised(F.col(f"`{text}`"))
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), content.alias("content"))
     hot = frequent(df, content, partitions)
-    salt = F.when(F.xxhash64("content").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
-    dealt = rows.withColumn("salt", salt).repartitionByRange(partitions, "content", "salt")
-    part = Window.partitionBy("content", "salt")
+    salt = F.when(F.xxhash64("content").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(F.lit(0)) if hot else None
+    # Splitters hold the beginning of a text and a hash of it, so that those sent to the driver are short.
+    dealt = rows.select("*", F.left("content", F.lit(HEAD)).alias("head"), F.xxhash64("content").alias("digest"), *([salt.alias("salt")] if hot else []))
+    keys = ["head", "digest", *(["salt"] if hot else [])]
+    dealt = dealt.repartitionByRange(partitions, *keys)
+    part = Window.partitionBy(*keys, "content")
     ordered = part.orderBy(F.col("doc_id").asc_nulls_last())
     sorted_rows = dealt.select(
         "doc_id",
@@ -56,9 +61,9 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parti
         F.row_number().over(ordered).alias("place"),
         F.first("doc_id").over(ordered).alias("part_id"),
         F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("part_size"),
-        "salt",
+        *(["salt"] if hot else []),
     )
-    out = sorted_rows.select("doc_id", "place", "part_id", "part_size", "salt", F.sha2("content", 256).alias("text_sha256"), F.xxhash64("content").isin(hot).alias("hot") if hot else F.lit(False).alias("hot"))
+    out = sorted_rows.select("doc_id", "place", "part_id", "part_size", *(["salt"] if hot else []), F.sha2("content", 256).alias("text_sha256"), F.xxhash64("content").isin(hot).alias("hot") if hot else F.lit(False).alias("hot"))
     if hot:
         # Without their texts the rows are short; the parts of the frequent texts, at most PARTS each, now meet.
         out = Store(spark).put(out)
