@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from netloom.llm.storage import Store
 
 #: Rows of a leaf that one task adds up at a time.
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 
 
 def words_in(text: Column) -> Column:
