@@ -26,7 +26,7 @@ from netloom.llm.components import component_labels
 from netloom.llm.storage import Store
 
 #: N-grams that a task counts at a time, how often one must come there to be told, and how many the order knows.
-CHUNK, TOLD, ORDERED = 2_000_000, 3, 1 << 19
+CHUNK, TOLD, ORDERED = 2_000_000, 3, 1 << 18
 #: Rounds with leaders at most, rows of a column that one block holds; pairs for each cell from which a second round pays.
 ROUNDS, BLOCK, PAIRS_PER_CELL = 4, 256, 100
 #: Bits of the map of the texts whose n-grams are needed in full.
@@ -292,8 +292,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
     rows = _texts(df, doc_id, text)
     told = store.put(_described(rows, n))
     documents = told.where("not gram").drop("gram")
-    common = told.where("gram").groupBy("text_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "text_key").limit(ORDERED).toPandas()
-    grams, counts = common["text_key"].to_numpy(np.int64).astype(np.uint64), common["n"].to_numpy(np.int64)
+    common = told.where("gram").groupBy("text_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "text_key").limit(ORDERED).toArrow()
+    grams, counts = common["text_key"].to_numpy().astype(np.uint64), common["n"].to_numpy()
     order = np.argsort(grams)
     cells = _prefixes(rows, n, percent, grams[order], counts[order])
     # A column that only one text has takes no part in the product.
