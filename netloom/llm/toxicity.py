@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
 #: Bounds of the training sample: confirmed toxic texts, labelled clean ones (for the cut alone), unlabelled ones; characters of all.
-POSITIVE, NEGATIVE, UNLABELLED, SAMPLE_CHARS = 2_000, 2_000, 5_000, 16_000_000
+POSITIVE, NEGATIVE, UNLABELLED, SAMPLE_CHARS = 2_000, 2_000, 5_000, 28_000_000
 BUCKETS = 1 << 21
 PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
