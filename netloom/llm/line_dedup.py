@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: The share above which a line is dropped; pages that a host, and a line, must have before any line is judged.
 RATIO, LEAST_PAGES, LEAST_SEEN = 0.2, 5, 3
-#: A host's list of lines is dealt to so many parts of its pages.
-PARTS = 32
+#: Parts that all pages together are dealt to where they meet their host's lines; a host gets its share of them.
+PARTS = 4_000
 
 
 def host_of(url: Column) -> Column:
@@ -39,8 +39,13 @@ def drop_boilerplate(df: DataFrame, page_id: str, host: Column, lines: Column, r
     seen = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= least_seen)
     often = seen.join(totals, "host").where((F.col("pages") >= least_pages) & (F.col("seen") > ratio * F.col("pages")))
     lists = often.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
-    dealt = lists.select(F.col("host").alias("of_host"), "boilerplate", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part"))
-    parted = pages.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int"))
+    # Hosts with more than a quarter of a thousandth of the pages, so at most PARTS, are dealt to parts.
+    every = totals.agg(F.sum("pages").alias("all"))
+    large = totals.crossJoin(F.broadcast(every)).where(F.col("pages") * PARTS > F.col("all"))
+    large = F.broadcast(large.select("host", F.ceil(F.col("pages") * PARTS / F.col("all")).cast("int").alias("parts")))
+    own = F.coalesce("parts", F.lit(1))
+    dealt = lists.join(large, "host", "left").select(F.col("host").alias("of_host"), "boilerplate", F.explode(F.sequence(F.lit(0), own - 1)).alias("of_part"))
+    parted = pages.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), own).cast("int"))
     met = parted.join(dealt, (F.col("host") == F.col("of_host")) & (F.col("part") == F.col("of_part")), "left")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), x)))
     return met.withColumn("kept", kept).select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
