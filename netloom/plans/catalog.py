@@ -406,7 +406,7 @@ def graph_frequent_members(spark, d):
 
 @query(with_("det", "m AS (SELECT cid AS complex_id, p % 4 AS protein FROM det), g AS (SELECT complex_id, array_to_string(list_sort(list(DISTINCT protein)), ';') AS proteins FROM m GROUP BY 1)") + "SELECT proteins, min(complex_id) AS complex_id FROM g GROUP BY 1")
 def graph_unique_groups(spark, d):
-    m = fx.supplier_groups(spark, d, 0).select(F.col("cid").alias("complex_id"), (F.col("p") % 4).alias("protein"))
+    m = fx.order_groups(spark, d).select(F.col("cid").alias("complex_id"), (F.col("p") % 4).alias("protein"))
     return graph.unique_groups(m, "complex_id")
 
 
@@ -422,7 +422,7 @@ _PARTS = ("cohesiveness", "density", "aiew", "abew", "awm", "ff")
 
 
 def _clusters(spark, d):
-    return fx.supplier_groups(spark, d, 0).select(F.col("cid").alias("cluster_id"), F.col("p").alias("protein"))
+    return fx.order_groups(spark, d).select(F.col("cid").alias("cluster_id"), F.col("p").alias("protein"))
 
 
 @query(with_("adj det", _CL) + "SELECT cluster_id, n, " + ", ".join(f"round({c}, 9) AS {c}" for c in _PARTS) + " FROM ff")
@@ -438,7 +438,7 @@ def cluster_individuals(spark, d):
 
 @query()
 def cluster_local_search(spark, d):
-    return clusters.local_search(_clusters(spark, d).where("cluster_id % 200 = 0"), fx.supplier_graph(spark, d), 3)
+    return clusters.local_search(_clusters(spark, d), fx.supplier_graph(spark, d), 3)
 
 
 # Evaluation
@@ -458,7 +458,7 @@ jj AS (SELECT (SELECT sum(m) FROM (SELECT max(j) AS m FROM x GROUP BY did)) / d
 
 
 def _groups(spark, d):
-    return fx.supplier_groups(spark, d, 0), fx.supplier_groups(spark, d, 1)
+    return fx.order_groups(spark, d), fx.nation_groups(spark, d)
 
 
 @query(with_("det kno", _EV) + "SELECT did, kid, s AS shared, round(o, 9) AS overlap, round(j, 9) AS jaccard FROM x")

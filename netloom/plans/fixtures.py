@@ -33,13 +33,18 @@ def supplier_graph(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("u").alias("src"), F.col("v").alias("dst"), "weight").union(kept.select("v", "u", "weight"))
 
 
-def supplier_groups(spark: SparkSession, d: str, rest: int) -> DataFrame:
-    """(cid, p): the suppliers of orders with three or more, for the orders whose key leaves ``rest`` by ten."""
-    one = table(spark, d, "lineitem").where(F.col("l_orderkey") % 10 == rest).select(F.col("l_orderkey").alias("cid"), F.col("l_suppkey").alias("p")).distinct()
+def order_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(cid, p): the suppliers of orders with three or more."""
+    one = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cid"), F.col("l_suppkey").alias("p")).distinct()
     large = one.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("cid")
     return one.join(large, "cid", "left_semi")
 
 
+def nation_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(cid, p): the suppliers of each nation."""
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("cid"), F.col("s_suppkey").alias("p"))
+
+
 def part_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("protein"), F.col("l_suppkey").alias("term")).distinct()
 
@@ -80,15 +85,15 @@ SQL = {
     "se": "SELECT a.p AS u, b.p AS v, count(*) AS w FROM ds a JOIN ds b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2",
     "sk": "SELECT u, v, w / (SELECT max(w) FROM se) AS weight FROM se WHERE w >= (SELECT quantile_cont(w, 0.5) FROM se)",
     "adj": "SELECT u AS src, v AS dst, weight FROM sk UNION ALL SELECT v, u, weight FROM sk",
-    "det": "SELECT o AS cid, p FROM ds WHERE o % 10 = 0 AND o IN (SELECT o FROM ds GROUP BY o HAVING count(*) >= 3)",
-    "kno": "SELECT o AS cid, p FROM ds WHERE o % 10 = 1 AND o IN (SELECT o FROM ds GROUP BY o HAVING count(*) >= 3)",
+    "det": "SELECT o AS cid, p FROM ds WHERE o IN (SELECT o FROM ds GROUP BY o HAVING count(*) >= 3)",
+    "kno": "SELECT s_nationkey AS cid, s_suppkey AS p FROM supplier",
     "pt": "SELECT DISTINCT l_partkey AS protein, l_suppkey AS term FROM lineitem",
     "idmap": "SELECT 'P' || p_partkey AS uniprot, db, CASE db WHEN 'Gene_Name' THEN p_name WHEN 'ORF' THEN p_brand || '-' || p_size WHEN 'STRING' THEN '9606.ENSP' || p_partkey WHEN 'Ensembl_PRO' THEN 'ENSP9' || p_partkey || '.1' ELSE p_type || '/' || p_size END AS db_id, p_partkey AS line_no FROM part CROSS JOIN (SELECT unnest(['Gene_Name', 'ORF', 'Gene_OrderedLocusName', 'STRING', 'Ensembl_PRO']) AS db)",
     "links": "SELECT a.p_name AS protein1, coalesce(b.p_name, 'none' || ((l_suppkey * 30 + 1) % 7)) AS protein2, l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS score FROM lineitem JOIN part a ON a.p_partkey = l_partkey LEFT JOIN part b ON b.p_partkey = l_suppkey * 30 + 1",
     "pop": "SELECT (vec_id % 4)::INT AS island, (vec_id // 4)::INT AS idx, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS genes FROM embeddings",
 }
 #: What each of them reads.
-NEEDS = {"pe": ["d"], "pe2": ["d", "pe"], "nb": ["d", "pe"], "nb2": ["d", "pe", "pe2"], "baskets": ["d"], "se": ["ds"], "sk": ["ds", "se"], "adj": ["ds", "se", "sk"], "det": ["ds"], "kno": ["ds"]}
+NEEDS = {"pe": ["d"], "pe2": ["d", "pe"], "nb": ["d", "pe"], "nb2": ["d", "pe", "pe2"], "baskets": ["d"], "se": ["ds"], "sk": ["ds", "se"], "adj": ["ds", "se", "sk"], "det": ["ds"]}
 
 
 def with_(names: str, more: str = "", recursive: bool = False) -> str:
