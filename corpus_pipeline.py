@@ -30,7 +30,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of one epoch that the target weights choose stay; rows with one id stay or go together."""
+    """The documents of one epoch that the target weights choose stay; rows of a source with one id go together."""
     return mixing.chosen_rows(docs, queries.TREE, queries.TREE_WEIGHTS, queries.PIPELINE_SHARE, queries.TREE_DEFAULTS)
 
 

@@ -18,6 +18,8 @@ from netloom.llm.storage import Store
 
 #: Rows of a leaf that one task adds up at a time.
 ROWS_PER_BLOCK = 2_000
+#: Leaves whose last draws are sent to where the texts are; of a larger tree, the ids of the chosen rows move.
+LEAVES = 50_000
 
 
 def words_in(text: Column) -> Column:
@@ -63,6 +65,16 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Map
     return leaves.join(given.withColumnRenamed("above", "gets"), list(levels))
 
 
+def node_of(expression: str) -> Column:
+    """The node that a level's SQL expression gives a document; a null is the node ``""``."""
+    return F.coalesce(F.expr(expression).cast("string"), F.lit(""))
+
+
+def draw_of(doc_id: Column, epoch: Column, seed: str) -> Column:
+    """What orders a leaf's documents in an epoch; the same for all rows with one id."""
+    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
 def mix(df: DataFrame, levels: Mapping[str, str], weights: Sequence[Mapping[str, float]], share: float, epochs: int = 1, defaults: Sequence[float] | None = None, seed: str = "mix", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document that is chosen and epoch: doc_id, the levels, epoch, tokens, and its leaf's budget ``leaf_tokens``.
 
@@ -75,13 +87,13 @@ def mix(df: DataFrame, levels: Mapping[str, str], weights: Sequence[Mapping[str,
     store = Store(df.sparkSession)
     names = [f"level_{i}" for i in range(len(levels))]
     defaults = list(defaults or [1.0] * len(names))
-    placed = df.select(F.col(f"`{doc_id}`").alias("doc_id"), words_in(F.col(f"`{text}`")).alias("tokens"), *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)])
+    placed = df.select(F.col(f"`{doc_id}`").alias("doc_id"), words_in(F.col(f"`{text}`")).alias("tokens"), *[node_of(c).alias(n) for n, c in zip(names, levels.values(), strict=True)])
     rows = store.put(placed)
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).head()[0]
     given = store.put(leaf_budgets(leaves, names, weights, defaults, math.floor(total * share), epochs).select(*names, F.col("tokens").alias("leaf_held"), F.floor(F.col("gets") + 1e-6).alias("leaf_tokens"), "n"))
     turn = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    draw = draw_of(F.col("doc_id"), F.col("epoch"), seed)
     unit = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     # A leaf's epoch is cut into blocks by its order, so that no task adds up a leaf alone.
     dealt = rows.join(given, names).select("*", turn.alias("epoch")).withColumn("draw", draw).withColumn("block", F.floor(unit * F.ceil(F.col("n") / ROWS_PER_BLOCK) / F.lit(2**32)).cast("long"))
@@ -94,7 +106,20 @@ def mix(df: DataFrame, levels: Mapping[str, str], weights: Sequence[Mapping[str,
     return chosen.select("doc_id", *[F.col(n).alias(k) for n, k in zip(names, levels, strict=True)], F.col("epoch").cast("int").alias("epoch"), "tokens", "leaf_tokens")
 
 
-def chosen_rows(df: DataFrame, levels: Mapping[str, str], weights: Sequence[Mapping[str, float]], share: float, defaults: Sequence[float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that one epoch of :func:`mix` chooses, with their columns; rows with one id go together."""
-    stays = mix(df, levels, weights, share, defaults=defaults, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__stays"))
-    return df.join(stays, F.col(f"`{doc_id}`").eqNullSafe(F.col("__stays")), "left_semi")
+def chosen_rows(df: DataFrame, levels: Mapping[str, str], weights: Sequence[Mapping[str, float]], share: float, defaults: Sequence[float] | None = None, seed: str = "mix", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that one epoch of :func:`mix` chooses, with their columns.
+
+    Rows of a leaf with one id go together. A leaf's chosen rows are those up to its last draw, so only that is sent to
+    the texts, which stay where they are.
+    """
+    store = Store(df.sparkSession)
+    chosen = mix(df, levels, weights, share, 1, defaults, seed, doc_id, text).select("doc_id", *[F.col(k).alias(f"__leaf_{i}") for i, k in enumerate(levels)])
+    leaf = [f"__leaf_{i}" for i in range(len(levels))]
+    own, epoch = F.col(f"`{doc_id}`"), F.lit(0)
+    last = store.put(chosen.groupBy(*leaf).agg(F.max(draw_of(F.col("doc_id"), epoch, seed)).alias("__last")))
+    same = F.lit(True)
+    for n, c in zip(leaf, levels.values(), strict=True):
+        same = same & (node_of(c) == F.col(n))
+    if last.count() <= LEAVES:
+        return df.join(F.broadcast(last), same & (draw_of(own, epoch, seed) <= F.col("__last")), "left_semi")
+    return df.join(chosen.withColumnRenamed("doc_id", "__stays"), same & own.eqNullSafe(F.col("__stays")), "left_semi")

@@ -327,6 +327,22 @@ def test_prefix_of_epochs(spark, monkeypatch):
     assert sorted(((r.doc_id, r.source, r.epoch, r.tokens) for r in got), key=key) == sorted(want, key=key) and want
 
 
+@pytest.mark.parametrize("leaves", [50_000, 0])
+def test_chosen_rows(spark, monkeypatch, leaves):
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 7)
+    monkeypatch.setattr(mixing, "LEAVES", leaves)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["s", "t", None]), " ".join(["w"] * rng.randint(0, 30)), "x") for i in range(200)]
+    rows += [(5, "s", "again and again", "x"), (5, "t", "elsewhere", "x"), (None, "t", "no id", "x"), (None, "s", None, "x"), (6, "t", None, "x")] + rows[20:40]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, epoch string")
+    tree = ({"source": "source"}, [{"s": 3.0, "": 0.0}], 0.6)
+    ids = {(r.doc_id, r.source) for r in mixing.mix(df, *tree, 1, [1.0]).collect()}
+    got = mixing.chosen_rows(df, *tree, defaults=[1.0])
+    assert got.columns == df.columns
+    want = [r for r in rows if (r[0], r[1] or "") in ids]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and 0 < len(want) < len(rows)
+
+
 # Exact dedup
 
 
