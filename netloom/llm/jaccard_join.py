@@ -31,6 +31,8 @@ CHUNK, TOLD, ORDERED = 2_000_000, 3, 1 << 18
 ROUNDS, BLOCK, PAIRS_PER_CELL = 4, 256, 100
 #: Bits of the map of the texts whose n-grams are needed in full.
 MAP_BITS = 1 << 23
+#: A key with more than one row in PARTS, so at most PARTS of them, is frequent: its value goes to where the rows are.
+PARTS = 4_000
 WORDS_KEPT = 300_000
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -311,16 +313,29 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
     if size:
         links.append(_linked(_promising(_product(cells, percent), cells, percent), rows, n, percent, store))
     store.free(cells)
-    if not links:
-        classes = documents.withColumn("class", F.col("text_key"))
-    else:
-        labels = component_labels(_union(links), store)
-        classes = documents.join(labels.select(F.col("node").alias("text_key"), F.col("label").alias("class")), "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
-    least = classes.where("n > 0").groupBy(F.col("class").alias("of")).agg(F.min("doc_id").alias("least"))
-    whole = classes.join(least, (F.col("class") == F.col("of")) & (F.col("n") > 0), "left")
+    texts = documents.where("n > 0").groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
+    if links:
+        labels = component_labels(_union(links), store).select(F.col("node").alias("text_key"), F.col("label").alias("class"))
+        classed = store.put(texts.join(labels, "text_key"))
+        classes = store.put(classed.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("least")))
+        alone = texts.join(labels, "text_key", "left_anti").select("text_key", "rows", "least")
+        texts = alone.union(_with_value(classed.drop("least"), classes, "class").select("text_key", "rows", "least"))
+    whole = _with_value(documents, store.put(texts), "text_key")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _with_value(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``least`` of their key, null without one; ``values`` (key, rows, least) has each key once.
+
+    ``values.rows`` is how many of ``rows`` have the key. No task gathers the rows of a frequent key.
+    """
+    total = rows.count()
+    hot = values.where(F.col("rows") * PARTS > total).select(key, "least")
+    rest = values.where(F.col("rows") * PARTS <= total).select(key, "least")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key, "left"))
+
+
 def _shared_columns(cells: DataFrame) -> DataFrame:
     """The cells of columns that two texts or more have, once each."""
     order = Window.partitionBy("gram").orderBy("text_key")

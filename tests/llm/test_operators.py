@@ -343,6 +343,18 @@ def test_chosen_rows(spark, monkeypatch, leaves):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and 0 < len(want) < len(rows)
 
 
+@pytest.mark.parametrize("parts", [4_000, 5, 0])
+def test_values_of_frequent_keys(spark, monkeypatch, parts):
+    monkeypatch.setattr(jaccard_join, "PARTS", parts)
+    rng = random.Random(3)
+    rows = [(i, rng.choice([7, 7, 7, *range(20)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, k long").repartition(4)
+    values = df.where("k <> 3").groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
+    got = jaccard_join._with_value(df, values, "k").select("doc_id", "k", "least").collect()
+    want = [(d, k, None if k == 3 else min(x for x, y in rows if y == k)) for d, k in rows]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # Exact dedup
 
 
