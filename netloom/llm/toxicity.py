@@ -10,6 +10,9 @@ rows outside the held-out fifth.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +25,8 @@ from pyspark.sql.pandas.functions import PandasUDFType
 
 #: Bounds of the training sample: confirmed toxic texts, labelled clean ones (for the cut alone), unlabelled ones; characters of all.
 POSITIVE, NEGATIVE, UNLABELLED, SAMPLE_CHARS = 2_000, 2_000, 5_000, 28_000_000
+#: Slices in which a sample comes to the driver, one at a time.
+SLICES = 16
 BUCKETS = 1 << 21
 PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
@@ -100,6 +105,35 @@ def _arrays(texts: list[str]) -> list[np.ndarray]:
     return [np.sort(np.fromiter(found, np.int32, len(found))) for found in map(read, texts)]
 
 
+def _counts(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that the rows have, in order, and how many rows have each."""
+    return np.unique(np.concatenate(rows), return_counts=True)
+
+
+def _places(row: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The places in ``features``, which is in order, of those that the row has."""
+    at = np.searchsorted(features, row)
+    known = at < len(features)
+    known[known] = features[at[known]] == row[known]
+    return at[known].astype(np.int32)
+
+
+def _counts_of(features: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows have each of the features; what the rows have besides takes no memory."""
+    out = np.zeros(len(features), np.int64)
+    for x in rows:
+        out[_places(x, features)] += 1
+    return out
+
+
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can; the driver goes on after training."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([*rows, np.empty(0, np.int32)])
 
@@ -136,14 +170,13 @@ def train(positive: list[str], negative: list[str], unlabelled: list[str], prior
     own, at_large = _arrays(_distinct(positive)), _arrays(_distinct(unlabelled))
     if not own or not at_large:
         return Model()
-    in_own, in_all = (sum((np.bincount(x, minlength=BUCKETS) for x in (np.concatenate(part[i : i + 500]) for i in range(0, len(part), 500))), np.zeros(BUCKETS)) for part in (own, at_large))
-    ratio = (in_own / len(own)) / ((in_all + 0.5) / len(at_large))
-    least = max(3, 0.005 * len(own))
-    chosen = np.flatnonzero((in_own >= least) & (ratio >= 1 + 0.35 * (1 / max(prior, 0.02) - 1)))
+    features, in_own = _counts(own)
+    often = in_own >= max(3, 0.005 * len(own))
+    features, in_own = features[often], in_own[often]
+    ratio = (in_own / len(own)) / ((_counts_of(features, at_large) + 0.5) / len(at_large))
+    chosen = features[ratio >= 1 + 0.35 * (1 / max(prior, 0.02) - 1)]
     index = {int(f): i for i, f in enumerate(chosen)}
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    own, at_large = ([(p := place[x])[p >= 0] for x in part] for part in (own, at_large))
+    own, at_large = ([_places(x, chosen) for x in part] for part in (own, at_large))
     w, b = fit_nnpu(own, at_large, len(chosen), prior)
     model, reader = Model(index, w, b), Reader(index)
     toxic, clean = np.sort(model.sums(positive, reader)), np.sort(model.sums(negative, reader))
@@ -161,6 +194,7 @@ def train(positive: list[str], negative: list[str], unlabelled: list[str], prior
 def _sample(rows: DataFrame, most: int, share: float) -> list[str]:
     """At most ``most`` texts and a share of SAMPLE_CHARS characters, in the order of a hash of the id."""
     got = rows.select(F.xxhash64("doc_id", F.lit("sample")).alias("draw"), "text").orderBy("draw", "text").limit(most)
+    got = got.repartitionByRange(SLICES, "draw", "text").sortWithinPartitions("draw", "text")
     out, room = [], int(SAMPLE_CHARS * share)
     for r in got.toLocalIterator():
         room -= len(r["text"])
@@ -189,7 +223,9 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     rate = min(1.0, 3 * UNLABELLED / max(1, docs.select("doc_id").count()))
     at_large = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("at large")), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
-    return train(_sample(drawn(1, POSITIVE), POSITIVE, 0.25), _sample(drawn(0, NEGATIVE), NEGATIVE, 0.25), _sample(at_large, UNLABELLED, 0.5), min(0.9, toxic / total))
+    model = train(_sample(drawn(1, POSITIVE), POSITIVE, 0.25), _sample(drawn(0, NEGATIVE), NEGATIVE, 0.25), _sample(at_large, UNLABELLED, 0.5), min(0.9, toxic / total))
+    _give_back()
+    return model
 
 
 def score_of(text: Column, model: Model) -> Column:
