@@ -39,11 +39,14 @@ KINDS = (
     Kind("ip", r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.5, 0.1, 0.2, r"\bip\b|address|host|server|login"),
     Kind("card", r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "", True, 0.3, 0.4, 0.2, r"card|visa|credit|debit|master|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.6, 0.1, 0.2, r"phone|tel|call|mobile|cell|fax"),
-    Kind("iban", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", False, 0.2, 0.5, 0.2, r"iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", "", False, 0.2, 0.5, 0.2, r"iban|account|bank|konto|compte|cuenta"),
     Kind("local_phone", r"[0-9(](?<![0-9A-Za-z+.][0-9(])(?<=[(])?[0-9]{2,3}+\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", "", False, 0.3, 0.0, 0.3, r"phone|tel|call|mobile|cell|fax"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
+# How many characters the countries' IBANs have.
+_LENGTHS = " AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30 "
+
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -81,32 +84,56 @@ def _valid(kind: str, value: Column) -> Column:
         return luhn(_digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(10, 15)
-    if kind == "iban":
-        return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & mod97(value)
     return F.lit(True)
 
 
+def _iban(run: Column) -> Column:
+    """The IBAN that a run of words begins with, null without one.
+
+    It ends where a word ends, with the length of its country. The whole run may have another length, and a code that
+    is no country's any length: the longest.
+    """
+    words = F.split(run, " ")
+
+    def upto(k: Column) -> Column:
+        value = F.array_join(F.slice(words, F.lit(1), k), " ")
+        n = F.length(F.replace(value, F.lit(" "), F.lit("")))
+        country = F.concat(F.lit(" "), F.left(run, F.lit(2)))
+        fits = F.contains(F.lit(_LENGTHS), F.concat(country, n.cast("string"), F.lit(" ")))
+        able = fits | (k == F.size(words)) | ~F.contains(F.lit(_LENGTHS), country)
+        return F.when(able & n.between(15, 34) & value.rlike("^[A-Z0-9 ]+$") & mod97(value), F.struct(fits.alias("fits"), n.alias("n"), value.alias("value")))
+
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.size(words)), upto))["value"]
+
+
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double,value:string>>"
 
 
 def _found(text: Column, kind: Kind, rank: int) -> Column:
-    """The confirmed spans of one kind, leftmost and not overlapping; a match that fails is passed over."""
+    """The confirmed spans of one kind, leftmost and not overlapping; a match that fails is passed over.
+
+    The pattern of an IBAN matches its first four characters only and looks ahead at the run that may belong to it, so
+    another one inside the run is still met.
+    """
+    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    values = F.zip_with(hits, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)), lambda head, run: _iban(F.concat(head, run))) if kind.name == "iban" else hits
     pairs = F.zip_with(
         F.split(text, kind.pattern, -1),
-        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
-        lambda piece, hit: F.struct(F.char_length(piece).alias("gap"), F.lower(F.right(piece, F.lit(CONTEXT_CHARS))).alias("before"), hit.alias("hit")),
+        F.arrays_zip(hits.alias("hit"), values.alias("value")),
+        lambda piece, x: F.struct(F.char_length(piece).alias("gap"), F.lower(F.right(piece, F.lit(CONTEXT_CHARS))).alias("before"), F.char_length(x["hit"]).alias("moves"), x["value"].alias("value")),
     )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
+        end = start + F.char_length(x["value"])
         score = F.lit(kind.prior + kind.confirmed) + F.when(x["before"].rlike(kind.words), F.lit(kind.context)).otherwise(F.lit(0.0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), x["hit"].alias("value"))
-        keeps = _valid(kind.name, x["hit"]) & (F.lit(kind.base) | (score >= THRESHOLD))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(keeps, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), x["value"].alias("value"))
+        keeps = (start >= acc["free"]) & _valid(kind.name, x["value"]) & (F.lit(kind.base) | (score >= THRESHOLD))
+        kept = F.struct((start + x["moves"]).alias("at"), end.alias("free"), F.array_append(acc["out"], span).alias("out"))
+        return F.when(x["moves"].isNull(), acc).when(x["value"].isNotNull() & keeps, kept).otherwise(F.struct((start + x["moves"]).alias("at"), acc["free"].alias("free"), acc["out"].alias("out")))
 
     none = F.array().cast(_SPAN)
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("out")), step)["out"]
     return F.when(F.contains(text, F.lit(kind.trigger)), spans).otherwise(none) if kind.trigger else spans
 
 

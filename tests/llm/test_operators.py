@@ -75,6 +75,13 @@ def test_spans_by_checksum_and_context(spark):
     assert rows == ["iban:7:34", "", "local_phone:15:27", "", "iban:5:27"]
 
 
+def test_ibans_before_other_words(spark):
+    iban = "DE89370400440532013000"
+    values = [f"IBAN {iban} Please pay", f"IBAN {iban} BIC COBADEFFXXX", f"IBAN {iban} 2026-01-01", f"IBAN {iban} {iban}", "IBAN DE89 3704 0044 0532 0130 00 TOTAL 12", f"CODE AB12 CDEF GHIJ {iban}", "IBAN DE89370400440532013001 BIC COBADEFFXXX", f"{iban} Ü", f"x{iban}", "AA12 " * 20_000]
+    rows = [r.spans for r in pii.pii_report(texts(spark, values)).orderBy("doc_id").collect()]
+    assert rows == ["iban:5:27", "iban:5:27", "iban:5:27", "iban:5:27,iban:28:50", "iban:5:32", "iban:20:42", "", "iban:0:22", "", ""]
+
+
 def test_redaction(spark):
     df = pii.redact(pii.find_pii(texts(spark, ["write a@b.c or c@d.e!", "none", None, "a@b.c"])))
     assert [r.text for r in df.orderBy("doc_id").collect()] == ["write [EMAIL] or [EMAIL]!", "none", None, "[EMAIL]"]
