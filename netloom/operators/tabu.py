@@ -61,12 +61,12 @@ def neighbors(solutions: DataFrame, neighborhood: Neighborhood) -> DataFrame:
     return solutions.select("start_id", F.posexplode(neighborhood.generate(F.col("repr"))).alias("pos", "repr")).withColumn("neighborhood", F.lit(neighborhood.name))
 
 
-def knapsack(values: Sequence[float], weights: Sequence[float], capacity: float) -> Value:
-    """The value of the chosen items, -1 if they are too heavy."""
+def knapsack(values: Sequence[float] | Column, weights: Sequence[float] | Column, capacity: float) -> Value:
+    """The value of the chosen items, -1 if they are too heavy; columns of arrays give each row its own items."""
 
     def value(x: Column) -> Column:
-        def total(of: Sequence[float]) -> Column:
-            items = F.array(*[F.lit(float(v)) for v in of])
+        def total(of: Sequence[float] | Column) -> Column:
+            items = of if isinstance(of, Column) else F.array(*[F.lit(float(v)) for v in of])
             return F.aggregate(F.zip_with(x, items, lambda taken, v: F.when(taken, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
 
         return F.when(total(weights) <= capacity, total(values)).otherwise(F.lit(-1.0))
@@ -84,20 +84,21 @@ def aspired(value: Column, best: Column, visits: Column, threshold: int = 2) ->
     return (value > best) | rarely_visited(visits, threshold)
 
 
-def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iterations: int = 100, tenure: int = 10, intensification: bool = False, diversification: bool = False, aspiration: Callable[[Column, Column, Column], Column] | None = lambda v, b, n: v > b, patience: int = 20) -> DataFrame:
+def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iterations: int = 100, tenure: int = 10, intensification: bool = False, diversification: bool = False, aspiration: Callable[[Column, Column, Column], Column] | None = lambda v, b, n: v > b, patience: int = 20, given: Sequence[str] = ()) -> DataFrame:
     """(start_id, repr, value, best_iteration) of the best solution from each start.
 
     The next solution is the best neighbour that is not tabu or is aspired to, the first by its text of equals; it is
     tabu for ``tenure`` iterations. ``intensification`` passes over neighbours visited three times. With
     ``diversification`` a start goes on from its least visited solution after ``patience`` iterations without a new
-    best. A start without an allowed neighbour stays where it is.
+    best. A start without an allowed neighbour stays where it is. ``given`` names columns of ``starts`` that ``value``
+    reads besides a solution.
     """
     store = Store(starts.sparkSession)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    base = starts.select("start_id", "repr").withColumn("value", value(F.col("repr")))
-    state = store.put(base.select("start_id", "repr", "value", F.col("repr").alias("best"), F.col("value").alias("best_value"), F.lit(0).alias("best_iteration"), none.alias("tabu"), none.alias("visits"), F.map_from_arrays(F.array().cast("array<string>"), F.slice(F.array("repr"), 1, 0)).alias("known")))
+    base = starts.select("start_id", "repr", *given).withColumn("value", value(F.col("repr")))
+    state = store.put(base.select("start_id", "repr", "value", F.col("repr").alias("best"), F.col("value").alias("best_value"), F.lit(0).alias("best_iteration"), none.alias("tabu"), none.alias("visits"), F.map_from_arrays(F.array().cast("array<string>"), F.slice(F.array("repr"), 1, 0)).alias("known"), *given))
     for i in range(1, max_iterations + 1):
-        moves = state.select("start_id", "best_value", "tabu", "visits", F.explode(neighborhood.generate(F.col("repr"))).alias("next")).withColumn("key", key_of(F.col("next"))).withColumn("next_value", value(F.col("next")))
+        moves = state.select("start_id", "best_value", "tabu", "visits", *given, F.explode(neighborhood.generate(F.col("repr"))).alias("next")).withColumn("key", key_of(F.col("next"))).withColumn("next_value", value(F.col("next")))
         visits = F.col("visits")[F.col("key")]
         free = F.coalesce(F.col("tabu")[F.col("key")], F.lit(0)) < i
         allowed = free | aspiration(F.col("next_value"), F.col("best_value"), visits) if aspiration else free
@@ -115,7 +116,7 @@ def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iter
 
         tabu = F.map_filter(put(F.col("tabu"), entry), lambda _, until: until > i)
         known = put(F.col("known"), F.map_from_arrays(F.array("to.key"), F.array("to.next"))) if diversification else F.col("known")
-        new = met.select("start_id", F.when(moved, F.col("to.next")).otherwise(F.col("repr")).alias("repr"), F.when(moved, F.col("to.next_value")).otherwise(F.col("value")).alias("value"), F.when(better, F.col("to.next")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("to.next_value")).otherwise(F.col("best_value")).alias("best_value"), F.when(better, F.lit(i)).otherwise(F.col("best_iteration")).alias("best_iteration"), tabu.alias("tabu"), put(F.col("visits"), seen).alias("visits"), known.alias("known"))
+        new = met.select("start_id", F.when(moved, F.col("to.next")).otherwise(F.col("repr")).alias("repr"), F.when(moved, F.col("to.next_value")).otherwise(F.col("value")).alias("value"), F.when(better, F.col("to.next")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("to.next_value")).otherwise(F.col("best_value")).alias("best_value"), F.when(better, F.lit(i)).otherwise(F.col("best_iteration")).alias("best_iteration"), tabu.alias("tabu"), put(F.col("visits"), seen).alias("visits"), known.alias("known"), *given)
         if diversification:
             stuck = (F.lit(i) - F.col("best_iteration") > patience) & (F.size(F.map_keys("visits")) > 0)
             least = F.array_min(F.transform(F.map_entries("visits"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("key"))))["key"]

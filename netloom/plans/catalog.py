@@ -570,7 +570,7 @@ def ga_uniform(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(uniform(1, F.col("vec_id"), "u"), 12).alias("u"))
 
 
-# Tabu search: the first thirteen parts are the items, and starts that choose the items of one remainder by three
+# Tabu search: the first twelve parts are the items of the queries with SQL, and starts choose the items of one remainder by three
 
 
 def _items(spark, d):
@@ -611,7 +611,14 @@ def tabu_values(spark, d):
     return rows.select("start_id", F.col("pos").cast("long").alias("pos"), F.round(tabu.knapsack(values, weights, 80)(F.col("repr")), 6).alias("value"), tabu.rarely_visited(visits).alias("intensified"), tabu.aspired(plain, F.lit(4000.0), visits).alias("aspired"))
 
 
+def _knapsacks(spark, d):
+    """Three starts for each twelve parts by their key, so that every part is an item of some knapsack."""
+    rows = table(spark, d, "part").groupBy(F.floor((F.col("p_partkey") - 1) / 12).alias("set_id")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.col("p_retailprice").cast("double").alias("value"), F.col("p_size").cast("double").alias("weight")))).alias("items"))
+    each = rows.select("set_id", F.col("items.value").alias("values"), F.col("items.weight").alias("weights"), F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("s"))
+    return each.select((F.col("set_id") * 3 + F.col("s")).alias("start_id"), "values", "weights", F.transform("values", lambda _, i: i % 3 == F.col("s")).alias("repr"))
+
+
 @query()
 def tabu_search(spark, d):
-    values, weights, _ = _items(spark, d)
-    return tabu.search(_starts(spark, d), tabu.composite([tabu.SWAP, tabu.INSERT]), tabu.knapsack(values, weights, 120), 5)
+    value = tabu.knapsack(F.col("values"), F.col("weights"), 120)
+    return tabu.search(_knapsacks(spark, d), tabu.composite([tabu.SWAP, tabu.INSERT]), value, given=["values", "weights"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import text
 from netloom.operators import clean, clusters, evaluation, fusion, ga, graph, idmap, similarity, tabu
+from netloom.plans import catalog
 from netloom.sources import readers, sinks
 from netloom.streaming.evidence import evidence_counts
 
@@ -252,6 +253,22 @@ def test_knapsack(spark):
     assert tabu.best_of(tabu.search(starts, kind, value, 2)).head().value == 220.0
 
 
+def test_every_part_is_searched(spark, tmp_path, monkeypatch):
+    parts = [(i, float(100 + i * 37 % 53), i * 7 % 50 + 1) for i in range(1, 31)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    said, search = {}, tabu.search
+    monkeypatch.setattr(tabu, "search", lambda *a, **b: said.update(n=a[3:], b=b) or search(*a[:3], 2, **b))
+    got = {r.start_id: (list(r.repr), r.value) for r in catalog.tabu_search(spark, str(tmp_path)).collect()}
+    assert said == {"n": (), "b": {"given": ["values", "weights"]}}
+    want = {}
+    for k in range(3):
+        items = parts[12 * k : 12 * k + 12]
+        one = spark.createDataFrame([(3 * k + s, [i % 3 == s for i in range(len(items))]) for s in range(3)], "start_id long, repr array<boolean>")
+        value = tabu.knapsack([x[1] for x in items], [x[2] for x in items], 120)
+        want |= {r.start_id: (list(r.repr), r.value) for r in search(one, tabu.composite([tabu.SWAP, tabu.INSERT]), value, 2).collect()}
+    assert got == want and sorted(got) == list(range(9)) and [len(got[i][0]) for i in (0, 3, 6)] == [12, 12, 6]
+
+
 def test_insert_moves(spark):
     x = [1, 2, 3, 4]
     want = []
