@@ -438,7 +438,7 @@ def cluster_individuals(spark, d):
 
 @query()
 def cluster_local_search(spark, d):
-    return clusters.local_search(_clusters(spark, d), fx.supplier_graph(spark, d), 3)
+    return clusters.local_search(_clusters(spark, d), fx.supplier_graph(spark, d))
 
 
 # Evaluation

@@ -203,6 +203,16 @@ def test_cluster_metrics_and_local_search(spark):
     assert found == {k: climb(v, adj, 3) for k, v in groups.items()}
 
 
+def test_local_search_query_goes_on_to_the_end(spark, monkeypatch):
+    adj = {i: {j: 1.0 for j in range(8) if j != i} for i in range(8)} | {8: {0: 0.1}, 9: {8: 0.1}}
+    adj[0][8] = adj[8][9] = 0.1
+    df = spark.createDataFrame([(a, b, w) for a, near in adj.items() for b, w in near.items()], "src long, dst long, weight double")
+    monkeypatch.setattr(catalog, "_clusters", lambda *_: spark.createDataFrame([(1, 1), (1, 2)], "cluster_id long, protein long"))
+    monkeypatch.setattr(catalog.fx, "supplier_graph", lambda *_: df)
+    got = {r.protein for r in catalog.cluster_local_search(spark, "").collect()}
+    assert got == climb({1, 2}, adj, 20) != climb({1, 2}, adj, 3)
+
+
 def test_evaluation(spark):
     known = {1: "abc", 2: "de", 3: "xyz"}
     detected = {10: "abc", 11: "abd", 12: "q"}
