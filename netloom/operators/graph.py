@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import guarded
+from netloom.llm.components import component_labels
+from netloom.storage import Store
 
 #: Members that a node group may have for its connection to be followed inside one row.
 LARGEST_GROUP = 2_000
@@ -48,12 +50,36 @@ def network_stats(edges: DataFrame, weight: str = "weight", a: str = "protein1",
 def connected_groups(members: DataFrame, both: DataFrame, empty: bool = True, single: bool = True) -> DataFrame:
     """(complex_id, connected) for each group of ``members`` (complex_id, protein) over a symmetric graph.
 
-    Only edges inside the group count. Each group becomes one row that follows its edges from one member; groups are
-    node lists of a bounded size, and a larger one raises an error rather than being judged on a part.
+    Only edges inside the group count. A group of at most LARGEST_GROUP members becomes one row that follows its edges
+    from one member; one aggregate finds the larger ones, whose edges stay rows and are labelled all together.
     """
     own = members.where(F.col("protein").isNotNull()).distinct()
+    large = own.groupBy("complex_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST_GROUP)
+    if large.isEmpty():
+        return _connected_rows(members, both, empty, single)
+    ids = large.select("complex_id")
+    small = _connected_rows(members.join(ids, "complex_id", "left_anti"), both, empty, single)
+    return small.union(_connected_labels(own.join(ids, "complex_id", "left_semi"), both))
+
+
+def _inside(own: DataFrame, both: DataFrame) -> DataFrame:
+    """(complex_id, src, dst) of the edges between two members of a group, without loops."""
     ends = own.select("complex_id", F.col("protein").alias("src"))
-    inside = ends.join(both, "src").join(own.select("complex_id", F.col("protein").alias("dst")), ["complex_id", "dst"], "left_semi").where("src <> dst")
+    return ends.join(both, "src").join(own.select("complex_id", F.col("protein").alias("dst")), ["complex_id", "dst"], "left_semi").where("src <> dst")
+
+
+def _connected_labels(own: DataFrame, both: DataFrame) -> DataFrame:
+    """Whether all members of a group of two or more carry one label of a component."""
+    a, b = (F.struct("complex_id", F.col(c).alias("protein")) for c in ("src", "dst"))
+    labels = component_labels(_inside(own, both).select(a.alias("a"), b.alias("b")), Store(own.sparkSession))
+    found = labels.groupBy(F.col("node.complex_id").alias("complex_id")).agg(F.count(F.lit(1)).alias("met"), (F.min("label") == F.max("label")).alias("one"))
+    sizes = own.groupBy("complex_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(found, "complex_id", "left").select("complex_id", F.coalesce(F.col("one") & (F.col("met") == F.col("n")), F.lit(False)).alias("connected"))
+
+
+def _connected_rows(members: DataFrame, both: DataFrame, empty: bool, single: bool) -> DataFrame:
+    """Each group as one row."""
+    inside = _inside(members.where(F.col("protein").isNotNull()).distinct(), both)
     near = inside.groupBy("complex_id", "src").agg(F.collect_list("dst").alias("to")).groupBy("complex_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "to"))).alias("edges"))
     groups = members.groupBy("complex_id").agg(F.collect_set("protein").alias("proteins")).join(near, "complex_id", "left")
     size = F.size("proteins")
@@ -66,8 +92,7 @@ def connected_groups(members: DataFrame, both: DataFrame, empty: bool = True, si
 
     steps = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
     reached = F.aggregate(steps, F.struct(start.alias("seen"), start.alias("edge")), spread)["seen"]
-    fits = F.when(size > LARGEST_GROUP, F.raise_error(F.lit("a node group is larger than its connection can be followed in one row"))).otherwise(F.size(reached) == size)
-    connected = F.when(size == 0, F.lit(empty)).when(size == 1, F.lit(single)).when(F.col("edges").isNull(), F.lit(False)).otherwise(fits)
+    connected = F.when(size == 0, F.lit(empty)).when(size == 1, F.lit(single)).when(F.col("edges").isNull(), F.lit(False)).otherwise(F.size(reached) == size)
     return groups.select("complex_id", connected.cast("boolean").alias("connected"))
 
 

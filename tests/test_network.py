@@ -149,6 +149,16 @@ def test_connected_groups(spark):
     assert rows(graph.connected_groups(path, line)) == [(9, True)]
 
 
+def test_connected_groups_of_any_size(spark):
+    n = graph.LARGEST_GROUP + 500
+    star = [(0, i) for i in range(1, n)]
+    sets = {1: range(n), 2: range(1, n), 3: [*range(n - 1), n + 7], 4: range(3), 5: [1, 2, 3], 6: range(n + 9, 2 * n + 9)}
+    both = graph.symmetric(spark.createDataFrame([*star, (1, 2), (n + 7, n + 8)], "u long, v long"))
+    m = spark.createDataFrame([(k, p) for k, v in sets.items() for p in v], "complex_id int, protein long")
+    assert dict(rows(graph.connected_groups(m, both))) == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
+    assert {r.complex_id: r.status for r in graph.filter_groups(m, both).collect()} == {1: "kept", 2: "disconnected", 3: "disconnected", 4: "kept", 5: "disconnected", 6: "missing"}
+
+
 def test_unique_groups(spark):
     m = spark.createDataFrame([("x", "a", 2), ("x", "b", 2), ("y", "b", 1), ("y", "a", 1), ("z", "a", 3)], "complex_id string, protein string, source int")
     assert rows(graph.unique_groups(m, "source")) == [("a", "z"), ("a;b", "y")]
