@@ -113,27 +113,29 @@ def _found(text: Column, kind: Kind, rank: int) -> Column:
     """The confirmed spans of one kind, leftmost and not overlapping; a match that fails is passed over.
 
     The pattern of an IBAN matches its first four characters only and looks ahead at the run that may belong to it, so
-    another one inside the run is still met.
+    another one inside the run is still met. The context of a match is the text before it, with other matches in it.
     """
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     values = F.zip_with(hits, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)), lambda head, run: _iban(F.concat(head, run))) if kind.name == "iban" else hits
     pairs = F.zip_with(
         F.split(text, kind.pattern, -1),
         F.arrays_zip(hits.alias("hit"), values.alias("value")),
-        lambda piece, x: F.struct(F.char_length(piece).alias("gap"), F.lower(F.right(piece, F.lit(CONTEXT_CHARS))).alias("before"), F.char_length(x["hit"]).alias("moves"), x["value"].alias("value")),
+        lambda piece, x: F.struct(F.char_length(piece).alias("gap"), F.right(piece, F.lit(CONTEXT_CHARS)).alias("near"), x["hit"].alias("hit"), F.char_length(x["hit"]).alias("moves"), x["value"].alias("value")),
     )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.char_length(x["value"])
-        score = F.lit(kind.prior + kind.confirmed) + F.when(x["before"].rlike(kind.words), F.lit(kind.context)).otherwise(F.lit(0.0))
+        before = F.right(F.concat(acc["tail"], x["near"]), F.lit(CONTEXT_CHARS))
+        moved = ((start + x["moves"]).alias("at"), F.right(F.concat(before, x["hit"]), F.lit(CONTEXT_CHARS)).alias("tail"))
+        score = F.lit(kind.prior + kind.confirmed) + F.when(F.lower(before).rlike(kind.words), F.lit(kind.context)).otherwise(F.lit(0.0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), x["value"].alias("value"))
         keeps = (start >= acc["free"]) & _valid(kind.name, x["value"]) & (F.lit(kind.base) | (score >= THRESHOLD))
-        kept = F.struct((start + x["moves"]).alias("at"), end.alias("free"), F.array_append(acc["out"], span).alias("out"))
-        return F.when(x["moves"].isNull(), acc).when(x["value"].isNotNull() & keeps, kept).otherwise(F.struct((start + x["moves"]).alias("at"), acc["free"].alias("free"), acc["out"].alias("out")))
+        kept = F.struct(*moved, end.alias("free"), F.array_append(acc["out"], span).alias("out"))
+        return F.when(x["moves"].isNull(), acc).when(x["value"].isNotNull() & keeps, kept).otherwise(F.struct(*moved, acc["free"].alias("free"), acc["out"].alias("out")))
 
     none = F.array().cast(_SPAN)
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("out")), step)["out"]
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("free"), none.alias("out")), step)["out"]
     return F.when(F.contains(text, F.lit(kind.trigger)), spans).otherwise(none) if kind.trigger else spans
 
 

@@ -82,6 +82,12 @@ def test_ibans_before_other_words(spark):
     assert rows == ["iban:5:27", "iban:5:27", "iban:5:27", "iban:5:27,iban:28:50", "iban:5:32", "iban:20:42", "", "iban:0:22", "", ""]
 
 
+def test_context_reaches_over_other_matches(spark):
+    values = ["phone 555-123-4567 or 555-987-6543", "phone 555-123-4567 or 555-987-6543 or 555-222-3333", "number 555-123-4567 or 555-987-6543"]
+    rows = [r.spans for r in pii.pii_report(texts(spark, values)).orderBy("doc_id").collect()]
+    assert rows == ["local_phone:6:18,local_phone:22:34"] + ["local_phone:6:18,local_phone:22:34"] + [""]
+
+
 def test_redaction(spark):
     df = pii.redact(pii.find_pii(texts(spark, ["write a@b.c or c@d.e!", "none", None, "a@b.c"])))
     assert [r.text for r in df.orderBy("doc_id").collect()] == ["write [EMAIL] or [EMAIL]!", "none", None, "[EMAIL]"]
