@@ -144,9 +144,9 @@ def score_quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
     found, targets, room = [], [], SAMPLE_CHARS
     for r in drawn.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).select("text").toLocalIterator():
+        if len(r["text"]) > room:
+            continue
         room -= len(r["text"])
-        if room < 0:
-            break
         p = properties(r["text"])
         found.append(_hashed(r["text"], p))
         targets.append(chance.get(votes(p), 0.5))

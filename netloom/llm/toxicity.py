@@ -192,14 +192,17 @@ def train(positive: list[str], negative: list[str], unlabelled: list[str], prior
 
 
 def _sample(rows: DataFrame, most: int, share: float) -> list[str]:
-    """At most ``most`` texts and a share of SAMPLE_CHARS characters, in the order of a hash of the id."""
+    """At most ``most`` texts and a share of SAMPLE_CHARS characters, in the order of a hash of the id.
+
+    A text that does not fit into the room left is passed over, not the ones after it.
+    """
     got = rows.select(F.xxhash64("doc_id", F.lit("sample")).alias("draw"), "text").orderBy("draw", "text").limit(most)
     got = got.repartitionByRange(SLICES, "draw", "text").sortWithinPartitions("draw", "text")
     out, room = [], int(SAMPLE_CHARS * share)
     for r in got.toLocalIterator():
+        if len(r["text"]) > room:
+            continue
         room -= len(r["text"])
-        if room < 0:
-            break
         out.append(r["text"])
     return out
 

@@ -491,3 +491,16 @@ def test_weighted_shards(spark, tmp_path):
     df = texts(spark, ["a", None, "c"])
     sharding.write_shards(df, str(tmp_path / "out"), weights=[1.0, 1.0])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_a_giant_text_leaves_room_for_the_others(spark, monkeypatch):
+    ids = [r.doc_id for r in spark.range(20).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample"))).collect()]
+    df = spark.createDataFrame([(i, "x" * (5_000 if i == ids[0] else 9) + str(i)) for i in ids], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4_000)
+    assert toxicity._sample(df, 20, 0.5) == ["x" * 9 + str(i) for i in ids[1:]]
+    first = spark.range(20).orderBy(F.xxhash64("id")).head().id
+    seen = []
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 4_000)
+    monkeypatch.setattr(quality, "train_scorer", lambda rows, targets: seen.extend(rows) or (np.zeros(quality.BUCKETS), 0.0))
+    quality.score_quality(spark.createDataFrame([(i, "x " * (5_000 if i == first else 9)) for i in range(20)], "doc_id long, text string")).count()
+    assert len(seen) == 19
