@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import guarded
-from netloom.llm.components import component_labels
+from netloom.operators.components import component_labels
 from netloom.storage import Store
 
 #: Members that a node group may have for its connection to be followed inside one row.

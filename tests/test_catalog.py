@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -41,3 +45,13 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_core_does_not_need_the_text_operators(monkeypatch):
+    for path in (Path(__file__).parents[1] / "netloom").rglob("*.py"):
+        if "llm" not in path.parts:
+            for node in ast.walk(ast.parse(path.read_text())):
+                names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
+                assert not any("llm" in n for n in names), path
+    monkeypatch.setitem(sys.modules, "netloom.llm", None)
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
