@@ -6,12 +6,14 @@ position in the passage). Shared q-grams are counted in bands of 2 (k + 1) diago
 holds them all; bands that reach the bound are aligned within the band, and stay if the edits are within the budget.
 
 Passages and texts are compared in lower case with each run of white space as one space, and positions refer to that.
-The passages are collected in blocks of bounded size, and each block is compared with all documents.
+The passages are collected in blocks of bounded size, and each block is compared with all documents; of more than one
+block, what each finds is written out before the next is fetched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+
+from netloom.storage import Store
 
 #: Characters of a q-gram; edits for each character of a passage.
 Q, RATE = 8, 0.1
 #: Characters of the passages that travel with a task at once; of the texts and pairs that a task compares at once.
 BLOCK_CHARS, TEXT_CHARS, PAIRS = 2_000_000, 2_000_000, 2_000_000
-_BITS = 22
+#: Characters hashed at a time, few enough for a processor's cache; least and most bits of the first look-up's table.
+HASHED, FEW_BITS, MOST_BITS = 1 << 15, 12, 24
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,16 +44,23 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _qgrams(codes: np.ndarray, q: int) -> np.ndarray:
-    """A hash for each position at which a q-gram begins."""
+    """A hash for each position at which a q-gram begins: a polynomial of its codes, put together from halves."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = codes[:n].astype(np.uint64)
-    for i in range(1, q):
-        out *= _PRIME
-        out += codes[i : i + n]
+    part, size, out, done = codes.astype(np.uint64), 1, None, 0
+    while True:
+        power = np.uint64(pow(int(_PRIME), size, 1 << 64))
+        if q & size:
+            out = part.copy() if out is None else out[: len(codes) - done - size + 1] * power + part[done:]
+            done += size
+        if done == q:
+            break
+        part = part[:-size] * power + part[size:]
+        size *= 2
     out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
 
 
 def budget(length: int, q: int = Q, rate: float = RATE) -> int:
@@ -99,14 +112,17 @@ class Matcher:
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.least = np.maximum(1, lengths - q + 1 - self.budgets * q)
         self.stride = self.budgets + 1
-        grams = [_qgrams(c, q) for c in self.codes]
-        hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
+        self.grams = [_qgrams(c, q) for c in self.codes]
+        hashes = np.concatenate([*self.grams, np.empty(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
-        self.offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)])[order].astype(np.int64)
-        self.table = np.zeros(1 << _BITS, bool)
-        self.table[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.item = np.repeat(np.arange(len(items)), np.array([len(g) for g in self.grams], np.int64))[order]
+        self.offset = np.concatenate([*(np.arange(len(g)) for g in self.grams), np.empty(0, np.int64)])[order].astype(np.int64)
+        #: The different hashes in order, where each begins in ``item`` and ``offset``, and how often it is there.
+        self.hashes, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+        bits = min(MOST_BITS, max(FEW_BITS, (16 * len(self.hashes)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.hashes >> self.shift).view(np.int64)] = True
         #: Passages shorter than a q-gram are looked up as they are.
         self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < q]
 
@@ -116,7 +132,7 @@ class Matcher:
         codes = _codes(joined)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         out = [(d, i, at, at + len(self.texts[i]), 0) for i in self.short for d, t in enumerate(texts) for at in _places(t, self.texts[i])]
-        bands = self._bands(_qgrams(codes, self.q), len(codes))
+        bands = self._bands(codes)
         regions: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for item, band in bands:
             k, stride = int(self.budgets[item]), int(self.stride[item])
@@ -136,14 +152,23 @@ class Matcher:
                     out.append((d, item, start, end, edits))
         return out
 
-    def _bands(self, grams: np.ndarray, size: int) -> list[tuple[int, int]]:
+    def _hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions whose q-gram some passage has, and its place in ``hashes``; a block of codes at a time."""
+        at, where = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for begin in range(0, len(codes) if len(self.hashes) else 0, HASHED):
+            grams = _qgrams(codes[begin : begin + HASHED + self.q - 1], self.q)
+            maybe = np.flatnonzero(self.table[(grams >> self.shift).view(np.int64)])
+            grams = grams[maybe]
+            place = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+            known = self.hashes[place] == grams
+            at.append(maybe[known] + begin)
+            where.append(place[known])
+        return np.concatenate(at), np.concatenate(where)
+
+    def _bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """The (item, band) whose shared q-grams reach the item's bound."""
-        if not len(grams) or not len(self.hashes):
-            return []
-        at = np.flatnonzero(self.table[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
-        first = np.searchsorted(self.hashes, grams[at], "left")
-        count = np.searchsorted(self.hashes, grams[at], "right") - first
-        at, first, count = at[count > 0], first[count > 0], count[count > 0]
+        at, where = self._hits(codes)
+        first, count, size = self.first[where], self.count[where], len(codes)
         keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
         # A diagonal is moved by the size, so that it isn't negative; a band of an item is a number below ``wide``.
         wide = 2 * size + 3
@@ -174,6 +199,9 @@ class Matcher:
         exact = text.find(self.texts[item], begin, end)
         if exact >= 0:
             return 0, exact, exact + m
+        # Repeats in the text let a band count a q-gram of the passage many times; the lemma needs that many places of it.
+        if int(np.isin(self.grams[item], _qgrams(codes[begin:end], self.q)).sum()) < self.least[item]:
+            return None
         found = align(self.codes[item], codes[begin:end], low - begin, high - begin, k)
         if not found or found[0] > k:
             return None
@@ -187,8 +215,11 @@ def _places(text: str, part: str) -> Iterator[int]:
         at = text.find(part, at + len(part))
 
 
-def passage_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The passages in blocks of at most ``BLOCK_CHARS`` characters, one block at a time; empty ones are left out."""
+def passage_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The passages in blocks of at most ``BLOCK_CHARS`` characters, and whether a block is the last; empty ones are left out.
+
+    The driver fetches a block when it is asked for. One passage is never parted, so a longer one is a block.
+    """
     rows = benchmark.where(F.length(F.trim(F.col(f"`{text}`"))) > 0).select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).head()[0] or 0
     if chars <= BLOCK_CHARS:
@@ -199,10 +230,9 @@ def passage_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "
         sums = dealt.withColumn("block", F.floor(F.sum(F.length("text")).over(Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)) / BLOCK_CHARS))
         keys = sorted((r[0], r[1]) for r in sums.select("part", "block").distinct().collect())
         blocks = [sums.where((F.col("part") == p) & (F.col("block") == b)) for p, b in keys]
-    for block in blocks:
+    for i, block in enumerate(blocks):
         items = [(r["item_id"], plain(r["text"])) for r in block.select("item_id", "text").collect()]
-        if items := [x for x in items if x[1]]:
-            yield items
+        yield [x for x in items if x[1]], i == len(blocks) - 1
 
 
 def _batched(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -226,8 +256,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     """
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     id_type, item_type = rows.schema["doc_id"].dataType, benchmark.schema[item_id].dataType
-    out = None
-    for items in passage_blocks(benchmark, item_id, item_text):
+    named, store, out = to_arrow_type(item_type), Store(documents.sparkSession), []
+    for items, last in passage_blocks(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, q, rate)
@@ -235,19 +265,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
                 for begin, part in _batched(batch.column(1).to_pylist()):
                     found = matcher.find(part)
                     ids = batch.column(0).take(pa.array([begin + x[0] for x in found], pa.int64()))
-                    named = pa.array([matcher.ids[x[1]] for x in found])
-                    yield pa.RecordBatch.from_arrays([ids, named.cast(pa.int64()) if item_type.typeName() == "long" else named, *(pa.array([x[i] for x in found], pa.int32()) for i in (2, 3, 4))], ["doc_id", "item_id", "start", "end", "edits"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([matcher.ids[x[1]] for x in found], named), *(pa.array([x[i] for x in found], pa.int32()) for i in (2, 3, 4))], ["doc_id", "item_id", "start", "end", "edits"])
 
         part = rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, start int, end int, edits int")
-        out = part if out is None else out.union(part)
-    if out is None:
+        out.append(part if last else store.put(part))
+    if not out:
         return rows.where("false").select("doc_id", F.lit(None).cast(item_type).alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "end", "edits")))
-    return out
+    return reduce(DataFrame.union, out)
 
 
 def clean_of(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
     """The rows of ``documents`` without any such stretch, with all their columns; rows are judged where they are."""
-    for items in passage_blocks(benchmark, item_id, item_text):
+    store = Store(documents.sparkSession)
+    for items, last in passage_blocks(benchmark, item_id, item_text):
 
         def judge(batches: Iterator[pd.Series], items: list = items) -> Iterator[pd.Series]:
             matcher = Matcher(items, q, rate)
@@ -258,5 +288,6 @@ def clean_of(documents: DataFrame, benchmark: DataFrame, text: str = "text", ite
                         good[begin + x[0]] = False
                 yield pd.Series(good)
 
-        documents = documents.where(F.pandas_udf(judge, "boolean", PandasUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
+        judged = documents.where(F.pandas_udf(judge, "boolean", PandasUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
+        documents = judged if last else store.put(judged)
     return documents

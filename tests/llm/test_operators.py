@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from netloom.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, queries, sharding, token_count, toxicity
-from netloom.llm.components import component_labels
-from netloom.llm.storage import Store
+from netloom.operators.components import component_labels
+from netloom.storage import Store
 
 
 def texts(spark, values):
@@ -450,6 +450,36 @@ def test_passages_in_documents(spark, sf, monkeypatch):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("q", [1, 2, 3, 5, 7, 8, 12])
+def test_qgrams_are_equal_where_the_strings_are(q):
+    rng = random.Random(q)
+    text = "".join(rng.choice("ab\U0001f600") for _ in range(300))
+    got = decontam._qgrams(decontam._codes(text), q)
+    grams = [text[i : i + q] for i in range(len(text) - q + 1)]
+    assert len(got) == len(grams) and len(set(zip(grams, got.tolist(), strict=True))) == len(set(grams)) == len(set(got.tolist()))
+    assert not len(decontam._qgrams(decontam._codes(text[: q - 1]), q))
+
+
+def test_hits_do_not_depend_on_the_blocks(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["the", "quick", "fox", "of", "a"]) for _ in range(2000))
+    matcher = decontam.Matcher([(1, text[100:160]), (2, text[900:1000]), (3, "the " * 30)])
+    want = matcher.find([text, "the " * 500, text[::-1]])
+    assert {i for d, i, *_ in want if d == 0} >= {0, 1} and {i for d, i, *_ in want if d == 1} == {2}
+    monkeypatch.setattr(decontam, "HASHED", 37)
+    assert matcher.find([text, "the " * 500, text[::-1]]) == want
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "short"])
+def test_passage_ids_of_any_type(spark, kind):
+    passage = "a passage that stands in one of the documents and nowhere else"
+    docs = spark.createDataFrame([(1, "before " + passage + " after"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    out = decontam.contaminated(docs, bench)
+    assert out.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert [(r.doc_id, str(r.item_id), r.edits) for r in out.collect()] == [(1, "7", 0)]
+
+
 # Sharding
 
 
