@@ -1,10 +1,13 @@
 """Tables written to the shared folder, to cut lineage so that a lost executor costs one stage at most.
 
-The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none gets one of its own.
+The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none gets one of its own. What a
+run leaves there is deleted when the driver's process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -33,8 +36,15 @@ class Store:
         self.root = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
         self.count = 0
 
+    def _end(self) -> None:
+        """Delete what is left; a session that has stopped meanwhile cannot."""
+        with contextlib.suppress(Exception):
+            self.clear()
+
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once; what is returned scans the written table."""
+        if not self.count:
+            atexit.register(self._end)
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
@@ -44,7 +54,15 @@ class Store:
 
     def free(self, *frames: DataFrame) -> None:
         """Delete tables that :meth:`put` returned and that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.netloom_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(df.netloom_path)
+
+    def clear(self) -> None:
+        """Delete all tables of this store, once nothing reads any of them."""
+        self._delete(self.root)
+        self.count = 0
+        atexit.unregister(self._end)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
