@@ -1,48 +1,55 @@
 """Text quality from weak labels: heuristics vote, expectation-maximisation weighs them, a linear scorer learns the result.
 
 Each labeller looks at one property of a text and votes good, bad or nothing. A text's votes make one string, of which
-there are at most three to the power of the labellers, and a few hundred as a rule; the counts of these strings over all documents are all that
-expectation-maximisation needs. It gives each labeller's accuracy, and each string of votes the chance that its texts
-are good. With these as targets, a logistic scorer over hashed features of a bounded sample of texts is trained.
+there are at most three to the power of the labellers, and a few hundred as a rule; the counts of these strings over
+all documents are all that expectation-maximisation needs. It gives each labeller's accuracy, and each string of votes
+the chance that its texts are good. With these as targets, a logistic scorer over hashed features of a bounded sample
+of rows is trained. Texts are read once: their votes and the steps of their properties, a few dozen bytes, are written
+out, and all else works on these.
 """
 
 from __future__ import annotations
 
+import operator
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
-#: Texts that the scorer is trained on, and their characters together; buckets of its features.
-SAMPLE, SAMPLE_CHARS, BUCKETS = 8_000, 30_000_000, 1 << 16
+from netloom.storage import Store
+
+#: Rows that the scorer is trained on; buckets of its features.
+SAMPLE, BUCKETS = 8_000, 1 << 16
 #: A text is kept from this score.
 KEEP = 0.9
 _RATIO_STEPS = np.array([0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
-_LETTERS = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Properties of a text, kinds of words, and the most steps that one of them can have.
+PROPERTIES, SHAPES, STEPS = 11, "adxm", 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def properties(text: str | None) -> dict[str, float]:
-    """What the labellers look at; a null or empty text has zeros."""
+def properties(text: str | None, words: list[str] | None = None, counts: Counter | None = None) -> dict[str, float]:
+    """What the labellers look at; a null or empty text has zeros. ``words`` and their ``counts`` may be given."""
     text = text or ""
-    words = text.split()
+    words = text.split() if words is None else words
+    counts = Counter(words) if counts is None else counts
     n, chars = max(1, len(words)), max(1, len(text))
-    lines = [x.strip() for x in text.split("\n")]
-    lines = [x for x in lines if x]
-    counts = Counter(words)
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
     return {
         "words": len(words),
         "length": sum(map(len, words)) / n,
-        "letters": len(_LETTERS.findall(text)) / max(1, chars - text.count(" ") - text.count("\n")),
-        "digits": sum(text.count(d) for d in "0123456789") / chars,
+        "letters": sum(map(len, _LETTERS.findall(text))) / max(1, chars - text.count(" ") - text.count("\n")),
+        "digits": sum(map(text.count, "0123456789")) / chars,
         "top": max(counts.values(), default=0) / n,
         "distinct": len(counts) / n**0.8,
-        "twice": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "twice": sum(map(operator.eq, words, words[1:])) / n,
         "same_lines": 1 - len(set(lines)) / max(1, len(lines)),
         "ends": sum(x[-1] in ".!?:\"'" for x in lines) / max(1, len(lines)),
         "upper": sum(map(str.isupper, words)) / n,
@@ -98,63 +105,81 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 100) -> tuple
     return dict(zip(strings, good.tolist(), strict=True)), right
 
 
-def _hashed(text: str | None, p: dict[str, float]) -> list[int]:
-    """Buckets of a text: its properties by steps, and the shapes of its words."""
-    names = [f"{k}:{int(np.searchsorted(_RATIO_STEPS, v)) if v <= 1 else 20 + int(np.log2(v + 1))}" for k, v in p.items()]
-    names += [a + "&" + b for i, a in enumerate(names) for b in names[i + 1 :]]
-    shapes = Counter("d" if w.isdigit() else "a" if w.isalpha() else "x" if w[:-1].isalpha() else "m" for w in (text or "").split())
+def steps_of(p: dict[str, float], counts: Counter) -> list[int]:
+    """The step of each property, and of the share of each kind of word: 0 where there is none of it."""
+    out = [int(np.searchsorted(_RATIO_STEPS, v)) if v <= 1 else min(STEPS - 1, 20 + int(np.log2(v + 1))) for v in p.values()]
+    shapes = Counter()
+    for w, n in counts.items():
+        shapes["d" if w.isdigit() else "a" if w.isalpha() else "x" if w[:-1].isalpha() else "m"] += n
     total = max(1, sum(shapes.values()))
-    names += [f"shape {s}:{int(10 * c / total)}" for s, c in shapes.items()]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+    return out + [1 + int(10 * shapes[k] / total) if shapes[k] else 0 for k in SHAPES]
+
+
+def hashed(steps: np.ndarray) -> np.ndarray:
+    """The buckets of rows of steps: each property alone, each two of them, and each kind of word; BUCKETS for none."""
+    own = steps.astype(np.uint64) + np.arange(steps.shape[1], dtype=np.uint64) * np.uint64(STEPS)
+    first, second = np.triu_indices(PROPERTIES, 1)
+    names = np.concatenate([own, np.uint64(1 << 20) + own[:, first] * np.uint64(1 << 10) + own[:, second]], axis=1)
+    out = ((names + np.uint64(1)) * _FACTOR >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    out[:, PROPERTIES : steps.shape[1]][steps[:, PROPERTIES:] == 0] = BUCKETS
+    return out
 
 
-def train_scorer(rows: list[list[int]], targets: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer for targets from 0 to 1."""
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    c = np.array([f for x in rows for f in x], np.int64)
-    w, b = np.zeros(BUCKETS), 0.0
-    sums, sum_b = np.full(BUCKETS, 1e-8), 1e-8
+def train_scorer(rows: np.ndarray, targets: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer for targets from 0 to 1; the bucket for none keeps the weight 0."""
+    r, c = np.repeat(np.arange(len(rows)), rows.shape[1]), rows.ravel()
+    r, c = r[c < BUCKETS], c[c < BUCKETS]
+    w, b = np.zeros(BUCKETS + 1), 0.0
+    sums, sum_b = np.full(BUCKETS + 1, 1e-8), 1e-8
     for _ in range(rounds if len(rows) else 0):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], len(rows)) + b, -60, 60)))
         g = (p - targets) / len(rows)
-        step = np.bincount(c, g[r], BUCKETS) + 1e-5 * w
+        step = np.bincount(c, g[r], BUCKETS + 1) + 1e-5 * w
         sums, sum_b = sums + step**2, sum_b + g.sum() ** 2
         w, b = w - 0.1 * step / np.sqrt(sums), b - 0.1 * g.sum() / np.sqrt(sum_b)
     return w, float(b)
 
 
-def vote_of(text: Column) -> Column:
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([votes(properties(t)) for t in texts], dtype=object)
+def _looked_at(rows: DataFrame) -> DataFrame:
+    """(doc_id, draw, votes, steps) of rows (doc_id, draw, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cast, steps = [], []
+            for text in batch.column(2).to_pylist():
+                words = text.split()
+                counts = Counter(words)
+                p = properties(text, words, counts)
+                cast.append(votes(p))
+                steps.append(steps_of(p, counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cast, pa.string()), pa.array(steps, pa.list_(pa.int8()))], ["doc_id", "draw", "votes", "steps"])
 
-    return F.pandas_udf(judge, "string", PandasUDFType.SCALAR_ITER)(text)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, draw long, votes string, steps array<tinyint>")
 
 
-def score_quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, quality (0 to 1) and kept (from ``KEEP``).
 
-    No given label is used. Votes are counted over all rows; the scorer learns from a bounded sample in the order of a
-    hash of the id. Null and empty texts are scored like any other, as bad ones. An empty table gives no rows.
+    No given label is used. Votes are counted over all rows; the scorer learns from ``sample`` different rows at most,
+    in the order of a hash of id and text, whatever their lengths. Null and empty texts are scored like any other, as
+    bad ones. An empty table gives no rows.
     """
-    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    counts = {r["votes"]: r["count"] for r in rows.select(vote_of(F.col("text")).alias("votes")).groupBy("votes").count().collect()}
+    store = Store(df.sparkSession)
+    words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = store.put(_looked_at(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{doc_id}`"), words).alias("draw"), words.alias("text"))))
+    counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
     chance, _ = expectation_maximisation(counts)
-    rate = min(1.0, 3 * SAMPLE / max(1, sum(counts.values())))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
-    found, targets, room = [], [], SAMPLE_CHARS
-    for r in drawn.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).select("text").toLocalIterator():
-        if len(r["text"]) > room:
-            continue
-        room -= len(r["text"])
-        p = properties(r["text"])
-        found.append(_hashed(r["text"], p))
-        targets.append(chance.get(votes(p), 0.5))
-    weights, bias = train_scorer(found, np.array(targets))
+    # Three times the sample is ample for copies; the hash is spread evenly from -2^63.
+    rate = 3 * sample / max(1, sum(counts.values()))
+    drawn = rows.where(F.col("draw") < int(-(2**63) + rate * 2**64)) if rate < 1 else rows
+    drawn = drawn.groupBy("draw").agg(F.first("votes").alias("votes"), F.first("steps").alias("steps")).orderBy("draw").limit(sample).collect()
+    targets = np.array([chance[r["votes"]] for r in drawn])
+    weights, bias = train_scorer(hashed(np.array([list(r["steps"]) for r in drawn], np.int64).reshape(-1, PROPERTIES + len(SHAPES))), targets)
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([1 / (1 + np.exp(-np.clip(bias + weights[_hashed(t, properties(t))].sum(), -60, 60))) for t in texts], dtype=float)
+        for steps in batches:
+            total = weights[hashed(np.array(steps.tolist(), np.int64).reshape(-1, PROPERTIES + len(SHAPES)))].sum(1) + bias
+            yield pd.Series(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
-    scored = rows.select("doc_id", F.pandas_udf(judge, "double", PandasUDFType.SCALAR_ITER)(F.col("text")).alias("quality"))
+    scored = rows.select("doc_id", F.pandas_udf(judge, "double", PandasUDFType.SCALAR_ITER)(F.col("steps")).alias("quality"))
     return scored.withColumn("kept", F.col("quality") >= KEEP)
