@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -285,7 +286,7 @@ def test_no_confirmed_texts(spark):
 
 
 def test_risk_does_not_fall_below_zero():
-    w, b = toxicity.fit_nnpu([np.array([0]), np.array([0, 1])] * 20, [np.array([0])] * 10 + [np.array([2])] * 90, 3, 0.1)
+    w, b = toxicity.fit_nnpu([np.array([0]), np.array([0, 1])] * 20, [np.array([0]), np.array([2])], np.array([10.0, 90.0]), 3, 0.1)
     assert w[0] + b > 0 > w[2] + b and np.isfinite(w).all()
 
 
@@ -523,14 +524,122 @@ def test_weighted_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-def test_a_giant_text_leaves_room_for_the_others(spark, monkeypatch):
-    ids = [r.doc_id for r in spark.range(20).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample"))).collect()]
-    df = spark.createDataFrame([(i, "x" * (5_000 if i == ids[0] else 9) + str(i)) for i in ids], "doc_id long, text string")
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4_000)
-    assert toxicity._sample(df, 20, 0.5) == ["x" * 9 + str(i) for i in ids[1:]]
-    first = spark.range(20).orderBy(F.xxhash64("id")).head().id
-    seen = []
-    monkeypatch.setattr(quality, "SAMPLE_CHARS", 4_000)
-    monkeypatch.setattr(quality, "train_scorer", lambda rows, targets: seen.extend(rows) or (np.zeros(quality.BUCKETS), 0.0))
-    quality.score_quality(spark.createDataFrame([(i, "x " * (5_000 if i == first else 9)) for i in range(20)], "doc_id long, text string")).count()
-    assert len(seen) == 19
+def test_a_giant_text_changes_nothing_for_the_others(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join([*(rng.choice(words) for _ in range(40)), *(["zorka", "vile"] if i % 4 == 0 else [])]) + ".") for i in range(200)]
+    plain = {r.doc_id: r.kept for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    first = spark.range(200).select(F.col("id").alias("doc_id")).where(~toxicity.held_out(F.col("doc_id")) & (F.col("doc_id") % 4 == 0)).orderBy(F.xxhash64("doc_id", F.lit("sample"))).head().doc_id
+    rows[first] = (first, rows[first][1] + " " + "padding " * 1_000_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, marks).collect()}
+    assert got == {i: int(i % 4 == 0) for i in range(200)}
+    good = {r.doc_id: r.kept for r in quality.score_quality(docs).collect()}
+    assert sum(good.values()) > 150 and all(good[i] == plain[i] for i in good if i != first)
+
+
+def risk_of(positive, unlabelled, weight, prior, w, b):
+    """Both parts of the risk, a row at a time."""
+    loss = lambda row, y: float(np.log1p(np.exp(-y * (sum(w[i] for i in row) + b))))
+    toxic = prior * sum(loss(x, 1) for x in positive) / len(positive)
+    clean = sum(n * loss(x, -1) for x, n in zip(unlabelled, weight, strict=True)) / sum(weight) - prior * sum(loss(x, -1) for x in positive) / len(positive)
+    return toxic, clean
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.9])
+def test_the_gradient_is_that_of_the_risk(prior):
+    rng = np.random.default_rng(3)
+    rows = lambda n, often: [np.flatnonzero(rng.random(6) < often).astype(np.int32) for _ in range(n)]
+    positive, unlabelled, weight = rows(9, prior), rows(15, 0.3), rng.integers(1, 9, 15).astype(float)
+    w, b = rng.random(6) * 2, -0.5
+    risk = toxicity.Risk(positive, unlabelled, weight, 6, prior)
+    toxic, clean, _, _ = risk.parts(w, b)
+    assert np.allclose([toxic, clean], risk_of(positive, unlabelled, weight, prior, w, b))
+    assert (clean < 0) == (prior == 0.9)
+
+    def goal(x):
+        t, c = risk_of(positive, unlabelled, weight, prior, x[:-1], x[-1])
+        return -c if clean < 0 else t + c
+
+    x = np.append(w, b)
+    slope = [(goal(x + e) - goal(x - e)) / 2e-5 for e in np.eye(7) * 1e-5]
+    assert np.allclose(risk.step(w, b), slope, atol=1e-6)
+
+
+def test_the_steps_of_toxicity_cover_all_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(toxicity, "SETS_KEPT", 5)
+    monkeypatch.setattr(toxicity, "HEADS_KEPT", 50)
+    rows = [(i, t or "") for i, t in documents(spark, sf)] + [(10**6 + i, "The, copied text!") for i in range(30)]
+    marks = lru_cache(None)(lambda t: {n for w in t.lower().split() for n in toxicity.features_of(w)})
+    counts = Counter(n for _, t in rows for n in marks(t))
+    names = sorted(n for n, k in counts.items() if k >= 10)[:300] + ["^cop", "=the", "=copied"]
+    names = sorted(set(names))
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("text_key"), "text").repartition(3)
+    monkeypatch.setattr(toxicity, "PARTS", 10)
+    hot = toxicity._frequent(df)
+    assert list(hot.values()) == [toxicity.ROW // 30]
+    usage, n = toxicity._usage(df, names, hot)
+    weigh = lambda t: hot[min(hot)] / toxicity.ROW if t == "The, copied text!" else 1
+    assert np.allclose(usage, [sum(weigh(t) for _, t in rows if x in marks(t)) for x in names]) and np.isclose(n, sum(weigh(t) for _, t in rows))
+    want = Counter()
+    for _, t in rows:
+        want[tuple(i for i, x in enumerate(names) if x in marks(t))] += hot[min(hot)] if weigh(t) < 1 else toxicity.ROW
+    sets = toxicity._sets(df, names, hot)
+    assert {tuple(r.places): r.weight for r in sets.collect()} == want
+    own = [np.array([names.index("=the")], np.int32)] * 3
+    w, b = toxicity.fit_nnpu(own, [np.array(k, np.int32) for k in sorted(want)], np.array([want[k] for k in sorted(want)], float), len(names), 0.1)
+    whole = toxicity._trained(sets, own, len(names), 0.1)
+    assert np.allclose(whole[0], w) and np.isclose(whole[1], b)
+    monkeypatch.setattr(toxicity, "CELLS", 500)
+    parted = toxicity._trained(sets, own, len(names), 0.1)
+    assert np.isfinite(parted[0]).all() and abs(parted[1] - b) < 1.5
+    model = toxicity.Model(names, w, b)
+    got = {r.text: r.s for r in df.select("text", toxicity.score_of(F.col("text"), model).alias("s")).collect()}
+    for _, t in rows:
+        assert np.isclose(got[t], 1 / (1 + np.exp(-(b + sum(w[i] for i, x in enumerate(names) if x in marks(t))))))
+
+
+def test_expectation_maximisation_row_by_row():
+    """The same sums over single rows, with probabilities instead of their logarithms."""
+    rng = random.Random(6)
+    rows = ["".join(rng.choice("gggb-" if i % 3 else "bbg-") for _ in range(4)) for i in range(300)]
+    chance, right = quality.expectation_maximisation(Counter(rows), 30)
+    acc, prior = [[0.99, 0.2] for _ in range(4)], 0.7
+    for _ in range(30):
+        post = []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for k, v in enumerate(r):
+                a *= {"g": acc[k][0], "b": 1 - acc[k][0], "-": 1}[v]
+                b *= {"b": acc[k][1], "g": 1 - acc[k][1], "-": 1}[v]
+            post.append(a / (a + b))
+        prior = min(0.98, max(0.02, sum(post) / len(rows)))
+        for k in range(4):
+            good = sum(p for p, r in zip(post, rows, strict=True) if r[k] != "-")
+            bad = sum(1 - p for p, r in zip(post, rows, strict=True) if r[k] != "-")
+            acc[k] = [(sum(p for p, r in zip(post, rows, strict=True) if r[k] == "g") + 9.9) / (good + 10), (sum(1 - p for p, r in zip(post, rows, strict=True) if r[k] == "b") + 2) / (bad + 10)]
+            acc[k] = [min(0.995, max(0.8, acc[k][0])), min(0.995, max(0.02, acc[k][1]))]
+    assert np.allclose(right, acc) and all(abs(chance[r] - p) < 1e-9 for r, p in zip(rows, post, strict=True))
+
+
+def test_quality_row_by_row(spark, sf, monkeypatch):
+    kept = {}
+    real = quality.train_scorer
+    monkeypatch.setattr(quality, "train_scorer", lambda rows, targets: kept.setdefault("model", real(rows, targets)))
+    got = {r.doc_id: r.quality for r in quality.score_quality(queries.table(spark, sf, "documents")).collect()}
+    w, b = kept["model"]
+    for i, t in documents(spark, sf):
+        words = (t or "").split()
+        p = quality.properties(t)
+        own = [sum(bool(x < v) for x in quality._RATIO_STEPS) if v <= 1 else min(63, 20 + int(np.log2(v + 1))) for v in p.values()]
+        kind = Counter("d" if x.isdigit() else "a" if x.isalpha() else "x" if x[:-1].isalpha() else "m" for x in words)
+        steps = own + [1 + int(10 * kind[k] / len(words)) if kind[k] else 0 for k in quality.SHAPES]
+        codes = [k * 64 + s for k, s in enumerate(steps) if k < 11 or s] + [(1 << 20) + (j * 64 + steps[j]) * 1024 + k * 64 + steps[k] for j in range(11) for k in range(j + 1, 11)]
+        total = b + sum(w[((c + 1) * 0x9E3779B97F4A7C15 % 2**64) >> 48] for c in codes)
+        assert np.isclose(got[i], 1 / (1 + np.exp(-total)))
+
+
+def test_nothing_to_learn_is_said(spark):
+    with pytest.warns(UserWarning, match="no labelled row is toxic"):
+        toxicity.fit(texts(spark, ["a b"]), spark.createDataFrame([(0, 0)], "doc_id long, toxic int"))
