@@ -1,16 +1,19 @@
 """Documents linked by the Jaccard similarity of their word n-grams, exactly, as a sparse matrix product in blocks.
 
-The matrix has a row for each different text and a column for each n-gram. Documents and n-grams are 64-bit hashes.
-Two sets of sizes a and b with similarity of at least t share ``ceil(t (a + b) / (1 + t))`` elements, so in any common order
-of all n-grams their first ``a - ceil(t a) + 1`` and ``b - ceil(t b) + 1`` elements share one: only these cells of the
-matrix enter the product. The order puts n-grams that many texts have last (counts by chunk of the input, summed; they
-steer cost, not results), so common passages hardly enter.
-
-Texts that are the same string are one row, by their 64-bit hash. Of the product, first only the cells of each text with one
-leader for each column are formed, and their pairs compared in full; texts so linked are one class from then on, and
-columns within one class are done. A few rounds of this leave little, and of what is left all pairs of different
-classes are formed, in blocks of bounded size, with their overlap so far; pairs whose sizes and overlap cannot reach
-the bound are dropped, the others compared in full. No link between texts of different classes is lost.
+The matrix has a row for each different text and a column for each n-gram, a 64-bit hash. Two sets of sizes a and b
+with similarity of at least t share ``ceil(t (a + b) / (1 + t))`` elements, so in any common order of all n-grams their
+first ``a - ceil(t a) + 1`` and ``b - ceil(t b) + 1`` elements share one: only these cells of the matrix enter the
+product. The order puts n-grams that many texts have last (counts by chunk of the input, summed; they steer cost, not
+results), so common passages hardly enter.
+
+Texts that are the same string are one row. A row's key is a 64-bit hash; a second one tells keys that two texts have,
+and their texts get other keys. First, each text is compared in full with the leader of most of its columns; texts so
+linked are one class from then on, and columns within one class are done. When this leaves few pairs, the product of
+what is left is formed in blocks of bounded size: the overlap of each pair of texts of different classes is added up
+over the columns, and pairs whose sizes and overlap cannot reach the bound are dropped. The others are compared in full,
+word by word. No link between texts of different classes is lost.
+
+A column, or a text's pairs, with more than one in PARTS of all is frequent and dealt to parts; at most PARTS can be.
 """
 
 from __future__ import annotations
@@ -22,18 +25,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.columns import fresh
 from netloom.operators.components import component_labels
 from netloom.storage import Store
 
 #: N-grams that a task counts at a time, how often one must come there to be told, and how many the order knows.
 CHUNK, TOLD, ORDERED = 2_000_000, 3, 1 << 18
 #: Rounds with leaders at most, rows of a column that one block holds; pairs for each cell from which a second round pays.
-ROUNDS, BLOCK, PAIRS_PER_CELL = 4, 256, 100
+ROUNDS, BLOCK, PAIRS_PER_CELL = 4, 256, 20
+#: Pairs of a frequent text that one part holds at least.
+PART_PAIRS = 64
 #: Bits of the map of the texts whose n-grams are needed in full.
 MAP_BITS = 1 << 23
 #: A key with more than one row in PARTS, so at most PARTS of them, is frequent: its value goes to where the rows are.
 PARTS = 4_000
 WORDS_KEPT = 300_000
+#: Ids of rows to drop that are sent to where the rows are; more of them meet the rows by key.
+DROPPED = 500_000
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -81,12 +89,29 @@ class Shingler:
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_key, check, text): two independent 64-bit hashes of the text."""
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(words).alias("text_key"), words.alias("text"))
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(words).alias("text_key"), F.xxhash64(F.lit("check"), words).alias("check"), words.alias("text"))
+
+
+def _told_apart(rows: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames with keys that no two texts share, as far as 128 bits tell them apart.
+
+    Of N texts, N^2 / 2^65 keys are expected to stand for two: none below a billion, a few at ten billion. Only these
+    few come to the driver; their texts are keyed by the second hash instead, until all keys differ.
+    """
+    for turn in range(8):
+        keys = documents.groupBy("text_key").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        double = [r[0] for r in keys.where("low <> high").select("text_key").collect()]
+        if not double:
+            break
+        other = F.when(F.col("text_key").isin(double), F.xxhash64("check", F.lit(turn))).otherwise(F.col("text_key"))
+        rows, documents = rows.withColumn("text_key", other), documents.withColumn("text_key", other)
+    return rows, documents
 
 
 def _described(rows: DataFrame, n: int) -> DataFrame:
-    """A row (doc_id, text_key, n) for each document, and rows (null, hash, count) for n-grams that a chunk has often."""
+    """A row (doc_id, text_key, check, n) for each document, and rows (null, hash, 0, count) for n-grams that a chunk has often."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,17 +120,17 @@ def _described(rows: DataFrame, n: int) -> DataFrame:
         def told() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(chunk), return_counts=True)
             often = counts >= TOLD
-            return out([None] * int(often.sum()), values[often].astype(np.int64), counts[often], True)
+            n = int(often.sum())
+            return out(pa.nulls(n, id_type), pa.array(values[often].astype(np.int64)), pa.array(np.zeros(n, np.int64)), counts[often], True)
 
-        def out(ids, keys, sizes, gram: bool) -> pa.RecordBatch:
-            ids = pa.array(ids, id_type)
-            return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([gram] * len(ids), pa.bool_())], ["doc_id", "text_key", "n", "gram"])
+        def out(ids: pa.Array, keys: pa.Array, checks: pa.Array, sizes, gram: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, keys, checks, pa.array(sizes, pa.int64()), pa.array([gram] * len(ids), pa.bool_())], ["doc_id", "text_key", "check", "n", "gram"])
 
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
             sizes = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 grams = shingle(text)
                 sizes.append(len(grams))
                 chunk.append(grams)
@@ -113,20 +138,23 @@ def _described(rows: DataFrame, n: int) -> DataFrame:
                 if held >= CHUNK:
                     yield told()
                     chunk, held = [], 0
-            yield out(batch.column(0), batch.column(1), sizes, False)
+            yield out(batch.column(0), batch.column(1), batch.column(2), sizes, False)
         if chunk:
             yield told()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, gram boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, check long, n long, gram boolean")
 
 
-def _prefixes(rows: DataFrame, n: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The cells of the matrix that enter the product: (gram, text_key, n, place). Copies within a task count once."""
+def _prefixes(rows: DataFrame, n: int, percent: int, common: np.ndarray, counts: np.ndarray, least: int) -> DataFrame:
+    """The cells of the matrix that enter the product: (gram, text_key, n, place, parts). Copies within a task count once.
+
+    ``parts`` is how many parts a column is dealt to: one for each ``least`` rows by the counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(n), set()
         for batch in batches:
-            keys, sizes, lengths, grams = [], [], [], []
+            keys, sizes, lengths, grams, parts = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key in seen:
                     continue
@@ -136,6 +164,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, common: np.ndarray, counts:
                 if not len(found):
                     continue
                 first = len(found) - (percent * len(found) + 99) // 100 + 1
+                dealt = np.ones(first, np.int32)
                 if len(common):
                     at = np.searchsorted(common, found)
                     at[at == len(common)] = 0
@@ -143,8 +172,10 @@ def _prefixes(rows: DataFrame, n: int, percent: int, common: np.ndarray, counts:
                     rare = found[~often]
                     if len(rare) < first:
                         # The hashes are sorted, so of equal counts the smaller hash comes first.
-                        more = found[often][np.argsort(counts[at[often]], kind="stable")]
-                        rare = np.concatenate([rare, more])
+                        known = counts[at[often]]
+                        more = np.argsort(known, kind="stable")
+                        dealt[len(rare) :] = (1 + known[more] // least)[: first - len(rare)]
+                        rare = np.concatenate([rare, found[often][more]])
                     chosen = rare[:first]
                 else:
                     chosen = found[:first]
@@ -152,11 +183,13 @@ def _prefixes(rows: DataFrame, n: int, percent: int, common: np.ndarray, counts:
                 sizes.append(len(found))
                 lengths.append(len(chosen))
                 grams.append(chosen)
+                parts.append(dealt)
             if keys:
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(place)], ["gram", "text_key", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(place), pa.array(np.concatenate(parts))], ["gram", "text_key", "n", "place", "parts"])
 
-    return rows.select("text_key", "text").mapInArrow(run, "gram long, text_key long, n int, place int")
+    cells = rows.select("text_key", "text").mapInArrow(run, "gram long, text_key long, n int, place int, parts int")
+    return cells.withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
 
 
 def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -173,40 +206,84 @@ def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).groupBy("text_key").agg(F.first("text").alias("text"))
 
 
+def overlap(x: np.ndarray, y: np.ndarray, n: int) -> tuple[int, int]:
+    """How many different n-grams two sequences of word numbers share, and have together; exact, without hashes.
+
+    n-grams are numbered by pairs of numbers of shorter ones, as the bits of n say, so no number is ever large.
+    """
+    n_x, n_y = (min(n, len(s)) for s in (x, y))
+    if n_x != n_y:
+        return 0, (len(x) > 0) * max(1, len(x) - n + 1) + (len(y) > 0) * max(1, len(y) - n + 1)
+    if not n_x:
+        return 0, 0
+
+    def numbered(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        """Each two numbers side by side as one number, the same for the same two in both sequences."""
+        left, right = np.concatenate(a), np.concatenate(b)
+        _, out = np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)
+        return [out[: len(a[0])], out[len(a[0]) :]]
+
+    part, size, out, done = [x.astype(np.int64), y.astype(np.int64)], 1, None, 0
+    while True:
+        if n_x & size:
+            out = part if out is None else numbered([o[: len(p) - done] for o, p in zip(out, part, strict=True)], [p[done:] for p in part])
+            done += size
+        if done == n_x:
+            break
+        part = numbered([p[:-size] for p in part], [p[size:] for p in part])
+        size *= 2
+    own, other = np.unique(out[0]), np.unique(out[1])
+    shared = len(own) + len(other) - len(np.unique(np.concatenate([own, other])))
+    return shared, len(own) + len(other) - shared
+
+
 def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) of rows (a, b, x, y) whose texts x and y are similar enough."""
+    """The (a, b) of rows (a, b, x, y) whose texts x and y are similar enough, compared by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
+        numbers: dict[bytes, int] = {}
         held: dict[int, np.ndarray] = {}
 
-        def grams(key: int, text: str) -> np.ndarray:
+        def words(key: int, text: str) -> np.ndarray:
             if key not in held:
-                if len(held) >= 64:
+                if len(held) >= 64 or len(numbers) > WORDS_KEPT:
                     held.clear()
-                held[key] = shingle(text)
+                found = text.encode("utf-8", "surrogatepass").translate(_UPPER).split()
+                held[key] = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found))
             return held[key]
 
         for batch in batches:
             good = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                u, v = grams(b, y), grams(a, x)
-                both = np.concatenate([u, v])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared * 100 >= (len(both) - shared) * percent)
+                if len(numbers) > WORDS_KEPT:
+                    numbers.clear()
+                    held.clear()
+                shared, both = overlap(words(b, y), words(a, x), n)
+                good.append(shared * 100 >= both * percent)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, n: int, percent: int, store: Store) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Only the texts that are in a pair move."""
+    """The pairs (a, b) whose whole sets are similar enough. Only the texts that are in a pair move.
+
+    The pairs of a text that is in many are dealt to parts, and its text goes to each of them.
+    """
     pairs = store.put(pairs)
-    texts = _wanted(rows, pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")))
-    x, y = texts.select(F.col("text_key").alias("a"), F.col("text").alias("x")), texts.select(F.col("text_key").alias("b"), F.col("text").alias("y"))
-    links = store.put(_similar(pairs.join(x, "a").join(y, "b"), n, percent))
-    store.free(pairs)
+    ends = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b"))
+    degrees = ends.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
+    least = max(PART_PAIRS, pairs.count() // PARTS)
+    many = store.put(degrees.where(F.col("n") > least).select("text_key", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    dealt = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        own = F.broadcast(many.select(F.col("text_key").alias(end), F.col("parts").alias("parts")))
+        dealt = dealt.join(own, end, "left").withColumn(f"part_{end}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    texts = _wanted(rows, ends).join(F.broadcast(many), "text_key", "left")
+    texts = texts.select("text_key", "text", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    x, y = ([F.col("text_key").alias(end), F.col("part").alias(f"part_{end}"), F.col("text").alias(name)] for end, name in (("a", "x"), ("b", "y")))
+    links = store.put(_similar(dealt.join(texts.select(*x), ["a", "part_a"]).join(texts.select(*y), ["b", "part_b"]), n, percent))
+    store.free(pairs, many)
     return links
 
 
@@ -220,6 +297,12 @@ def _reaches(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Co
     return F.least(na - pa, nb - pb) * (100 + percent) >= (na + nb) * percent
 
 
+def _with_column(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """``cells`` with what ``values`` (gram, parts, ...) says of their column; each part of a column gets it."""
+    each = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return cells.join(each, ["gram", "part"])
+
+
 def _leaders(cells: DataFrame, percent: int, turn: int) -> DataFrame:
     """For each text the leader that shares most columns with it: a text of another class, one for each column.
 
@@ -227,18 +310,26 @@ def _leaders(cells: DataFrame, percent: int, turn: int) -> DataFrame:
     Later ones are drawn.
     """
     rank = F.struct("place", "n", "text_key") if turn == 0 else F.struct(F.xxhash64("text_key", F.lit(turn)), "n")
-    heads = cells.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "text_key", "n", "place", "class")).alias("head"))
+    heads = cells.groupBy("gram").agg(F.first("parts").alias("parts"), F.min(F.struct(rank.alias("rank"), "text_key", "n", "place", "class")).alias("head"))
     fits = _sizes_fit(F.col("n"), F.col("head.n"), percent) & _reaches(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"), percent)
-    pairs = cells.join(heads, "gram").where((F.col("class") != F.col("head.class")) & fits)
+    pairs = _with_column(cells.select("gram", "part", "text_key", "n", "place", "class"), heads).where((F.col("class") != F.col("head.class")) & fits)
     shared = pairs.groupBy("text_key", F.col("head.text_key").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
     best = shared.groupBy("text_key").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
     return best.select(F.least("text_key", "leader").alias("a"), F.greatest("text_key", "leader").alias("b")).distinct()
 
 
+def _shared_columns(cells: DataFrame) -> DataFrame:
+    """The cells of columns that two texts or more have, once each; of a column in parts, all cells."""
+    order = Window.partitionBy("gram", "part").orderBy("text_key")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    beside = cells.select("*", F.lag("text_key").over(order).alias("before"), F.first("text_key").over(whole).alias("low"), F.last("text_key").over(whole).alias("high"))
+    return beside.where("(low <> high OR parts > 1) AND NOT before <=> text_key").drop("before", "low", "high")
+
+
 def _open_cells(cells: DataFrame) -> DataFrame:
-    """The cells of columns that more than one class has."""
-    columns = cells.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("gram")
-    return cells.join(columns, "gram", "left_semi")
+    """The cells of columns that more than one class has, with the number of cells of their column."""
+    columns = cells.groupBy("gram").agg(F.first("parts").alias("parts"), F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("cells"))
+    return _with_column(cells.drop("cells"), columns.where("low <> high").select("gram", "parts", "cells"))
 
 
 def _pairs_left(cells: DataFrame) -> tuple[float, int]:
@@ -250,36 +341,23 @@ def _pairs_left(cells: DataFrame) -> tuple[float, int]:
 
 
 def _product(cells: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes with a column in common whose sizes and overlap so far allow the similarity.
+    """The pairs of texts of different classes whose overlap, added up over the columns, lets them be similar enough.
 
     A column's cells are dealt into blocks; two blocks, or a block and itself, meet in one task, so that no task holds
-    more than two blocks of a column. A pair is formed where it first meets: not where both texts have the same cell
-    in front, since they met there.
+    more than two blocks of a column. The bound on what the overlap must be: of the two, let a's last cell in the
+    product come first in the order. Then all cells of a in the product that b has are in the product for b too, so the
+    whole overlap is at most theirs and the cells of a that are not in it, ``ceil(t a) - 1`` of them.
     """
-    sizes = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"))
-    rows = cells.join(sizes, "gram").withColumn("blocks", F.ceil(F.col("cells") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("cells") / BLOCK).cast("int")
+    rows = cells.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("gram", F.col("text_key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("class").alias("ca"), F.col("front").alias("fa"), F.col("block").alias("block_a"), every.alias("block_b"))
-    right = rows.select(F.col("gram").alias("gram_b"), F.col("text_key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("class").alias("cb"), F.col("front").alias("fb"), F.col("block").alias("to_b"), every.alias("to_a"))
-    meet = (F.col("gram") == F.col("gram_b")) & (F.col("block_a") == F.col("to_a")) & (F.col("block_b") == F.col("to_b"))
-    first = F.col("fa").isNull() | F.col("fb").isNull() | (F.col("fa") != F.col("fb"))
-    fits = _sizes_fit(F.col("na"), F.col("nb"), percent) & _reaches(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
-    met = left.join(right, meet & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first & fits)
-    return met.select("a", "b").distinct()
-
-
-def _promising(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose overlap in the product, and what the rest of either set can add, reach the bound.
-
-    Of the two, let a's last cell in the product come first in the order: then all cells of a in the product that b
-    has are in the product for b too, so the overlap is at most theirs and the cells of a that are not in it.
-    """
-    texts = cells.groupBy("text_key").agg(F.collect_list("gram").alias("grams"), F.first("n").alias("n"))
-    x = texts.select(F.col("text_key").alias("a"), F.col("grams").alias("x"), F.col("n").alias("na"))
-    y = texts.select(F.col("text_key").alias("b"), F.col("grams").alias("y"), F.col("n").alias("nb"))
-    rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    most = F.least(F.size(F.array_intersect("x", "y")) + rest, "na", "nb")
-    return pairs.join(x, "a").join(y, "b").where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    left = rows.select("gram", F.col("text_key").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("block").alias("at_a"), every.alias("at_b"))
+    right = rows.select("gram", F.col("text_key").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), F.col("block").alias("at_b"), every.alias("at_a"))
+    met = left.join(right, ["gram", "at_a", "at_b"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
+    overlaps = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap"))
+    rest = F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
+    most = F.least(F.col("overlap") + rest, "na", "nb")
+    return overlaps.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,25 +371,25 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
     store = Store(df.sparkSession)
     rows = _texts(df, doc_id, text)
     told = store.put(_described(rows, n))
-    documents = told.where("not gram").drop("gram")
+    rows, documents = _told_apart(rows, told.where("not gram").drop("gram"))
+    documents = documents.drop("check")
     common = told.where("gram").groupBy("text_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "text_key").limit(ORDERED).toArrow()
     grams, counts = common["text_key"].to_numpy().astype(np.uint64), common["n"].to_numpy()
     order = np.argsort(grams)
-    cells = _prefixes(rows, n, percent, grams[order], counts[order])
     # A column that only one text has takes no part in the product.
-    in_front = F.lag("gram").over(Window.partitionBy("text_key").orderBy("place"))
-    cells = store.put(_shared_columns(cells).withColumn("class", F.col("text_key")).withColumn("front", in_front))
+    cells = _prefixes(rows, n, percent, grams[order], counts[order], max(BLOCK, documents.count() // PARTS))
+    cells = store.put(_shared_columns(cells).withColumn("class", F.col("text_key")))
     links, turn, last = [], 0, float("inf")
     left, size = _pairs_left(cells)
     while turn < ROUNDS and size and (not turn or PAIRS_PER_CELL * size < left < 0.8 * last):
-        links.append(_linked(_promising(_leaders(cells, percent, turn), cells, percent), rows, n, percent, store))
+        links.append(_linked(_leaders(cells, percent, turn), rows, n, percent, store))
         so_far = component_labels(_union(links), store).select(F.col("node").alias("text_key"), F.col("label").alias("class"))
         labelled = cells.drop("class").join(so_far, "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
-        old, cells, turn, last = cells, store.put(_open_cells(labelled.select(*cells.columns))), turn + 1, left
+        old, cells, turn, last = cells, store.put(_open_cells(labelled)), turn + 1, left
         store.free(old)
         left, size = _pairs_left(cells)
     if size:
-        links.append(_linked(_promising(_product(cells, percent), cells, percent), rows, n, percent, store))
+        links.append(_linked(_product(cells, percent), rows, n, percent, store))
     store.free(cells)
     texts = documents.where("n > 0").groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
     if links:
@@ -336,14 +414,6 @@ def _with_value(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key, "left"))
 
 
-def _shared_columns(cells: DataFrame) -> DataFrame:
-    """The cells of columns that two texts or more have, once each."""
-    order = Window.partitionBy("gram").orderBy("text_key")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    beside = cells.select("*", F.lag("text_key").over(order).alias("before"), F.first("text_key").over(whole).alias("low"), F.last("text_key").over(whole).alias("high"))
-    return beside.where("low <> high AND NOT before <=> text_key").drop("before", "low", "high")
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -352,6 +422,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def keep_one(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is their component's; rows with one id are the same document. Columns stay."""
-    stays = near_duplicates(df, n, percent, doc_id, text).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stays"))
-    return df.join(stays, F.col(f"`{doc_id}`").eqNullSafe(F.col("__stays")), "left_semi")
+    """The rows of ``df`` whose id is their component's; rows with one id are the same document. Columns stay.
+
+    The ids to drop go to where the rows are if they are few by a count.
+    """
+    mark = fresh(df, "dropped")[0]
+    found = near_duplicates(df, n, percent, doc_id, text).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = Store(df.sparkSession).put(found.where("not stays").select(F.col("doc_id").alias(mark)))
+    gone = F.broadcast(gone) if gone.count() <= DROPPED else gone
+    return df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(mark)), "left_anti")
