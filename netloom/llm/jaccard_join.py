@@ -9,8 +9,8 @@ results), so common passages hardly enter.
 Texts that are the same string are one row. A row's key is a 64-bit hash; a second one tells keys that two texts have,
 and their texts get other keys. First, each text is compared in full with the leader of most of its columns; texts so
 linked are one class from then on, and columns within one class are done. When this leaves few pairs, the product of
-what is left is formed in blocks of bounded size: the overlap of each pair of texts of different classes is added up
-over the columns, and pairs whose sizes and overlap cannot reach the bound are dropped. The others are compared in full,
+what is left is formed in blocks of bounded size: the entries of texts of different classes are found, their overlaps
+are added up over the columns, and pairs whose sizes and overlap cannot reach the bound are dropped. The others are compared in full,
 word by word. No link between texts of different classes is lost.
 
 A column, or a text's pairs, with more than one in PARTS of all is frequent and dealt to parts; at most PARTS can be.
@@ -238,7 +238,7 @@ def overlap(x: np.ndarray, y: np.ndarray, n: int) -> tuple[int, int]:
 
 
 def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) of rows (a, b, x, y) whose texts x and y are similar enough, compared by their words."""
+    """The (a, b) of rows (a, b, text_a, text_b) whose texts are similar enough, compared by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[bytes, int] = {}
@@ -262,39 +262,45 @@ def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
                 good.append(shared * 100 >= both * percent)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, n: int, percent: int, store: Store) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Only the texts that are in a pair move.
+def _often(pairs: DataFrame, store: Store) -> DataFrame:
+    """(text_key, parts) of the texts with so many pairs (a, b) that these are dealt to parts."""
+    ends = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b"))
+    least = max(PART_PAIRS, pairs.count() // PARTS)
+    many = ends.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return store.put(many.select("text_key", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+
+
+def _with_ends(pairs: DataFrame, many: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the values of both texts, each value with the text's letter behind its name.
 
-    The pairs of a text that is in many are dealt to parts, and its text goes to each of them.
+    The pairs of a text that is in many are dealt to parts, and its values go to each of them.
     """
+    met = pairs
+    for end, other in ("ab", "ba"):
+        own = F.broadcast(many.select(F.col("text_key").alias(end), "parts"))
+        met = met.join(own, end, "left").withColumn(f"part_{end}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    every = values.join(F.broadcast(many), "text_key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    for end in "ab":
+        met = met.join(every.select(F.col("text_key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("part", *values.columns[1:])]), [end, f"part_{end}"])
+    return met
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, n: int, percent: int, store: Store) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Only the texts that are in a pair move."""
     pairs = store.put(pairs)
-    ends = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b"))
-    degrees = ends.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
-    least = max(PART_PAIRS, pairs.count() // PARTS)
-    many = store.put(degrees.where(F.col("n") > least).select("text_key", F.ceil(F.col("n") / least).cast("int").alias("parts")))
-    dealt = pairs
-    for end, other in (("a", "b"), ("b", "a")):
-        own = F.broadcast(many.select(F.col("text_key").alias(end), F.col("parts").alias("parts")))
-        dealt = dealt.join(own, end, "left").withColumn(f"part_{end}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    texts = _wanted(rows, ends).join(F.broadcast(many), "text_key", "left")
-    texts = texts.select("text_key", "text", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    x, y = ([F.col("text_key").alias(end), F.col("part").alias(f"part_{end}"), F.col("text").alias(name)] for end, name in (("a", "x"), ("b", "y")))
-    links = store.put(_similar(dealt.join(texts.select(*x), ["a", "part_a"]).join(texts.select(*y), ["b", "part_b"]), n, percent))
+    many = _often(pairs, store)
+    texts = _wanted(rows, pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")))
+    links = store.put(_similar(_with_ends(pairs, many, texts), n, percent))
     store.free(pairs, many)
     return links
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can be similar enough at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _reaches(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Whether sets whose first common element has these places can still share enough: what follows bounds it."""
-    return F.least(na - pa, nb - pb) * (100 + percent) >= (na + nb) * percent
+def _reaches(most: Column, percent: int) -> Column:
+    """Whether sets of the sizes n_a and n_b that share this many at most can be similar enough."""
+    return most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
 
 
 def _with_column(cells: DataFrame, values: DataFrame) -> DataFrame:
@@ -311,8 +317,9 @@ def _leaders(cells: DataFrame, percent: int, turn: int) -> DataFrame:
     """
     rank = F.struct("place", "n", "text_key") if turn == 0 else F.struct(F.xxhash64("text_key", F.lit(turn)), "n")
     heads = cells.groupBy("gram").agg(F.first("parts").alias("parts"), F.min(F.struct(rank.alias("rank"), "text_key", "n", "place", "class")).alias("head"))
-    fits = _sizes_fit(F.col("n"), F.col("head.n"), percent) & _reaches(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"), percent)
-    pairs = _with_column(cells.select("gram", "part", "text_key", "n", "place", "class"), heads).where((F.col("class") != F.col("head.class")) & fits)
+    met = _with_column(cells.select("gram", "part", "text_key", "n", "place", "class"), heads).withColumns({"n_a": F.col("n"), "n_b": F.col("head.n")})
+    # What either set has left from a column that is the first they share; the others only speak for a leader.
+    pairs = met.where((F.col("class") != F.col("head.class")) & _reaches(F.least(F.col("n") - F.col("place"), F.col("head.n") - F.col("head.place")), percent))
     shared = pairs.groupBy("text_key", F.col("head.text_key").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
     best = shared.groupBy("text_key").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
     return best.select(F.least("text_key", "leader").alias("a"), F.greatest("text_key", "leader").alias("b")).distinct()
@@ -340,24 +347,44 @@ def _pairs_left(cells: DataFrame) -> tuple[float, int]:
     return pairs or 0.0, int(all_cells or 0)
 
 
-def _product(cells: DataFrame, percent: int) -> DataFrame:
-    """The pairs of texts of different classes whose overlap, added up over the columns, lets them be similar enough.
+def _entries(cells: DataFrame, percent: int) -> DataFrame:
+    """The entries (a, b) of the product, of texts of different classes, that can be similar enough.
 
     A column's cells are dealt into blocks; two blocks, or a block and itself, meet in one task, so that no task holds
-    more than two blocks of a column. The bound on what the overlap must be: of the two, let a's last cell in the
-    product come first in the order. Then all cells of a in the product that b has are in the product for b too, so the
-    whole overlap is at most theirs and the cells of a that are not in it, ``ceil(t a) - 1`` of them.
+    more than two blocks of a column. An entry is found where two texts first meet, which is not where both have the
+    same cell in front. From there on, what is left of either set, and what it has open in the product with the most
+    that can be outside of it (see :func:`_product`), must be enough.
     """
     blocks = F.ceil(F.col("cells") / BLOCK).cast("int")
-    rows = cells.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    own = Window.partitionBy("text_key").orderBy("place")
+    front, after = F.lag("gram").over(own), F.count(F.lit(1)).over(own.rowsBetween(0, Window.unboundedFollowing))
+    rows = cells.withColumns({"front": front, "open": after, "left": F.col("n") - F.col("place"), "blocks": blocks}).withColumn("at", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("gram", F.col("text_key").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("block").alias("at_a"), every.alias("at_b"))
-    right = rows.select("gram", F.col("text_key").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), F.col("block").alias("at_b"), every.alias("at_a"))
-    met = left.join(right, ["gram", "at_a", "at_b"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
-    overlaps = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap"))
-    rest = F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
-    most = F.least(F.col("overlap") + rest, "na", "nb")
-    return overlaps.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    left, right = (rows.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "front", "open", "left", "at")], F.col("text_key").alias(x), every.alias(f"at_{y}")) for x, y in ("ab", "ba"))
+    first = F.col("front_a").isNull() | F.col("front_b").isNull() | (F.col("front_a") != F.col("front_b"))
+    fits = _reaches(F.least("left_a", "left_b"), percent) & _reaches(F.least("open_a", "open_b") + _outside(percent), percent)
+    met = left.join(right, ["gram", "at_a", "at_b"]).where((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & first & fits)
+    return met.select("a", "b").distinct()
+
+
+def _outside(percent: int) -> Column:
+    """How many shared elements of two sets can be outside the product."""
+    return F.floor((F.greatest("n_a", "n_b") * percent + 99) / 100) - 1
+
+
+def _product(cells: DataFrame, percent: int, store: Store) -> DataFrame:
+    """The pairs of texts of different classes whose overlap, added up over the columns, lets them be similar enough.
+
+    As with any sparse product, first its entries are found and then their values, from the two texts' open cells. The
+    bound on what the overlap must be: of the two, let a's last cell in the product come first in the order. Then all
+    cells of a in the product that b has are in the product for b too, so the whole overlap is at most theirs and the
+    cells of a that are not in it, ``ceil(t a) - 1`` of them.
+    """
+    entries = store.put(_entries(cells, percent))
+    open_cells = cells.groupBy("text_key").agg(F.collect_list("gram").alias("grams"), F.first("n").alias("n"))
+    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+    most = F.least(overlap + _outside(percent), "n_a", "n_b")
+    return _with_ends(entries, _often(entries, store), open_cells).where(_reaches(most, percent)).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,7 +416,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
         store.free(old)
         left, size = _pairs_left(cells)
     if size:
-        links.append(_linked(_product(cells, percent), rows, n, percent, store))
+        links.append(_linked(_product(cells, percent, store), rows, n, percent, store))
     store.free(cells)
     texts = documents.where("n > 0").groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
     if links:
