@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.text import guarded
+from netloom.operators.order import numbered
+from netloom.storage import Store
 
 
 def overlaps(detected: DataFrame, known: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def jaccard_index(detected: DataFrame, known: DataFrame, pairs: DataFrame | None
 
 
 def total_score(detected: DataFrame, known: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """One row with f_measure, coverage, accuracy, mmr, jaccard and their sum; the overlaps are found once."""
-    pairs = overlaps(detected, known).persist()
+    """One row with f_measure, coverage, accuracy, mmr, jaccard and their sum; the overlaps are found once and written."""
+    pairs = Store(detected.sparkSession).put(overlaps(detected, known))
     pr = precision_recall(detected, known, threshold, pairs).select("f_measure", F.sqrt(F.col("precision") * F.col("recall")).alias("accuracy"))
     row = pr.crossJoin(coverage_rate(detected, known)).crossJoin(matching_ratio(detected, known, pairs)).crossJoin(jaccard_index(detected, known, pairs).select("jaccard"))
     return row.withColumn("total", F.col("f_measure") + F.col("coverage") + F.col("accuracy") + F.col("mmr") + F.col("jaccard"))
@@ -80,4 +82,5 @@ def total_score(detected: DataFrame, known: DataFrame, threshold: float = 0.2) -
 
 def order_of(groups: DataFrame, *columns: str) -> DataFrame:
     """Running ids from 1 for group rows, in the order of the columns."""
-    return groups.withColumn("complex_id", F.row_number().over(Window.orderBy(*columns)))
+    rows, _ = numbered(groups, "complex_id", *columns)
+    return rows.withColumn("complex_id", F.col("complex_id") + 1)

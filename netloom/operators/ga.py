@@ -12,6 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.order import numbered
 from netloom.operators.rng import normal, uniform
 from netloom.storage import Store
 
@@ -90,8 +91,12 @@ def migrate(population: DataFrame) -> DataFrame:
 
 def split_population(population: DataFrame, n: int) -> DataFrame:
     """Islands of nearly equal size, in the order of idx; the first ones are larger by one. idx starts anew in each."""
-    dealt = population.withColumn("island", F.ntile(n).over(Window.partitionBy(F.lit(0)).orderBy("idx")) - 1)
-    return dealt.withColumn("idx", F.row_number().over(Window.partitionBy("island").orderBy("idx")) - 1)
+    rows, total = numbered(population, "place", "idx")
+    each, more = divmod(total, n)
+    place, large = F.col("place"), F.lit(more * (each + 1))
+    small = F.when(place >= large, place - large)
+    island = F.coalesce(more + F.floor(small / max(1, each)), F.floor(place / (each + 1)))
+    return rows.select(*[c for c in population.columns if c != "idx"], island.cast("int").alias("island"), F.coalesce(small % max(1, each), place % (each + 1)).cast("int").alias("idx"))
 
 
 def run(population: DataFrame, fitness: Fitness, generations: int = 100, migration_interval: int | None = None, seed: int | str = 0, crossover: Crossover = uniform_crossover, mutator: Mutator | None = None, epoch_generations: str = "interval") -> tuple[DataFrame, DataFrame]:

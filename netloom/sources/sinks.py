@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import text
 from netloom.operators.idmap import mapping_stats
+from netloom.storage import Store
 
 # The columns of mapped compartments.
 MAPPED = ("Original_Protein_ID", "Gene_Name", "GO_ID", "GO_Term", "Score", "Mapped_UniProtKB_ID", "GeneID", "Ensembl", "RefSeq", "Entrez_Gene", "STRING_ID", "Mapping_Status")
@@ -49,13 +50,14 @@ def complexes(df: DataFrame, path: str, separator: str = ";", header: bool = Tru
 
 
 def mapped_compartments(df: DataFrame, path: str) -> None:
-    """The mapped rows, their statistics and the identifiers that failed, from one pass kept in memory or on disk."""
-    kept = df.persist()
+    """The mapped rows, their statistics and the identifiers that failed, from one pass that is written first."""
+    store = Store(df.sparkSession)
+    kept = store.put(df)
     absent = [c for c in MAPPED if c not in df.columns]
     tsv(kept.withColumns({c: F.lit("") for c in absent}).na.fill("", ["Mapped_UniProtKB_ID"]).select(*MAPPED), f"{path}/mapped", True)
     tsv(mapping_stats(kept), f"{path}/stats", True)
     tsv(kept.where("Mapping_Status = 'Failed'").select("Original_Protein_ID"), f"{path}/unmapped")
-    kept.unpersist()
+    store.clear()
 
 
 def statistics(df: DataFrame, path: str) -> None:
