@@ -311,43 +311,47 @@ def sim_localization_matrix(spark, d):
 
 
 def _four(spark, d):
-    e = fx.edges2(spark, d)
-    a, b = F.col("protein1"), F.col("protein2")
-    w = F.col("w").cast("double")
+    """Four scores of all edges; an edge whose ends share no term has none of the first two."""
+    e, terms = fx.edges2(spark, d), fx.part_terms(spark, d)
     return {
-        "fs": e.where((a + b) % 5 > 0).select(b.alias("protein1"), a.alias("protein2"), (w / 7).alias("weight")),
-        "sl": e.where(a % 4 > 0).select(a, b, F.when(b % 3 == 0, 0.0).otherwise(w / 3).alias("weight")),
-        "co": e.select(a, b, F.when((a + b) % 2 == 0, 0.0).otherwise(w / 9).alias("weight")),
-        "hcn": e.where(b % 7 > 0).select(a, b, F.when(a % 3 == 0, 0.0).otherwise(w / 11).alias("weight")),
+        "fs": similarity.annotation_cosine(e, terms).select(F.col("protein2").alias("protein1"), F.col("protein1").alias("protein2"), "weight"),
+        "sl": similarity.localization_edges(e, terms),
+        "co": e.select("protein1", "protein2", (F.col("w") / 9).alias("weight")),
+        "hcn": similarity.hcn(e.select(F.col("protein1").alias("u"), F.col("protein2").alias("v"))).select("protein1", "protein2", F.col("HCN_score").alias("weight")),
     }
 
 
-_FOUR = """f AS (SELECT protein1 AS a, protein2 AS b, CASE WHEN (protein1 + protein2) % 5 > 0 THEN w / 7.0::DOUBLE END AS fs, CASE WHEN protein1 % 4 > 0 THEN CASE WHEN protein2 % 3 = 0 THEN 0.0::DOUBLE ELSE w / 3.0::DOUBLE END END AS sl,
-CASE WHEN (protein1 + protein2) % 2 = 0 THEN 0.0::DOUBLE ELSE w / 9.0::DOUBLE END AS co, CASE WHEN protein2 % 7 > 0 THEN CASE WHEN protein1 % 3 = 0 THEN 0.0::DOUBLE ELSE w / 11.0::DOUBLE END END AS hcn FROM pe2)"""
+_FOUR = (
+    _OVERLAP
+    + """, dg AS (SELECT src, count(*) AS n FROM nb2 GROUP BY 1),
+cm AS (SELECT protein1, protein2, count(*) AS c FROM pe2 JOIN nb2 p ON p.src = protein1 JOIN nb2 q ON q.src = protein2 AND q.dst = p.dst GROUP BY 1, 2),
+f AS (SELECT e.protein1 AS a, e.protein2 AS b, x.s / sqrt((x.n1 * x.n2)::DOUBLE) AS fs, (x.s * x.s)::DOUBLE / (x.n1 * x.n2) AS sl, e.w / 9.0::DOUBLE AS co, (coalesce(c, 0) * coalesce(c, 0))::DOUBLE / (p.n * q.n * (p.n + q.n - coalesce(c, 0))) AS hcn
+FROM pe2 e JOIN dg p ON p.src = e.protein1 JOIN dg q ON q.src = e.protein2 LEFT JOIN cm ON cm.protein1 = e.protein1 AND cm.protein2 = e.protein2 LEFT JOIN x ON x.protein1 = e.protein1 AND x.protein2 = e.protein2)"""
+)
 
 
-@query(with_("pe2", _FOUR) + "SELECT a AS protein1, b AS protein2, round((coalesce(fs, 0) + coalesce(sl, 0) + co + coalesce(hcn, 0)) / ((fs IS NOT NULL)::INT + (sl IS NOT NULL)::INT + 1 + (hcn IS NOT NULL)::INT), 9) AS weight FROM f")
+@query(with_("pe2 pt nb2", _FOUR) + "SELECT a AS protein1, b AS protein2, round((coalesce(fs, 0) + coalesce(sl, 0) + co + hcn) / ((fs IS NOT NULL)::INT + (sl IS NOT NULL)::INT + 2), 9) AS weight FROM f")
 def fuse_union(spark, d):
     return rounded(fusion.fuse_union(_four(spark, d)), "weight")
 
 
-_MEAN = "SELECT a AS protein1, b AS protein2, (fs + sl + co + hcn) / ((fs <> 0)::INT + (sl <> 0)::INT + (co <> 0)::INT + (hcn <> 0)::INT) AS mean_weight FROM f WHERE fs IS NOT NULL AND sl IS NOT NULL AND hcn IS NOT NULL AND fs + sl + co + hcn > 0"
+_MEAN = "SELECT a AS protein1, b AS protein2, (fs + sl + co + hcn) / ((fs <> 0)::INT + (sl <> 0)::INT + (co <> 0)::INT + (hcn <> 0)::INT) AS mean_weight FROM f WHERE fs IS NOT NULL AND sl IS NOT NULL"
 
 
-@query(with_("pe2", _FOUR) + f"SELECT protein1, protein2, round(mean_weight, 9) AS mean_weight FROM ({_MEAN})")
+@query(with_("pe2 pt nb2", _FOUR) + f"SELECT protein1, protein2, round(mean_weight, 9) AS mean_weight FROM ({_MEAN})")
 def fuse_intersection(spark, d):
     return rounded(fusion.fuse_intersection(_four(spark, d)), "mean_weight")
 
 
-@query(with_("pe2", _FOUR + f", m AS ({_MEAN}), n AS (SELECT count(*) AS k FROM (SELECT protein1 FROM m UNION SELECT protein2 FROM m))") + "SELECT any_value(k) AS proteins, count(*) AS interactions, round(avg(mean_weight), 9) AS mean_weight, round(count(*) / (any_value(k) * (any_value(k) - 1) / 2), 9) AS density FROM m, n")
+@query(with_("pe2 pt nb2", _FOUR + f", m AS ({_MEAN}), k AS (SELECT count(*) AS k FROM (SELECT protein1 FROM m UNION SELECT protein2 FROM m))") + "SELECT any_value(k) AS proteins, count(*) AS interactions, round(avg(mean_weight), 9) AS mean_weight, round(count(*) / (any_value(k) * (any_value(k) - 1) / 2), 9) AS density FROM m, k")
 def fuse_network_stats(spark, d):
     return rounded(graph.network_stats(fusion.fuse_intersection(_four(spark, d)), "mean_weight"), "mean_weight", "density")
 
 
-@query(with_("pe2", "a AS (SELECT protein1, protein2 FROM pe2 WHERE protein1 % 4 > 0), b AS (SELECT protein1, protein2 FROM pe2 WHERE protein2 % 7 > 0)") + "SELECT * FROM a INTERSECT SELECT * FROM b")
+@query(with_("pe2 pt nb2", _FOUR) + "SELECT a AS protein1, b AS protein2 FROM f WHERE fs IS NOT NULL INTERSECT SELECT a, b FROM f WHERE hcn > 0")
 def fuse_common_pairs(spark, d):
-    e = fx.edges2(spark, d)
-    return e.where("protein1 % 4 > 0").select("protein1", "protein2").intersect(e.where("protein2 % 7 > 0").select("protein1", "protein2"))
+    four = _four(spark, d)
+    return four["sl"].select("protein1", "protein2").intersect(four["hcn"].where("weight > 0").select("protein1", "protein2"))
 
 
 # Graphs and groups
@@ -538,7 +542,7 @@ def ga_tournament(spark, d):
     return ga.tournament(_evaluated(spark, d), 7, 1, "first").select("island", "slot", F.transform("genes", lambda g: F.round(g, 9)).alias("genes"))
 
 
-_CROSS = f"""ch AS (SELECT a.island, a.slot, i, CASE WHEN {_u("'7'", "'1'", "a.island", "a.slot", "'cross'", "i - 1")} < 0.5 THEN a.genes[i] ELSE b.genes[i] END AS g FROM {_drawn('first')} a JOIN {_drawn('second')} b ON a.island = b.island AND a.slot = b.slot CROSS JOIN (SELECT unnest(range(1, 9)) AS i))"""
+_CROSS = f"""ch AS (SELECT a.island, a.slot, i, CASE WHEN {_u("'7'", "'1'", "a.island", "a.slot", "'cross'", "i - 1")} < 0.5 THEN a.genes[i] ELSE b.genes[i] END AS g FROM {_drawn('first')} a JOIN {_drawn('second')} b ON a.island = b.island AND a.slot = b.slot JOIN (SELECT unnest(range(1, (SELECT max(len(genes)) FROM pop) + 1)) AS i) ON i <= len(a.genes))"""
 _NOISE = "md5(concat_ws('|', '7', '1', island, slot, 'noise', i - 1))"
 
 
@@ -561,52 +565,61 @@ def ga_split(spark, d):
 
 @query()
 def ga_islands(spark, d):
-    final, _ = ga.run(fx.population(spark, d), sphere, 4, 2, 7, mutator=ga.gaussian_mutator(0.1))
+    final, _ = ga.run(fx.population(spark, d), sphere, 20, 5, 7, mutator=ga.gaussian_mutator(0.1))
     return final
 
 
-@query("SELECT vec_id, round(('0x' || substr(md5(concat_ws('|', '1', vec_id, 'u')), 1, 8))::BIGINT / 4294967296.0, 12) AS u FROM embeddings")
-def ga_uniform(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(uniform(1, F.col("vec_id"), "u"), 12).alias("u"))
+@query()
+def ga_history(spark, d):
+    _, history = ga.run(fx.population(spark, d), sphere, 4, 2, 7, mutator=ga.gaussian_mutator(0.1))
+    return history
+
 
+@query(with_("det", "g AS (SELECT cid, count(*) AS n FROM det GROUP BY 1)") + "SELECT cid, n, row_number() OVER (ORDER BY n, cid) AS complex_id FROM g")
+def eval_running_ids(spark, d):
+    groups = fx.order_groups(spark, d).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    return evaluation.order_of(groups, "n", "cid")
 
-# Tabu search: the first twelve parts are the items of the queries with SQL, and starts choose the items of one remainder by three
 
+@query("SELECT p_partkey, x AS term FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') WHEN 1 THEN 'GO:' || p_size ELSE p_type END AS x FROM part) WHERE regexp_matches(x, '^GO:\\d+$')")
+def clean_valid_terms(spark, d):
+    k = F.col("p_size") % 3
+    x = F.when(k == 0, F.concat(F.lit("GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"))).when(k == 1, F.concat(F.lit("GO:"), F.col("p_size").cast("string"))).otherwise(F.col("p_type"))
+    return clean.valid_terms(table(spark, d, "part").select("p_partkey", x.alias("term")), "term")
 
-def _items(spark, d):
-    rows = table(spark, d, "part").where("p_partkey <= 12").select("p_partkey", "p_retailprice", "p_size").orderBy("p_partkey").collect()
-    return [r[1] for r in rows], [float(r[2]) for r in rows], len(rows)
+
+@query("SELECT vec_id, round(('0x' || substr(md5(concat_ws('|', '1', vec_id, 'u')), 1, 8))::BIGINT / 4294967296.0, 12) AS u FROM embeddings")
+def ga_uniform(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(uniform(1, F.col("vec_id"), "u"), 12).alias("u"))
 
 
-def _starts(spark, d):
-    n = _items(spark, d)[2]
-    return spark.range(3).select(F.col("id").alias("start_id"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 3 == F.col("id")).alias("repr"))
+# Tabu search
 
 
-_ITEMS = """it AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_retailprice AS value, p_size AS weight FROM part WHERE p_partkey <= 12), ln AS (SELECT count(*) AS n FROM it),
-st AS (SELECT s AS start_id, list_transform(range(n), lambda i: i % 3 = s) AS repr FROM ln CROSS JOIN (SELECT unnest(range(3)) AS s)),
-ij AS (SELECT i, j FROM ln CROSS JOIN (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(20)) AS j) WHERE i < n AND j < n)"""
-_SWAPS = "sw AS (SELECT start_id, row_number() OVER (PARTITION BY start_id ORDER BY i, j) - 1 AS pos, list_transform(range(len(repr)), lambda k: CASE k WHEN i THEN repr[j + 1] WHEN j THEN repr[i + 1] ELSE repr[k + 1] END) AS repr FROM st JOIN ij ON i < j)"
+_ITEMS = """it AS (SELECT floor((p_partkey - 1) / 12)::BIGINT AS set_id, row_number() OVER (PARTITION BY floor((p_partkey - 1) / 12) ORDER BY p_partkey) - 1 AS k, p_retailprice::DOUBLE AS value, p_size::DOUBLE AS weight FROM part),
+st AS (SELECT set_id, set_id * 3 + s AS start_id, list_transform(range(n), lambda i: i % 3 = s) AS repr FROM (SELECT set_id, count(*) AS n FROM it GROUP BY 1) CROSS JOIN (SELECT unnest(range(3)) AS s)),
+ij AS (SELECT i, j FROM (SELECT unnest(range(12)) AS i) CROSS JOIN (SELECT unnest(range(12)) AS j))"""
+_SWAPS = "sw AS (SELECT set_id, start_id, row_number() OVER (PARTITION BY start_id ORDER BY i, j) - 1 AS pos, list_transform(range(len(repr)), lambda k: CASE k WHEN i THEN repr[j + 1] WHEN j THEN repr[i + 1] ELSE repr[k + 1] END) AS repr FROM st JOIN ij ON i < j AND j < len(repr))"
 
 
 @query("WITH " + _ITEMS + ", " + _SWAPS + " SELECT start_id, pos, array_to_string(list_transform(repr, lambda x: x::VARCHAR), ',') AS key FROM sw")
 def tabu_neighbors_swap(spark, d):
-    return tabu.neighbors(_starts(spark, d), tabu.SWAP).select("start_id", F.col("pos").cast("long").alias("pos"), tabu.key_of(F.col("repr")).alias("key"))
+    return tabu.neighbors(_knapsacks(spark, d), tabu.SWAP).select("start_id", F.col("pos").cast("long").alias("pos"), tabu.key_of(F.col("repr")).alias("key"))
 
 
-@query("WITH " + _ITEMS + """, r AS (SELECT start_id, i, j, list_filter(list_transform(range(len(repr)), lambda k: CASE WHEN k <> i THEN repr[k + 1] END), lambda x: x IS NOT NULL) AS rest, repr[i + 1] AS v FROM st JOIN ij ON i <> j)
+@query("WITH " + _ITEMS + """, r AS (SELECT start_id, i, j, list_filter(list_transform(range(len(repr)), lambda k: CASE WHEN k <> i THEN repr[k + 1] END), lambda x: x IS NOT NULL) AS rest, repr[i + 1] AS v FROM st JOIN ij ON i <> j AND i < len(repr) AND j < len(repr))
 SELECT start_id, row_number() OVER (PARTITION BY start_id ORDER BY i, j) - 1 AS pos, array_to_string(list_transform(rest[1:j] || [v] || rest[j + 1:], lambda x: x::VARCHAR), ',') AS key FROM r""")
 def tabu_neighbors_insert(spark, d):
-    return tabu.neighbors(_starts(spark, d), tabu.INSERT).select("start_id", F.col("pos").cast("long").alias("pos"), tabu.key_of(F.col("repr")).alias("key"))
+    return tabu.neighbors(_knapsacks(spark, d), tabu.INSERT).select("start_id", F.col("pos").cast("long").alias("pos"), tabu.key_of(F.col("repr")).alias("key"))
 
 
-@query("WITH " + _ITEMS + ", " + _SWAPS + """, one AS (SELECT start_id, pos, unnest(range(len(repr))) AS k, unnest(repr) AS taken FROM sw),
-s AS (SELECT start_id, pos, sum(CASE WHEN taken THEN value ELSE 0 END) AS v, sum(CASE WHEN taken THEN weight ELSE 0 END) AS w FROM one JOIN it USING (k) GROUP BY 1, 2)
+@query("WITH " + _ITEMS + ", " + _SWAPS + """, one AS (SELECT set_id, start_id, pos, unnest(range(len(repr))) AS k, unnest(repr) AS taken FROM sw),
+s AS (SELECT start_id, pos, sum(CASE WHEN taken THEN value ELSE 0 END) AS v, sum(CASE WHEN taken THEN weight ELSE 0 END) AS w FROM one JOIN it USING (set_id, k) GROUP BY 1, 2)
 SELECT start_id, pos, round(CASE WHEN w <= 80 THEN v ELSE -1 END, 6) AS value, coalesce(pos % 5, 0) < 3 AS intensified, (v > 4000 OR pos % 5 < 2) AS aspired FROM s""")
 def tabu_values(spark, d):
-    values, weights, _ = _items(spark, d)
-    rows = tabu.neighbors(_starts(spark, d), tabu.SWAP)
-    visits = F.col("pos") % 5
+    own = _knapsacks(spark, d)
+    rows = tabu.neighbors(own, tabu.SWAP).join(own.select("start_id", "values", "weights"), "start_id")
+    visits, values, weights = F.col("pos") % 5, F.col("values"), F.col("weights")
     plain = tabu.knapsack(values, weights, float("1e12"))(F.col("repr"))
     return rows.select("start_id", F.col("pos").cast("long").alias("pos"), F.round(tabu.knapsack(values, weights, 80)(F.col("repr")), 6).alias("value"), tabu.rarely_visited(visits).alias("intensified"), tabu.aspired(plain, F.lit(4000.0), visits).alias("aspired"))
 

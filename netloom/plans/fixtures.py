@@ -69,9 +69,9 @@ def part_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def population(spark: SparkSession, d: str) -> DataFrame:
-    """(island, idx, genes): the first eight places of the vectors, four islands."""
+    """(island, idx, genes): the vectors, four islands."""
     e = table(spark, d, "embeddings")
-    return e.select((F.col("vec_id") % 4).cast("int").alias("island"), F.floor(F.col("vec_id") / 4).cast("int").alias("idx"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("genes"))
+    return e.select((F.col("vec_id") % 4).cast("int").alias("island"), F.floor(F.col("vec_id") / 4).cast("int").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("genes"))
 
 
 SQL = {
@@ -90,7 +90,7 @@ SQL = {
     "pt": "SELECT DISTINCT l_partkey AS protein, l_suppkey AS term FROM lineitem",
     "idmap": "SELECT 'P' || p_partkey AS uniprot, db, CASE db WHEN 'Gene_Name' THEN p_name WHEN 'ORF' THEN p_brand || '-' || p_size WHEN 'STRING' THEN '9606.ENSP' || p_partkey WHEN 'Ensembl_PRO' THEN 'ENSP9' || p_partkey || '.1' ELSE p_type || '/' || p_size END AS db_id, p_partkey AS line_no FROM part CROSS JOIN (SELECT unnest(['Gene_Name', 'ORF', 'Gene_OrderedLocusName', 'STRING', 'Ensembl_PRO']) AS db)",
     "links": "SELECT a.p_name AS protein1, coalesce(b.p_name, 'none' || ((l_suppkey * 30 + 1) % 7)) AS protein2, l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS score FROM lineitem JOIN part a ON a.p_partkey = l_partkey LEFT JOIN part b ON b.p_partkey = l_suppkey * 30 + 1",
-    "pop": "SELECT (vec_id % 4)::INT AS island, (vec_id // 4)::INT AS idx, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS genes FROM embeddings",
+    "pop": "SELECT (vec_id % 4)::INT AS island, (vec_id // 4)::INT AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS genes FROM embeddings",
 }
 #: What each of them reads.
 NEEDS = {"pe": ["d"], "pe2": ["d", "pe"], "nb": ["d", "pe"], "nb2": ["d", "pe", "pe2"], "baskets": ["d"], "se": ["ds"], "sk": ["ds", "se"], "adj": ["ds", "se", "sk"], "det": ["ds"]}
