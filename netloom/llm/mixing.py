@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.columns import fresh
 from netloom.storage import Store
 
 #: Rows of a leaf that one task adds up at a time.
@@ -113,13 +114,13 @@ def chosen_rows(df: DataFrame, levels: Mapping[str, str], weights: Sequence[Mapp
     the texts, which stay where they are.
     """
     store = Store(df.sparkSession)
-    chosen = mix(df, levels, weights, share, 1, defaults, seed, doc_id, text).select("doc_id", *[F.col(k).alias(f"__leaf_{i}") for i, k in enumerate(levels)])
-    leaf = [f"__leaf_{i}" for i in range(len(levels))]
+    stays, end, *leaf = fresh(df, "stays", "end", *[f"leaf_{i}" for i in range(len(levels))])
+    chosen = mix(df, levels, weights, share, 1, defaults, seed, doc_id, text).select(F.col("doc_id").alias(stays), *[F.col(k).alias(n) for n, k in zip(leaf, levels, strict=True)])
     own, epoch = F.col(f"`{doc_id}`"), F.lit(0)
-    last = store.put(chosen.groupBy(*leaf).agg(F.max(draw_of(F.col("doc_id"), epoch, seed)).alias("__last")))
+    last = store.put(chosen.groupBy(*leaf).agg(F.max(draw_of(F.col(stays), epoch, seed)).alias(end)))
     same = F.lit(True)
     for n, c in zip(leaf, levels.values(), strict=True):
         same = same & (node_of(c) == F.col(n))
     if last.count() <= LEAVES:
-        return df.join(F.broadcast(last), same & (draw_of(own, epoch, seed) <= F.col("__last")), "left_semi")
-    return df.join(chosen.withColumnRenamed("doc_id", "__stays"), same & own.eqNullSafe(F.col("__stays")), "left_semi")
+        return df.join(F.broadcast(last), same & (draw_of(own, epoch, seed) <= F.col(end)), "left_semi")
+    return df.join(chosen, same & own.eqNullSafe(F.col(stays)), "left_semi")

@@ -21,7 +21,11 @@ ROWS = [
     (6, "word " * 30_000, "en", "src12", 150_000),
     (7, "\0▁😀é", "es", "src19", 4),
 ]
-CLASH = ("key", "class", "gram", "content", "salt", "pii", "tokens", "label", "shard", "part", "block", "votes", "level_0", "draw", "epoch")
+CLASH = (
+    *("key", "class", "gram", "content", "salt", "pii", "tokens", "label", "shard", "part", "block", "votes", "level_0", "draw", "epoch"),
+    *("stays", "end", "leaf_0", "dropped", "row", "parts", "first", "place", "n", "at", "text_key", "check", "item_id", "hot", "head", "digest"),
+    *("__stays", "__last", "__leaf_0", "__shard", "size", "doc", "total", "features", "weight", "places", "least"),
+)
 
 
 def labels(spark):
