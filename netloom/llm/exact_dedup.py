@@ -2,8 +2,8 @@
 
 Splitters sampled from the rows deal the normalised texts out by range; each partition is sorted, spilling to disk, so
 that equal texts stand next to each other, and a text is compared in full with its neighbour. A text that the sample
-shows to be frequent is dealt to several partitions by the id, and the parts' smallest ids and counts meet afterwards.
-Only DataFrame operations run.
+shows to be frequent is dealt to several parts in turns, and the parts' smallest ids and counts meet afterwards. Only
+DataFrame operations run.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.columns import fresh
 from netloom.storage import Store
 
 #: Rows in the sample that looks for frequent texts; what it finds decides only how rows are dealt out.
 SAMPLE_ROWS = 20_000
-#: Parts that a frequent text is dealt to.
-PARTS = 32
 #: Characters of a text that splitters hold.
 HEAD = 32
 
@@ -26,14 +25,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def frequent(df: DataFrame, content: Column, partitions: int) -> list[int]:
-    """Hashes of the texts that fill more than a fifth of a partition by a sample; at most five for each partition."""
+def frequent(df: DataFrame, content: Column, partitions: int) -> dict[int, list[int]]:
+    """The texts that fill more than a fifth of a partition by a sample, by their hashes; at most five for each partition.
+
+    They come by the number of parts that a text is dealt to: a power of two, so that a part is about that large.
+    """
     total = df.count()
     if not total:
-        return []
+        return {}
     least = max(4, int(min(SAMPLE_ROWS, total) / (5 * partitions)))
     sample = df.sample(min(1.0, SAMPLE_ROWS / total), seed=7).groupBy(F.xxhash64(content).alias("digest")).count()
-    return [r[0] for r in sample.where(F.col("count") >= least).orderBy(F.desc("count"), "digest").limit(5 * partitions).collect()]
+    out: dict[int, list[int]] = {}
+    for digest, count in sample.where(F.col("count") >= least).orderBy(F.desc("count"), "digest").limit(5 * partitions).collect():
+        out.setdefault(1 << (-(-count // least) - 1).bit_length(), []).append(digest)
+    return out
 
 
 def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -47,8 +52,11 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parti
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     content = normalised(F.col(f"`{text}`"))
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), content.alias("content"))
-    hot = frequent(df, content, partitions)
-    salt = F.when(F.xxhash64("content").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(F.lit(0)) if hot else None
+    parts_of = frequent(df, content, partitions)
+    hot = [digest for some in parts_of.values() for digest in some]
+    parts = F.coalesce(*[F.when(F.xxhash64("content").isin(some), F.lit(n)) for n, some in parts_of.items()], F.lit(1))
+    # Rows take turns, so that rows with one id or none are dealt as well.
+    salt = F.pmod(F.monotonically_increasing_id(), parts) if hot else None
     # Splitters hold the beginning of a text and a hash of it, so that those sent to the driver are short.
     dealt = rows.select("*", F.left("content", F.lit(HEAD)).alias("head"), F.xxhash64("content").alias("digest"), *([salt.alias("salt")] if hot else []))
     keys = ["head", "digest", *(["salt"] if hot else [])]
@@ -65,7 +73,7 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parti
     )
     out = sorted_rows.select("doc_id", "place", "part_id", "part_size", *(["salt"] if hot else []), F.sha2("content", 256).alias("text_sha256"), F.xxhash64("content").isin(hot).alias("hot") if hot else F.lit(False).alias("hot"))
     if hot:
-        # Without their texts the rows are short; the parts of the frequent texts, at most PARTS each, now meet.
+        # Without their texts the rows are short; the parts of the frequent texts, a row each, now meet.
         out = Store(spark).put(out)
         parts = out.where("hot and place = 1").groupBy(F.col("text_sha256").alias("whole")).agg(F.min(F.struct(F.col("part_id").isNull(), "part_id", "salt")).alias("least"), F.sum("part_size").alias("size"))
         out = out.join(F.broadcast(parts), out["text_sha256"] == parts["whole"], "left")
@@ -78,5 +86,6 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parti
 
 def unique_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose id stays; rows that share the id of one that stays come along."""
-    stays = dedup_exact(df, doc_id, text).where("kept").select(F.col("doc_id").alias("__stays"))
-    return df.join(stays, F.col(f"`{doc_id}`").eqNullSafe(F.col("__stays")), "left_semi")
+    mark = fresh(df, "stays")[0]
+    stays = dedup_exact(df, doc_id, text).where("kept").select(F.col("doc_id").alias(mark))
+    return df.join(stays, F.col(f"`{doc_id}`").eqNullSafe(F.col(mark)), "left_semi")

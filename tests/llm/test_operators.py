@@ -372,8 +372,7 @@ def test_values_of_frequent_keys(spark, monkeypatch, parts):
 # Exact dedup
 
 
-def test_copies(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "PARTS", 5)
+def test_copies(spark):
     rng = random.Random(6)
     values = ["hot  text" if rng.random() < 0.4 else rng.choice([f"t{rng.randrange(60)}", f" t{rng.randrange(9)}\t", None, "", "hot\n text"]) for _ in range(600)]
     rows = [(rng.randrange(500) if i % 50 else None, t) for i, t in enumerate(values)]
@@ -393,6 +392,16 @@ def test_copies(spark, monkeypatch):
     assert exact_dedup.frequent(df, exact_dedup.normalised(F.col("text")), 4)
 
 
+def test_copies_with_one_id(spark):
+    rows = [(None, "the same text")] * 5_000 + [(7, "the same text")] * 3 + [(i, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert max(exact_dedup.frequent(df, F.col("text"), 4)) >= 16
+    got = exact_dedup.dedup_exact(df, partitions=4).collect()
+    copies = [r for r in got if r.group_size > 1]
+    assert len(got) == len(rows) and len(copies) == 5_003 and {(r.keep_id, r.group_size) for r in copies} == {(7, 5_003)}
+    assert [r.doc_id for r in copies if r.kept] == [7] and sum(r.kept for r in got) == 101
+
+
 # Decontamination
 
 
@@ -513,6 +522,19 @@ def test_shards(spark, sf, monkeypatch):
         assert own == list(range(len(own)))
 
 
+def test_rows_that_are_the_same_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", 10)
+    said, put = [], Store.put
+    monkeypatch.setattr(Store, "put", lambda self, df: said.append(df.columns) or put(self, df))
+    rows = [(None, "one text")] * 2_000 + [(None, f"text {i % 9}") for i in range(90)] + [(i, "one text") for i in range(300)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=3).collect()
+    assert len(got) == len(rows) and said
+    for s in range(3):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((d, zlib.crc32(t.encode())) for d, t in rows)
+
+
 def test_weighted_shards(spark, tmp_path):
     ids = spark.range(20_000).select(sharding.shard_of(F.col("id").cast("string"), [1.0, 3.0, 0.0]).alias("s"))
     n = {r.s: r["count"] for r in ids.groupBy("s").count().collect()}
