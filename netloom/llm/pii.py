@@ -18,6 +18,8 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 # The countries' IBANs have 15 to 34 characters; a card 14 to 19 digits; a phone number 10 to 15.
 CONTEXT_CHARS = 32
 THRESHOLD = 0.5
+# Different digits that a secret in hexadecimal has at least; fewer are filling.
+SECRET_DIGITS = 8
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,7 @@ KINDS = (
     Kind("card", r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "", True, 0.3, 0.4, 0.2, r"card|visa|credit|debit|master|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.6, 0.1, 0.2, r"phone|tel|call|mobile|cell|fax"),
     Kind("iban", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", "", False, 0.2, 0.5, 0.2, r"iban|account|bank|konto|compte|cuenta"),
+    Kind("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])", "", False, 0.2, 0.2, 0.3, r"token|secret|key|passw|credential|auth|bearer"),
     Kind("local_phone", r"[0-9(](?<![0-9A-Za-z+.][0-9(])(?<=[(])?[0-9]{2,3}+\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", "", False, 0.3, 0.0, 0.3, r"phone|tel|call|mobile|cell|fax"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -84,6 +87,8 @@ def _valid(kind: str, value: Column) -> Column:
         return luhn(_digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(10, 15)
+    if kind == "secret":
+        return F.size(F.array_distinct(F.split(value, ""))) >= SECRET_DIGITS
     return F.lit(True)
 
 

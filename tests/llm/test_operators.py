@@ -83,6 +83,13 @@ def test_ibans_before_other_words(spark):
     assert rows == ["iban:5:27", "iban:5:27", "iban:5:27", "iban:5:27,iban:28:50", "iban:5:32", "iban:20:42", "", "iban:0:22", "", ""]
 
 
+def test_secrets(spark):
+    digits = "0123456789abcdef" * 3
+    values = [f'token = "{digits[:40]}"', f"commit {digits[:40]}", f"key {'ab' * 20}", f"secret: {digits[:31]}", f"api_key={digits.upper()[:32]}z"]
+    rows = [r.spans for r in pii.pii_report(texts(spark, values)).orderBy("doc_id").collect()]
+    assert rows == ["secret:9:49", "", "", "", ""]
+
+
 def test_context_reaches_over_other_matches(spark):
     values = ["phone 555-123-4567 or 555-987-6543", "phone 555-123-4567 or 555-987-6543 or 555-222-3333", "number 555-123-4567 or 555-987-6543"]
     rows = [r.spans for r in pii.pii_report(texts(spark, values)).orderBy("doc_id").collect()]
