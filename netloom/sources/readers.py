@@ -1,7 +1,7 @@
 """Readers of the input formats. Each gives a frame of a fixed schema; an absent value is null.
 
 Paths are read by Spark alone, so any store that Spark reads will do. Files whose order matters give ``line_no``, a
-number that grows along a file.
+place that grows along a file, and over several files by their names.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text
@@ -18,17 +19,29 @@ from netloom.operators.fusion import load_scores
 
 # The columns of the formats.
 MITAB = ("ID_A", "ID_B", "Alt_IDs_A", "Alt_IDs_B", "Aliases_A", "Aliases_B", "Method", "Author", "PubIDs", "TaxID_A", "TaxID_B", "IntType", "SourceDB", "IntIDs", "Confidence")
-COMPARTMENTS = "protein_id string, gene_name string, go_id string, go_term string, score double"
+COMPARTMENTS = ("protein_id", "gene_name", "go_id", "go_term", "score")
 
 
 def _strings(columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
 
+def _place() -> Column:
+    """Where a row stands: its file, the part of the file that the row was read from, and the row's number in that.
+
+    It is for frames just read. Files are read in parts by several tasks, in any order, so no number of a task will do.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+
+
+def _fixed(place: Row) -> Column:
+    """A place that was fetched, to compare others with."""
+    return F.struct(F.lit(place["file"]).alias("file"), F.lit(place["start"]).cast("long").alias("start"), F.lit(place["n"]).cast("long").alias("n"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line_no) in the order of the file; a file is read by one task, so that its numbers grow."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return lines
+    """(value, line_no) of text files."""
+    return spark.read.text(path).select("value", _place().alias("line_no"))
 
 
 def mitab(spark: SparkSession, path: str) -> DataFrame:
@@ -75,20 +88,26 @@ def dip_interactions(spark: SparkSession, path: str) -> DataFrame:
     return ends.join(first, "ref1").join(second, "ref2").where("protein1 <> protein2").select("protein1", "protein2", "confidence")
 
 
+def create(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file from the driver through Spark's file system; returns its name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
+    stream.write(bytearray(content))
+    stream.close()
+    return name
+
+
 def unzip(spark: SparkSession, archive: str, target: str) -> str:
     """Write the XML files of a zip archive to the folder ``target`` through Spark's file system; returns ``target``.
 
-    Archives are opened one for each task, file by file.
+    The driver does it, so that any file system will do: it holds the archive, which is a download of some megabytes,
+    and one of its files at a time. Larger collections are given as folders of XML files, which tasks read.
     """
     content = spark.read.format("binaryFile").load(archive).select("content").head()[0]
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in z.namelist():
             if name.endswith(".xml"):
-                path = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{name.replace('/', '_')}")
-                stream = path.getFileSystem(conf).create(path, True)
-                stream.write(bytearray(z.read(name)))
-                stream.close()
+                create(spark, f"{target.rstrip('/')}/{name.replace('/', '_')}", z.read(name))
     return target
 
 
@@ -106,7 +125,7 @@ def portal_complexes(spark: SparkSession, path: str) -> DataFrame:
 
 def _listed(rows: DataFrame, key: Column, items: Column, separator: str) -> DataFrame:
     """(complex_id, proteins); of rows with one id the last counts."""
-    named = rows.select(key.alias("complex_id"), text.members(items, separator).alias("proteins"), F.monotonically_increasing_id().alias("__row"))
+    named = rows.select(key.alias("complex_id"), text.members(items, separator).alias("proteins"), _place().alias("__row"))
     return named.where("complex_id IS NOT NULL").groupBy("complex_id").agg(F.max_by("proteins", "__row").alias("proteins"))
 
 
@@ -122,6 +141,17 @@ def humap(spark: SparkSession, path: str, prefix: str = "HuMAP_") -> DataFrame:
     return _listed(rows, F.concat(F.lit(prefix), F.col("HuMAP2_ID")), F.col("Uniprot_ACCs"), " ")
 
 
+def known_complexes(*sources: DataFrame) -> DataFrame:
+    """(complex_id, proteins) of several sources, proteins sorted; give each source a prefix of its own.
+
+    An id in several sources is what the last of them says. Of equal sets, the first source's smallest id stays.
+    """
+    sets = [s.select("complex_id", F.sort_array("proteins").alias("proteins"), F.lit(i).alias("source")) for i, s in enumerate(sources)]
+    one = reduce(DataFrame.unionByName, sets).groupBy("complex_id").agg(F.max_by("proteins", "source").alias("proteins"), F.min("source").alias("source"))
+    first = F.min(F.struct("source", "complex_id"))["complex_id"]
+    return one.groupBy("proteins").agg(first.alias("complex_id")).select("complex_id", "proteins")
+
+
 def idmapping(spark: SparkSession, path: str) -> DataFrame:
     """(uniprot, db, db_id, line_no); lines with fewer than three fields are left out."""
     fields = F.split("value", "\t")
@@ -134,12 +164,14 @@ def soft_expression(spark: SparkSession, path: str) -> DataFrame:
     begin = lines.where(F.startswith("value", F.lit("!dataset_table_begin"))).agg(F.min("line_no")).head()[0]
     if begin is None:
         raise ValueError(f"{path} has no table")
-    body = lines.where((F.col("line_no") > begin) & ~F.startswith("value", F.lit("!")))
+    body = lines.where((F.col("line_no") > _fixed(begin)) & ~F.startswith("value", F.lit("!")))
     header = body.orderBy("line_no").head()
+    if header is None:
+        raise ValueError(f"the table of {path} has no header")
     names = header["value"].split("\t")
     fields = F.split("value", "\t")
     keep = [(i, n) for i, n in enumerate(names) if n == "IDENTIFIER" or n.startswith("GSM")]
-    rows = body.where(F.col("line_no") > header["line_no"])
+    rows = body.where(F.col("line_no") > _fixed(header["line_no"]))
     return rows.select(*[F.nullif(F.get(fields, F.lit(i)), F.lit("")).alias(n) for i, n in keep], "line_no")
 
 
@@ -163,8 +195,10 @@ def uniprot_go(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compartments(spark: SparkSession, path: str) -> DataFrame:
-    """Five columns without a header; malformed lines are dropped."""
-    return spark.read.schema(COMPARTMENTS).option("sep", "\t").option("mode", "DROPMALFORMED").csv(path)
+    """Five columns without a header; malformed lines are dropped, whichever columns are asked for."""
+    rows = spark.read.schema(_strings(COMPARTMENTS)).options(sep="\t", mode="DROPMALFORMED", columnPruning=False).csv(path)
+    score = text.number(F.col("score"))
+    return rows.where(F.col("score").isNull() | score.isNotNull()).withColumn("score", score)
 
 
 def mapped_compartments(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,8 @@ MAPPED = ("Original_Protein_ID", "Gene_Name", "GO_ID", "GO_Term", "Score", "Mapp
 
 
 def tsv(df: DataFrame, path: str, header: bool = False) -> None:
-    df.write.option("sep", "\t").option("header", header).option("emptyValue", "").mode("overwrite").csv(path)
+    as_is = {"emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(sep="\t", header=header, **as_is).mode("overwrite").csv(path)
 
 
 def edge_list(df: DataFrame, path: str, header: bool = False) -> None:

@@ -41,12 +41,16 @@ class Store:
         with contextlib.suppress(Exception):
             self.clear()
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once; what is returned scans the written table."""
+    def folder(self) -> str:
+        """The name of a new folder, deleted with the tables."""
         if not self.count:
             atexit.register(self._end)
         self.count += 1
-        path = f"{self.root}/{self.count}"
+        return f"{self.root}/{self.count}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once; what is returned scans the written table."""
+        path = self.folder()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.netloom_path = path
