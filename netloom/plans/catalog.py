@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text
 from netloom.operators import clean, clusters, evaluation, fusion, ga, graph, idmap, similarity, tabu
 from netloom.operators.rng import uniform
 from netloom.plans import fixtures as fx
+from netloom.plans import formats  # noqa: F401  its queries are registered by being defined
 from netloom.plans.fixtures import table, with_
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
-
+from netloom.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
 
 # Cleaning
 
