@@ -84,21 +84,32 @@ def aspired(value: Column, best: Column, visits: Column, threshold: int = 2) ->
     return (value > best) | rarely_visited(visits, threshold)
 
 
-def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iterations: int = 100, tenure: int = 10, intensification: bool = False, diversification: bool = False, aspiration: Callable[[Column, Column, Column], Column] | None = lambda v, b, n: v > b, patience: int = 20, given: Sequence[str] = ()) -> DataFrame:
+def enough_iterations(done: Column, best_value: Column, best_iteration: Column) -> Column:
+    """The stop rule of parallel searches: 50 iterations."""
+    return done >= 50
+
+
+def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iterations: int = 100, tenure: int = 10, intensification: bool = False, diversification: bool = False, aspiration: Callable[[Column, Column, Column], Column] | None = lambda v, b, n: v > b, patience: int = 20, given: Sequence[str] = (), stop: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """(start_id, repr, value, best_iteration) of the best solution from each start.
 
     The next solution is the best neighbour that is not tabu or is aspired to, the first by its text of equals; it is
     tabu for ``tenure`` iterations. ``intensification`` passes over neighbours visited three times. With
     ``diversification`` a start goes on from its least visited solution after ``patience`` iterations without a new
     best. A start without an allowed neighbour stays where it is. ``given`` names columns of ``starts`` that ``value``
-    reads besides a solution.
+    reads besides a solution. ``stop`` says of iterations done, best value and best iteration when a start ends early,
+    such as :func:`enough_iterations`.
     """
     store = Store(starts.sparkSession)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     base = starts.select("start_id", "repr", *given).withColumn("value", value(F.col("repr")))
     state = store.put(base.select("start_id", "repr", "value", F.col("repr").alias("best"), F.col("value").alias("best_value"), F.lit(0).alias("best_iteration"), none.alias("tabu"), none.alias("visits"), F.map_from_arrays(F.array().cast("array<string>"), F.slice(F.array("repr"), 1, 0)).alias("known"), *given))
     for i in range(1, max_iterations + 1):
-        moves = state.select("start_id", "best_value", "tabu", "visits", *given, F.explode(neighborhood.generate(F.col("repr"))).alias("next")).withColumn("key", key_of(F.col("next"))).withColumn("next_value", value(F.col("next")))
+        going = state
+        if stop:
+            going = state.where(~stop(F.lit(i - 1), F.col("best_value"), F.col("best_iteration")))
+            if going.isEmpty():
+                break
+        moves = going.select("start_id", "best_value", "tabu", "visits", *given, F.explode(neighborhood.generate(F.col("repr"))).alias("next")).withColumn("key", key_of(F.col("next"))).withColumn("next_value", value(F.col("next")))
         visits = F.col("visits")[F.col("key")]
         free = F.coalesce(F.col("tabu")[F.col("key")], F.lit(0)) < i
         allowed = free | aspiration(F.col("next_value"), F.col("best_value"), visits) if aspiration else free
