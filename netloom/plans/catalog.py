@@ -154,6 +154,14 @@ def text_accession(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.accession(x, text.ACCESSION_PATTERNS["yeast"], True).alias("acc"))
 
 
+@query(r"""SELECT c_custkey, coalesce(nullif(regexp_extract(x, '(?i)uniprot/swiss[\W-]?prot:([A-Z0-9]{6,8})', 1), ''), nullif(regexp_extract(x, '(?i)uniprot:([A-Z0-9]{6,8})', 1), ''), nullif(regexp_extract(x, '(?i)([A-Z0-9]{6,8})\.\d', 1), '')) AS acc
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'a|uniprot/swiss-prot:p' || (10000 + c_custkey) WHEN 1 THEN 'UniProt:q' || (10000 + c_custkey) WHEN 2 THEN 'swissprot:O' || (10000 + c_custkey) WHEN 3 THEN 'x' || (10000 + c_custkey) || '.2' ELSE c_name END AS x FROM customer)""")
+def text_accession_human(spark, d):
+    k, n = F.col("c_custkey") % 5, (F.col("c_custkey") + 10000).cast("string")
+    x = F.when(k == 0, F.concat(F.lit("a|uniprot/swiss-prot:p"), n)).when(k == 1, F.concat(F.lit("UniProt:q"), n)).when(k == 2, F.concat(F.lit("swissprot:O"), n)).when(k == 3, F.concat(F.lit("x"), n, F.lit(".2"))).otherwise(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", text.accession(x, text.ACCESSION_PATTERNS["human"]).alias("acc"))
+
+
 @query(r"""SELECT page_id, replace(url, 'http://', '') AS bare, split_part(url, '.', 2) AS second, split_part(url, '.', -1) AS last, len(string_split(url, '/')) - 1 AS slashes, upper(url) LIKE 'HTTPS%' AS secure FROM pages""")
 def text_parts(spark, d):
     u = F.col("url")
@@ -216,6 +224,32 @@ def idmap_cascade(spark, d):
     return idmap.expression_lookup(p.select("p_partkey", x.alias("x")), "x", fx.idmap(spark, d), "yeast")
 
 
+@query(with_("idmap", """asked AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE p_type || '/' || p_size END AS x FROM part),
+n AS (SELECT upper(db_id) AS key, arg_min(uniprot, line_no) AS v FROM idmap WHERE db = 'Gene_Name' GROUP BY 1)""") + "SELECT p_partkey, x, n.v AS mapped FROM asked LEFT JOIN n ON upper(x) = n.key")
+def idmap_cascade_human(spark, d):
+    k, p = F.col("p_partkey") % 3, table(spark, d, "part")
+    x = F.when(k == 0, F.col("p_name")).when(k == 1, F.upper("p_name")).otherwise(F.concat("p_type", F.lit("/"), F.col("p_size").cast("string")))
+    return idmap.expression_lookup(p.select("p_partkey", x.alias("x")), "x", fx.idmap(spark, d), "human")
+
+
+def _locus(k):
+    return F.when(k % 5 == 0, "YBR1").otherwise(F.concat(F.lit("YA"), F.char(65 + k % 7), F.lpad((k % 50).cast("string"), 3, "0"), F.when(k % 3 == 0, "W").otherwise("")))
+
+
+def _locus_sql(k: str) -> str:
+    return f"CASE WHEN ({k}) % 5 = 0 THEN 'YBR1' ELSE 'YA' || chr((65 + ({k}) % 7)::INT) || lpad((({k}) % 50)::VARCHAR, 3, '0') || CASE WHEN ({k}) % 3 = 0 THEN 'W' ELSE '' END END"
+
+
+@query(f"""WITH loci AS (SELECT key, arg_max(uniprot, k) AS v FROM (SELECT p_partkey AS k, 'P' || p_partkey AS uniprot, {_locus_sql("p_partkey")} AS key FROM part) WHERE regexp_matches(key, '^Y[A-Z]{{2}}\\d{{3}}[A-Z]?$') GROUP BY 1),
+asked AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'P' || p_partkey WHEN 1 THEN 'ENSP' || p_partkey ELSE {_locus_sql("p_partkey + 1")} END AS protein_id FROM part)
+SELECT p_partkey, protein_id, CASE WHEN p_partkey % 4 = 0 THEN protein_id ELSE v END AS "Mapped_UniProtKB_ID", CASE WHEN p_partkey % 4 = 0 OR v IS NOT NULL THEN 'Success' ELSE 'Failed' END AS "Mapping_Status" FROM asked LEFT JOIN loci ON protein_id = key""")
+def idmap_compartments_yeast(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    known = p.select(F.concat(F.lit("P"), k).alias("uniprot"), F.when(k % 2 == 0, "ORF").otherwise("Gene_OrderedLocusName").alias("db"), _locus(k).alias("db_id"), k.alias("line_no"))
+    x = F.when(k % 4 == 0, F.concat(F.lit("P"), k)).when(k % 4 == 1, F.concat(F.lit("ENSP"), k)).otherwise(_locus(k + 1))
+    return idmap.map_compartments(p.select("p_partkey", x.alias("protein_id")), known, "yeast")
+
+
 _COMP = """asked AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'P' || p_partkey WHEN 1 THEN 'ENSP' || (p_partkey + 1) WHEN 2 THEN 'ENSP9' || p_partkey ELSE 'Q' || p_partkey END AS protein_id FROM part),
 own AS (SELECT DISTINCT uniprot FROM idmap), s AS (SELECT split_part(db_id, '.', -1) AS key, arg_max(uniprot, line_no) AS v FROM idmap WHERE db = 'STRING' GROUP BY 1), e AS (SELECT split_part(db_id, '.', 1) AS key, arg_max(uniprot, line_no) AS v FROM idmap WHERE db = 'Ensembl_PRO' GROUP BY 1),
 m AS (SELECT p_partkey, protein_id, coalesce(own.uniprot, s.v, e.v) AS u FROM asked LEFT JOIN own ON protein_id = own.uniprot LEFT JOIN s ON protein_id = s.key LEFT JOIN e ON protein_id = e.key)"""
@@ -263,11 +297,28 @@ def sim_pcc(spark, d):
     return rounded(similarity.coexpression(pairs, e.select(F.col("vec_id").alias("protein"), F.col("embedding").alias("v"))), "PCC", digits=6)
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(range((len(embedding) - CASE WHEN vec_id % 3 = 0 THEN 20 ELSE 0 END)::BIGINT), lambda i: CASE WHEN (vec_id + i) % 5 > 0 THEN CASE WHEN vec_id % 11 = 0 THEN 1 ELSE embedding[i + 1]::DOUBLE END END) AS v FROM embeddings)
+SELECT a.vec_id AS protein1, b.vec_id AS protein2, round((corr(x, y) + 1) / 2, 6) AS "PCC" FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id,
+LATERAL (SELECT unnest(a.v) AS x, unnest(b.v) AS y) WHERE x IS NOT NULL AND y IS NOT NULL AND a.vec_id % 11 > 0 AND b.vec_id % 11 > 0 GROUP BY 1, 2""")
+def sim_pcc_gaps(spark, d):
+    """Profiles with gaps, of two lengths, some of them constant."""
+    e, k = table(spark, d, "embeddings"), F.col("vec_id")
+    pairs = e.select(k.alias("protein1"), "label").join(e.select(k.alias("protein2"), "label"), "label").where("protein1 < protein2").select("protein1", "protein2")
+    cut = F.slice("embedding", F.lit(1), F.size("embedding") - F.when(k % 3 == 0, 20).otherwise(0))
+    v = F.transform(cut, lambda x, i: F.when((k + i) % 5 > 0, F.when(k % 11 == 0, 1.0).otherwise(x.cast("double"))))
+    return rounded(similarity.coexpression(pairs, e.select(k.alias("protein"), v.alias("v"))), "PCC", digits=6)
+
+
 _OVERLAP = """n AS (SELECT protein, count(*) AS n FROM pt GROUP BY 1),
 s AS (SELECT protein1, protein2, count(*) AS s FROM pe2 JOIN pt a ON a.protein = protein1 JOIN pt b ON b.protein = protein2 AND b.term = a.term GROUP BY 1, 2),
 x AS (SELECT protein1, protein2, s, a.n AS n1, b.n AS n2 FROM s JOIN n a ON a.protein = protein1 JOIN n b ON b.protein = protein2)"""
 
 
+@query(with_("pe2 pt", _OVERLAP) + "SELECT pe2.protein1, pe2.protein2, coalesce(round(s / sqrt((n1 * n2)::DOUBLE), 9), 0) AS weight FROM pe2 LEFT JOIN x ON x.protein1 = pe2.protein1 AND x.protein2 = pe2.protein2")
+def sim_cosine_all(spark, d):
+    return rounded(similarity.annotation_cosine(fx.edges2(spark, d), fx.part_terms(spark, d), False), "weight")
+
+
 @query(with_("pe2 pt", _OVERLAP) + "SELECT protein1, protein2, round(s / sqrt((n1 * n2)::DOUBLE), 9) AS weight FROM x")
 def sim_cosine_sets(spark, d):
     return rounded(similarity.annotation_cosine(fx.edges2(spark, d), fx.part_terms(spark, d)), "weight")
@@ -616,3 +667,18 @@ def _knapsacks(spark, d):
 def tabu_search(spark, d):
     value = tabu.knapsack(F.col("values"), F.col("weights"), 120)
     return tabu.search(_knapsacks(spark, d), tabu.composite([tabu.SWAP, tabu.INSERT]), value, given=["values", "weights"])
+
+
+_TOTAL = "coalesce(list_reduce(list_transform(range(len(repr)), lambda k: CASE WHEN repr[k + 1] THEN {}[k + 1] ELSE 0.0::DOUBLE END), lambda a, b: a + b), 0)"
+
+
+@query("WITH " + _ITEMS + ", " + _SWAPS + f""", il AS (SELECT set_id, list(value ORDER BY k) AS vals, list(weight ORDER BY k) AS wts FROM it GROUP BY 1),
+v AS (SELECT 0 AS step, start_id, repr, {_TOTAL.format("vals")} AS value, {_TOTAL.format("wts")} AS weight FROM st JOIN il USING (set_id) UNION ALL SELECT 1, start_id, repr, {_TOTAL.format("vals")}, {_TOTAL.format("wts")} FROM sw JOIN il USING (set_id)),
+k AS (SELECT step, start_id, array_to_string(list_transform(repr, lambda x: x::VARCHAR), ',') AS key, CASE WHEN weight <= 120 THEN value ELSE -1 END AS value FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY value DESC, key) AS r FROM k WHERE step = 1)
+SELECT a.start_id, CASE WHEN r.value > a.value THEN r.key ELSE a.key END AS key, round(CASE WHEN r.value > a.value THEN r.value ELSE a.value END, 6) AS value, CASE WHEN r.value > a.value THEN 1 ELSE 0 END AS best_iteration FROM k a LEFT JOIN r ON r.start_id = a.start_id AND r.r = 1 WHERE a.step = 0""")
+def tabu_first_step(spark, d):
+    """A search that its stop rule ends after the first iteration, which SQL can follow."""
+    value = tabu.knapsack(F.col("values"), F.col("weights"), 120)
+    found = tabu.search(_knapsacks(spark, d), tabu.SWAP, value, given=["values", "weights"], stop=lambda done, best, at: done >= 1)
+    return found.select("start_id", tabu.key_of(F.col("repr")).alias("key"), F.round("value", 6).alias("value"), "best_iteration")

@@ -271,6 +271,23 @@ def test_knapsack(spark):
         found = {r.start_id: r.value for r in tabu.search(starts, kind, value, 4, 2, **extra).collect()}
         assert found == {0: 220.0, 1: 120.0, 2: -1.0}
     assert tabu.best_of(tabu.search(starts, kind, value, 2)).head().value == 220.0
+    ended = tabu.search(starts, kind, value, 9, 2, stop=lambda done, best, at: (best >= 220) | (done >= 1)).collect()
+    assert {r.start_id: (r.value, r.best_iteration) for r in ended} == {r.start_id: (r.value, r.best_iteration) for r in tabu.search(starts, kind, value, 1, 2).collect()}
+
+
+def test_places_of_lines(spark, tmp_path):
+    """Files count by name and lines by their place, whatever tasks read them in whatever parts."""
+    for i, name in enumerate("ba"):
+        write(tmp_path / f"{name}.dat", "".join(f"P{i}{j:05}\tORF\tY{j % 3}\n" for j in range(3000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        m = readers.idmapping(spark, str(tmp_path))
+        assert m.rdd.getNumPartitions() > 4
+        both = idmap.lookup(m, "ORF", name="first").join(idmap.lookup(m, "ORF", keep="last", name="last"), "key")
+        assert rows(both) == [(f"Y{j}", f"P1{j:05}", f"P0{2997 + j:05}") for j in range(3)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_every_part_is_searched(spark, tmp_path, monkeypatch):
