@@ -669,11 +669,11 @@ def tabu_search(spark, d):
     return tabu.search(_knapsacks(spark, d), tabu.composite([tabu.SWAP, tabu.INSERT]), value, given=["values", "weights"])
 
 
-_TOTAL = "coalesce(list_reduce(list_transform(range(len(repr)), lambda k: CASE WHEN repr[k + 1] THEN {}[k + 1] ELSE 0.0::DOUBLE END), lambda a, b: a + b), 0)"
+_SUM_TAKEN = "coalesce(list_reduce(list_transform(range(len(repr)), lambda k: CASE WHEN repr[k + 1] THEN {}[k + 1] ELSE 0.0::DOUBLE END), lambda a, b: a + b), 0)"
 
 
 @query("WITH " + _ITEMS + ", " + _SWAPS + f""", il AS (SELECT set_id, list(value ORDER BY k) AS vals, list(weight ORDER BY k) AS wts FROM it GROUP BY 1),
-v AS (SELECT 0 AS step, start_id, repr, {_TOTAL.format("vals")} AS value, {_TOTAL.format("wts")} AS weight FROM st JOIN il USING (set_id) UNION ALL SELECT 1, start_id, repr, {_TOTAL.format("vals")}, {_TOTAL.format("wts")} FROM sw JOIN il USING (set_id)),
+v AS (SELECT 0 AS step, start_id, repr, {_SUM_TAKEN.format("vals")} AS value, {_SUM_TAKEN.format("wts")} AS weight FROM st JOIN il USING (set_id) UNION ALL SELECT 1, start_id, repr, {_SUM_TAKEN.format("vals")}, {_SUM_TAKEN.format("wts")} FROM sw JOIN il USING (set_id)),
 k AS (SELECT step, start_id, array_to_string(list_transform(repr, lambda x: x::VARCHAR), ',') AS key, CASE WHEN weight <= 120 THEN value ELSE -1 END AS value FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY value DESC, key) AS r FROM k WHERE step = 1)
 SELECT a.start_id, CASE WHEN r.value > a.value THEN r.key ELSE a.key END AS key, round(CASE WHEN r.value > a.value THEN r.value ELSE a.value END, 6) AS value, CASE WHEN r.value > a.value THEN 1 ELSE 0 END AS best_iteration FROM k a LEFT JOIN r ON r.start_id = a.start_id AND r.r = 1 WHERE a.step = 0""")

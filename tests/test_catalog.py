@@ -55,3 +55,16 @@ def test_the_core_does_not_need_the_text_operators(monkeypatch):
                 assert not any("llm" in n for n in names), path
     monkeypatch.setitem(sys.modules, "netloom.llm", None)
     assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
+
+
+def test_no_name_of_a_query_module_is_bound_twice():
+    """A second binding would change what the queries above it read when they run."""
+    for path in (Path(__file__).parents[1] / "netloom" / "plans").glob("*.py"):
+        names = []
+        for node in ast.parse(path.read_text()).body:
+            if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+                names.append(node.name)
+            elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+                names += [n.id for t in targets for n in ast.walk(t) if isinstance(n, ast.Name)]
+        assert len(names) == len(set(names)), (path.name, sorted(n for n in names if names.count(n) > 1))
