@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, sharding, token_count, toxicity
+from netloom.llm import decontam, divergence, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, runs, sharding, token_count, toxicity, warc
 from netloom.session import ship_code
+from netloom.storage import Store
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -78,13 +79,44 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages in the shared folder, and what is read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    folder = Store(spark).folder()
+    warc.write_archives(pages, folder)
+    records = warc.index_of(warc.read_archives(spark, folder, payloads=False))
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` in whose texts each tenth id, by its hash, repeats what stands from a word of it on."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.withColumns({"__h": hashed, "__w": F.when(hashed % 10 == 0, words)})
+    g, n = F.floor(F.col("__h") / 10), F.size("__w").cast("long")
+    start = g % n
+    period = 1 + F.expr("(size(__w) - __a) div (3 + __g % 8)")
+    repeated = F.transform("__w", lambda w, i: F.when(i < F.col("__a"), w).otherwise(F.get("__w", (F.col("__a") + F.pmod(i - F.col("__a"), F.col("__p"))).cast("int"))))
+    rows = rows.withColumn("__g", g).withColumn("__a", F.when(n > 0, start)).withColumn("__p", period)
+    return rows.withColumn("text", F.when(F.col("__a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_ngram_jaccard, op4_line_dedup, op5_quality, op6_toxicity, op7_mixing, op8_exact_dedup, op9_decontamination, op10_sharding, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_ngram_jaccard, op4_line_dedup, op5_quality, op6_toxicity, op7_mixing, op8_exact_dedup, op9_decontamination, op10_sharding, op11_warc, op12_periodic_runs, op13_source_divergence, pipeline)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _SPACED = f"regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')"
@@ -124,6 +156,36 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(r.content)
 """
 
 
+#: Five hexadecimal digits of a SHA-1 are four characters of its base32.
+_OP11 = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+known AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM rows)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * k + 1, 5))::BIGINT >> s) & 31)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM known
+"""
+
+_OP13 = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+own AS (SELECT id, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT id, lang, term FROM own) GROUP BY ALL HAVING count(*) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::HUGEINT AS n FROM grp g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM own GROUP BY ALL) o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+shares AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p FROM cells),
+whole AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+tops AS (SELECT s.lang, s.source, s.term AS item, p - q AS value FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE s.n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM tops) WHERE rank <= 50)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked
+"""
+
+
 def _sql_map(weights: dict[str, float], name: str, default: float) -> str:
     return "CASE " + name + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {default} END::DOUBLE"
 
@@ -158,4 +220,4 @@ summed AS (SELECT *, sum(tokens) OVER (PARTITION BY {keys} ORDER BY epoch, draw,
 SELECT doc_id, {keys}, epoch, tokens, leaf_tokens FROM summed WHERE so_far <= leaf_tokens"""
 
 
-SQL: dict[str, str] = {"op3_ngram_jaccard": _OP3, "op4_line_dedup": _OP4, "op7_mixing": _mix_sql(), "op8_exact_dedup": _OP8}
+SQL: dict[str, str] = {"op3_ngram_jaccard": _OP3, "op4_line_dedup": _OP4, "op7_mixing": _mix_sql(), "op8_exact_dedup": _OP8, "op11_warc": _OP11, "op13_source_divergence": _OP13}
