@@ -1,7 +1,8 @@
-"""Tabu search from many starts (start_id, repr), all of which go through an iteration together.
+"""Tabu search from many starts (start_id, repr).
 
 A start is one row with its current and best solution, the solutions that are tabu for some more iterations, and how
-often each was visited. Neighbours are exploded from it, and one aggregation picks the next solution of each start.
+often each was visited. Starts never meet, so a row goes through many iterations in one pass: a fold over their numbers,
+whose step values the neighbours and picks one. Rows are dealt to all cores before each pass and written behind it.
 """
 
 from __future__ import annotations
@@ -12,28 +13,40 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.columns import fresh
 from netloom.storage import Store
 
+#: Iterations of one job.
+PER_PASS = 50
+
 Value = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
 class Neighborhood:
-    """Neighbours of a solution, as an array of arrays."""
+    """Neighbours of a solution, as an array of arrays; ``different`` gives the same set with fewer repetitions."""
 
     name: str
     generate: Callable[[Column], Column]
+    different: Callable[[Column], Column] | None = None
 
 
-def _swapped(x: Column) -> Column:
-    n = F.size(x)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+def _places(x: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The pairs (i, j) of places of an array that ``keep`` keeps, by i and then j."""
+    places = F.sequence(F.lit(0), F.size(x) - 1)
+    return F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: keep(i, j)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def _same(x: Column, i: Column, j: Column) -> Column:
+    return F.get(x, i).eqNullSafe(F.get(x, j))
+
+
+def _swap(x: Column, pairs: Column) -> Column:
     return F.transform(pairs, lambda p: F.transform(x, lambda v, k: F.when(k == p["i"], F.get(x, p["j"])).when(k == p["j"], F.get(x, p["i"])).otherwise(v)))
 
 
-def _inserted(x: Column) -> Column:
+def _insert(x: Column, pairs: Column) -> Column:
     n = F.size(x)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j != i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
     def move(p: Column) -> Column:
         rest = F.concat(F.slice(x, F.lit(1), p["i"]), F.slice(x, p["i"] + 2, n))
@@ -42,13 +55,32 @@ def _inserted(x: Column) -> Column:
     return F.transform(pairs, move)
 
 
-SWAP = Neighborhood("swap", _swapped)
-INSERT = Neighborhood("insert", _inserted)
+def _or_itself(x: Column, others: Column, also: Column) -> Column:
+    """``others``, and the solution itself where it is one of its neighbours."""
+    return F.when(also, F.concat(others, F.array(x))).otherwise(others)
+
+
+def _different_swaps(x: Column) -> Column:
+    """Equal items give the solution itself, whichever they are."""
+    n = F.size(x)
+    pairs = _places(x, lambda i, j: (j > i) & ~_same(x, i, j))
+    return _or_itself(x, _swap(x, pairs), F.size(pairs) < n * (n - 1) / 2)
+
+
+def _different_inserts(x: Column) -> Column:
+    """An item that goes right starts at the end of a stretch of its equals, and does not stop behind one; left likewise."""
+    pairs = _places(x, lambda i, j: (i != j) & ~_same(x, i, j) & ~_same(x, i, i + F.signum(j - i).cast("int")))
+    twins = F.exists(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i > 0) & _same(x, i, i - 1))
+    return _or_itself(x, _insert(x, pairs), twins)
+
+
+SWAP = Neighborhood("swap", lambda x: _swap(x, _places(x, lambda i, j: j > i)), _different_swaps)
+INSERT = Neighborhood("insert", lambda x: _insert(x, _places(x, lambda i, j: i != j)), _different_inserts)
 
 
 def composite(parts: Sequence[Neighborhood]) -> Neighborhood:
     """All parts' neighbours, one part after the other."""
-    return Neighborhood("+".join(p.name for p in parts), lambda x: F.concat(*[p.generate(x) for p in parts]))
+    return Neighborhood("+".join(p.name for p in parts), lambda x: F.concat(*[p.generate(x) for p in parts]), lambda x: F.concat(*[(p.different or p.generate)(x) for p in parts]))
 
 
 def key_of(x: Column) -> Column:
@@ -89,7 +121,17 @@ def enough_iterations(done: Column, best_value: Column, best_iteration: Column)
     return done >= 50
 
 
-def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iterations: int = 100, tenure: int = 10, intensification: bool = False, diversification: bool = False, aspiration: Callable[[Column, Column, Column], Column] | None = lambda v, b, n: v > b, patience: int = 20, given: Sequence[str] = (), stop: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _visits(seen: Column, key: Column) -> Column:
+    """How often the solution of a key was visited; null if never."""
+    return F.get(F.filter(seen, lambda e: e["key"] == key), F.lit(0))["n"]
+
+
+def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iterations: int = 100, tenure: int = 10, intensification: bool = False, diversification: bool = False, aspiration: Callable[[Column, Column, Column], Column] | None = lambda v, b, n: v > b, patience: int = 20, given: Sequence[str] = (), stop: Callable[[Column, Column, Column], Column] | None = None, per_pass: int = PER_PASS) -> DataFrame:
     """(start_id, repr, value, best_iteration) of the best solution from each start.
 
     The next solution is the best neighbour that is not tabu or is aspired to, the first by its text of equals; it is
@@ -97,44 +139,54 @@ def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iter
     ``diversification`` a start goes on from its least visited solution after ``patience`` iterations without a new
     best. A start without an allowed neighbour stays where it is. ``given`` names columns of ``starts`` that ``value``
     reads besides a solution. ``stop`` says of iterations done, best value and best iteration when a start ends early,
-    such as :func:`enough_iterations`.
+    such as :func:`enough_iterations`. ``per_pass`` iterations are one job; the result does not depend on it.
     """
-    store = Store(starts.sparkSession)
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    base = starts.select("start_id", "repr", *given).withColumn("value", value(F.col("repr")))
-    state = store.put(base.select("start_id", "repr", "value", F.col("repr").alias("best"), F.col("value").alias("best_value"), F.lit(0).alias("best_iteration"), none.alias("tabu"), none.alias("visits"), F.map_from_arrays(F.array().cast("array<string>"), F.slice(F.array("repr"), 1, 0)).alias("known"), *given))
-    for i in range(1, max_iterations + 1):
-        going = state
-        if stop:
-            going = state.where(~stop(F.lit(i - 1), F.col("best_value"), F.col("best_iteration")))
-            if going.isEmpty():
-                break
-        moves = going.select("start_id", "best_value", "tabu", "visits", *given, F.explode(neighborhood.generate(F.col("repr"))).alias("next")).withColumn("key", key_of(F.col("next"))).withColumn("next_value", value(F.col("next")))
-        visits = F.col("visits")[F.col("key")]
-        free = F.coalesce(F.col("tabu")[F.col("key")], F.lit(0)) < i
-        allowed = free | aspiration(F.col("next_value"), F.col("best_value"), visits) if aspiration else free
-        if intensification:
-            allowed = allowed & rarely_visited(visits)
-        pick = moves.where(allowed).groupBy("start_id").agg(F.min_by(F.struct("next", "next_value", "key"), F.struct(-F.col("next_value"), "key")).alias("to"))
-        met = state.join(pick, "start_id", "left")
-        moved = F.col("to").isNotNull()
-        better = F.coalesce(F.col("to.next_value") > F.col("best_value"), F.lit(False))
-        entry = F.map_from_arrays(F.array("to.key"), F.array(F.lit(i + tenure)))
-        seen = F.map_from_arrays(F.array("to.key"), F.array(F.coalesce(F.col("visits")[F.col("to.key")], F.lit(0)) + 1))
-
-        def put(old: Column, new: Column) -> Column:
-            return F.when(moved, F.map_concat(F.map_filter(old, lambda k, _: k != F.col("to.key")), new)).otherwise(old)
-
-        tabu = F.map_filter(put(F.col("tabu"), entry), lambda _, until: until > i)
-        known = put(F.col("known"), F.map_from_arrays(F.array("to.key"), F.array("to.next"))) if diversification else F.col("known")
-        new = met.select("start_id", F.when(moved, F.col("to.next")).otherwise(F.col("repr")).alias("repr"), F.when(moved, F.col("to.next_value")).otherwise(F.col("value")).alias("value"), F.when(better, F.col("to.next")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("to.next_value")).otherwise(F.col("best_value")).alias("best_value"), F.when(better, F.lit(i)).otherwise(F.col("best_iteration")).alias("best_iteration"), tabu.alias("tabu"), put(F.col("visits"), seen).alias("visits"), known.alias("known"), *given)
+    spark = starts.sparkSession
+    store = Store(spark)
+    #: Visits are kept only where something asks for them; what a lambda says of a column tells whether it does.
+    asks = intensification or diversification or (aspiration is not None and "__visits" in str(aspiration(F.col("__v"), F.col("__b"), F.col("__visits"))))
+
+    def step(at: Column, i: Column) -> Column:
+        def allowed(m: Column) -> Column:
+            free = ~F.exists(at["tabu"], lambda t: t["key"] == m["key"])
+            met = _visits(at["seen"], m["key"]) if asks else F.lit(None).cast("int")
+            ok = free | aspiration(-m["cost"], at["best_value"], met) if aspiration else free
+            return ok & rarely_visited(met) if intensification else ok
+
+        moves = F.transform((neighborhood.different or neighborhood.generate)(at["repr"]), lambda x: F.struct((-value(x)).alias("cost"), key_of(x).alias("key"), x.alias("next")))
+        return _let(F.array_min(F.filter(moves, allowed)), lambda to: moved(at, i, to))
+
+    def moved(at: Column, i: Column, to: Column) -> Column:
+        goes = to.isNotNull()
+        better = F.coalesce(-to["cost"] > at["best_value"], F.lit(False))
+        left = F.filter(at["tabu"], lambda t: (t["until"] > i) & (~goes | (t["key"] != to["key"])))
+        entry = F.array(F.struct(to["key"].alias("key"), (i + tenure).alias("until")))
+        tabu = F.when(goes & F.lit(tenure > 0), F.concat(left, entry)).otherwise(left)
+        again = F.coalesce(_visits(at["seen"], to["key"]), F.lit(0)) + 1
+        visit = F.array(F.struct(again.alias("n"), to["key"].alias("key"), to["next"].alias("repr")))
+        seen = F.when(goes, F.concat(F.filter(at["seen"], lambda e: e["key"] != to["key"]), visit)).otherwise(at["seen"]) if asks else at["seen"]
+        best_at = F.when(better, i).otherwise(at["best_iteration"])
+        here = F.when(goes, to["next"]).otherwise(at["repr"])
         if diversification:
-            stuck = (F.lit(i) - F.col("best_iteration") > patience) & (F.size(F.map_keys("visits")) > 0)
-            least = F.array_min(F.transform(F.map_entries("visits"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("key"))))["key"]
-            new = new.withColumn("repr", F.when(stuck, F.col("known")[least]).otherwise(F.col("repr")))
-        old, state = state, store.put(new)
+            stuck = i - best_at > patience
+            here = _let(F.array_min(seen), lambda least: F.when(stuck & least.isNotNull(), least["repr"]).otherwise(here))
+        new = F.struct(here.alias("repr"), F.when(better, to["next"]).otherwise(at["best"]).alias("best"), F.when(better, -to["cost"]).otherwise(at["best_value"]).alias("best_value"), best_at.alias("best_iteration"), tabu.alias("tabu"), seen.alias("seen"))
+        return F.when(stop(i - 1, at["best_value"], at["best_iteration"]), at).otherwise(new) if stop else new
+
+    no_tabu = F.slice(F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("until"))), 1, 0)
+    not_seen = F.slice(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("key"), F.col("repr").alias("repr"))), 1, 0)
+    first = F.struct(F.col("repr"), F.col("repr").alias("best"), value(F.col("repr")).cast("double").alias("best_value"), F.lit(0).alias("best_iteration"), no_tabu.alias("tabu"), not_seen.alias("seen"))
+    own = fresh(starts.select(*given), "start_id", "at")
+    state = store.put(starts.select(F.col("start_id").alias(own[0]), first.alias(own[1]), *given))
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for done in range(0, max_iterations, per_pass):
+        numbers = F.sequence(F.lit(done + 1), F.lit(min(done + per_pass, max_iterations)))
+        old, state = state, store.put(state.repartition(parts, own[0]).withColumn(own[1], F.aggregate(numbers, F.col(own[1]), step)))
         store.free(old)
-    return state.select("start_id", F.col("best").alias("repr"), F.col("best_value").alias("value"), "best_iteration")
+        if stop and state.where(~stop(F.lit(done + per_pass), F.col(own[1])["best_value"], F.col(own[1])["best_iteration"])).isEmpty():
+            break
+    at = F.col(own[1])
+    return state.select(F.col(own[0]).alias("start_id"), at["best"].alias("repr"), at["best_value"].alias("value"), at["best_iteration"].alias("best_iteration"))
 
 
 def best_of(results: DataFrame) -> DataFrame:

@@ -472,7 +472,32 @@ def cluster_individuals(spark, d):
     return rounded(clusters.individual_fitness(own, fx.supplier_graph(spark, d)), "fs", digits=6)
 
 
-@query()
+def _ff(win: str, wout: str, ein: str, eout: str, n: str) -> str:
+    """SQL of a cluster's fitness from its totals, in the digits that count."""
+    inner, outer = f"coalesce(({win}) / nullif({ein}, 0), 0)", f"coalesce(({wout}) / nullif({eout}, 0), 0)"
+    return f"round(coalesce(({win}) / nullif({win} + {wout}, 0), 0) + CASE WHEN {n} > 1 THEN 2 * ({win}) / (({n}) * ({n} - 1)) ELSE 0 END + {inner} - {outer} + coalesce({inner} / nullif({inner} + {outer}, 0), 0), 11)"
+
+
+_JOINED = _ff("win + 2 * k + s", "wout + d - 2 * k", "ein + 2 * ke + se", "eout + de - 2 * ke", "n + 1")
+_LEFT = _ff("win - 2 * k - s", "wout - d + 2 * k", "ein - 2 * ke - se", "eout - de + 2 * ke", "n - 1")
+
+#: A step of the search for all clusters (c, their members) at once: each edge of a member gives rows of its ends and of the totals.
+_CLIMB = f"""deg AS (SELECT src AS x, coalesce(sum(weight) FILTER (src <> dst), 0) AS d, count(*) FILTER (src <> dst) AS de, coalesce(sum(weight) FILTER (src = dst), 0) AS s, count(*) FILTER (src = dst) AS se FROM adj GROUP BY 1),
+climb AS (SELECT cid AS cluster_id, list(p ORDER BY p) AS c, 0 AS step, true AS on_ FROM det GROUP BY 1
+UNION ALL SELECT cluster_id, CASE WHEN away.f > now THEN list_filter(c, lambda v: v <> away.x) WHEN more.f > now THEN list_append(c, more.x) ELSE c END, CASE WHEN coalesce(away.f > now, false) THEN step ELSE step + 1 END, (coalesce(away.f > now, false) OR (coalesce(more.f > now, false) AND step < 19)) AS on_
+FROM (SELECT cluster_id, any_value(c) AS c, any_value(step) AS step, any_value(now) AS now, first({{'x': x, 'f': f}} ORDER BY f, x) FILTER (member AND de > ke) AS away, first({{'x': x, 'f': f}} ORDER BY f DESC, x) FILTER (NOT member) AS more
+FROM (SELECT *, {_ff("win", "wout", "ein", "eout", "n")} AS now, CASE WHEN member THEN {_LEFT} ELSE {_JOINED} END AS f
+FROM (SELECT g.cluster_id, g.x, member, c, step, len(c) AS n, k, ke, coalesce(d, 0) AS d, coalesce(de, 0) AS de, coalesce(s, 0) AS s, coalesce(se, 0) AS se, sum(wi) OVER w AS win, sum(wo) OVER w AS wout, sum(ei) OVER w AS ein, sum(eo) OVER w AS eout
+FROM (SELECT cluster_id, r.x, r.member, any_value(c) AS c, any_value(step) AS step, sum(r.k) AS k, sum(r.ke) AS ke, sum(r.wi) AS wi, sum(r.wo) AS wo, sum(r.ei) AS ei, sum(r.eo) AS eo
+FROM (SELECT cluster_id, c, step, unnest(CASE WHEN here THEN [{{'x': m, 'member': true, 'k': CASE WHEN m <> dst THEN weight ELSE 0 END, 'ke': (m <> dst)::INT, 'wi': weight, 'wo': 0::DOUBLE, 'ei': 1, 'eo': 0}}]
+WHEN dst IS NULL THEN [{{'x': m, 'member': true, 'k': 0::DOUBLE, 'ke': 0, 'wi': 0::DOUBLE, 'wo': 0::DOUBLE, 'ei': 0, 'eo': 0}}]
+ELSE [{{'x': dst, 'member': false, 'k': weight, 'ke': 1, 'wi': 0::DOUBLE, 'wo': 0::DOUBLE, 'ei': 0, 'eo': 0}}, {{'x': m, 'member': true, 'k': 0::DOUBLE, 'ke': 0, 'wi': 0::DOUBLE, 'wo': weight, 'ei': 0, 'eo': 1}}] END) AS r
+FROM (SELECT cluster_id, c, step, m, dst, weight, list_contains(c, dst) AS here FROM (SELECT *, unnest(c) AS m FROM climb WHERE on_) LEFT JOIN adj ON src = m))
+GROUP BY 1, 2, 3) g LEFT JOIN deg ON deg.x = g.x WINDOW w AS (PARTITION BY g.cluster_id)))
+GROUP BY 1))"""
+
+
+@query(with_("adj det", _CLIMB, True) + "SELECT cluster_id, unnest(c) AS protein FROM climb WHERE NOT on_")
 def cluster_local_search(spark, d):
     return clusters.local_search(_clusters(spark, d), fx.supplier_graph(spark, d))
 
@@ -663,10 +688,66 @@ def _knapsacks(spark, d):
     return each.select((F.col("set_id") * 3 + F.col("s")).alias("start_id"), "values", "weights", F.transform("values", lambda _, i: i % 3 == F.col("s")).alias("repr"))
 
 
-@query()
-def tabu_search(spark, d):
+#: What a bit string of items is worth, summed in their order.
+_WORTH = "coalesce(list_reduce(list_transform(range(length({0})), lambda k: CASE WHEN substr({0}, k + 1, 1) = '1' THEN {1}[k + 1] ELSE 0.0::DOUBLE END), lambda a, b: a + b), 0)"
+_BITS = "list_aggregate(list_transform({}, lambda x: CASE WHEN x THEN '1' ELSE '0' END), 'string_agg', '')"
+_AS_KEY = "array_to_string(list_transform(range(length({0})), lambda k: CASE WHEN substr({0}, k + 1, 1) = '1' THEN 'true' ELSE 'false' END), ',')"
+
+
+def _tabu_sql(iterations: int, moves: str = "swap insert", tenure: int = 10, aspired: str = "v > best_value", intensified: bool = False, patience: int | None = None) -> str:
+    """SQL that follows every iteration of a search: solutions are bit strings, moves are orders of their places."""
+    kinds = {
+        "swap": "SELECT n, list_transform(range(n), lambda k: CASE k WHEN i THEN j WHEN j THEN i ELSE k END + 1) AS perm FROM ns JOIN ij ON i < j AND j < n",
+        "insert": "SELECT n, list_transform(range(n), lambda k: CASE WHEN k = j THEN i WHEN i < j AND k >= i AND k < j THEN k + 1 WHEN i > j AND k > j AND k <= i THEN k - 1 ELSE k END + 1) AS perm FROM ns JOIN ij ON i <> j AND i < n AND j < n",
+    }
+    count = "coalesce(list_extract(list_transform(list_filter(seen, lambda e: e.key = {}), lambda e: e.n), 1), 0)"
+    asks = intensified or patience is not None or "visits" in aspired
+    seen = f"CASE WHEN pick IS NULL THEN seen ELSE list_append(list_filter(seen, lambda e: e.key <> pick.next), {{'n': {count.format('pick.next')} + 1, 'key': pick.next}}) END" if asks else "seen"
+    here = "coalesce(pick.next, key)"
+    if patience is not None:
+        here = f"CASE WHEN i - best_at > {patience} AND len(seen) > 0 THEN list_extract(list_sort(seen), 1).key ELSE {here} END"
+    free = "NOT list_contains(list_transform(tabu, lambda t: t.key), next)"
+    visits = count.format("next") if asks else "0"
+    allowed = f"({free} OR {aspired})" + (" AND visits < 3" if intensified else "")  # a single item has no moves
+    return f"""WITH RECURSIVE {_ITEMS},
+il AS (SELECT set_id, count(*) AS n, list(value ORDER BY k) AS vals, list(weight ORDER BY k) AS wts FROM it GROUP BY 1), ns AS (SELECT DISTINCT n FROM il),
+mv AS (SELECT DISTINCT n, perm FROM ({" UNION ALL ".join(kinds[m] for m in moves.split())})),
+f AS (SELECT start_id, set_id, {_BITS.format("repr")} AS key FROM st),
+run AS (SELECT 0 AS i, start_id, set_id, key, key AS best, CASE WHEN {_WORTH.format("key", "wts")} <= 120 THEN {_WORTH.format("key", "vals")} ELSE -1 END AS best_value, 0 AS best_at, []::STRUCT(key VARCHAR, until INT)[] AS tabu, []::STRUCT(n INT, key VARCHAR)[] AS seen FROM f JOIN il USING (set_id)
+UNION ALL SELECT i, start_id, set_id, {here}, best, best_value, best_at, tabu, seen FROM (
+SELECT i, start_id, set_id, key, pick, CASE WHEN pick.v > best_value THEN pick.next ELSE best END AS best, CASE WHEN pick.v > best_value THEN pick.v ELSE best_value END AS best_value, CASE WHEN pick.v > best_value THEN i ELSE best_at END AS best_at,
+CASE WHEN pick IS NULL THEN list_filter(tabu, lambda t: t.until > i) ELSE list_append(list_filter(tabu, lambda t: t.until > i AND t.key <> pick.next), {{'key': pick.next, 'until': i + {tenure}}}) END AS tabu, {seen} AS seen
+FROM (SELECT i + 1 AS i, start_id, any_value(set_id) AS set_id, any_value(key) AS key, any_value(best) AS best, any_value(best_value) AS best_value, any_value(best_at) AS best_at, any_value(tabu) AS tabu, any_value(seen) AS seen, first({{'next': next, 'v': v}} ORDER BY v DESC, next) FILTER (next IS NOT NULL AND {allowed}) AS pick
+FROM (SELECT *, CASE WHEN {_WORTH.format("next", "wts")} <= 120 THEN {_WORTH.format("next", "vals")} ELSE -1 END AS v, {visits} AS visits
+FROM (SELECT DISTINCT run.*, vals, wts, list_aggregate(list_transform(perm, lambda k: substr(key, k::INT, 1)), 'string_agg', '') AS next FROM run JOIN il USING (set_id) LEFT JOIN mv USING (n) WHERE i < {iterations}))
+GROUP BY 1, 2)))
+SELECT start_id, {_AS_KEY.format("best")} AS key, round(best_value, 6) AS value, best_at AS best_iteration FROM run WHERE i = {iterations}"""
+
+
+def _searched(spark, d, neighborhood, *args, **named):
     value = tabu.knapsack(F.col("values"), F.col("weights"), 120)
-    return tabu.search(_knapsacks(spark, d), tabu.composite([tabu.SWAP, tabu.INSERT]), value, given=["values", "weights"])
+    return tabu.search(_knapsacks(spark, d), neighborhood, value, *args, given=["values", "weights"], **named)
+
+
+def _found(df):
+    return df.select("start_id", tabu.key_of(F.col("repr")).alias("key"), F.round("value", 6).alias("value"), "best_iteration")
+
+
+@query(_tabu_sql(100))
+def tabu_search(spark, d):
+    return _found(_searched(spark, d, tabu.composite([tabu.SWAP, tabu.INSERT])))
+
+
+@query(_tabu_sql(40, "swap", 5, "visits < 2 OR v > best_value", True, 3))
+def tabu_diversified(spark, d):
+    """A search that passes over what it has visited three times and goes back to its least visited solution when stuck."""
+    return _found(_searched(spark, d, tabu.SWAP, 40, 5, intensification=True, diversification=True, aspiration=tabu.aspired, patience=3))
+
+
+@query("WITH found AS (" + _tabu_sql(50, "insert") + ") SELECT start_id, key, value FROM found ORDER BY value DESC, start_id LIMIT 1")
+def tabu_best(spark, d):
+    """The best of all starts, by the stop rule of parallel searches."""
+    return tabu.best_of(_searched(spark, d, tabu.INSERT, stop=tabu.enough_iterations)).select("start_id", tabu.key_of(F.col("repr")).alias("key"), F.round("value", 6).alias("value"))
 
 
 _SUM_TAKEN = "coalesce(list_reduce(list_transform(range(len(repr)), lambda k: CASE WHEN repr[k + 1] THEN {}[k + 1] ELSE 0.0::DOUBLE END), lambda a, b: a + b), 0)"

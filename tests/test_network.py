@@ -295,15 +295,59 @@ def test_every_part_is_searched(spark, tmp_path, monkeypatch):
     spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     said, search = {}, tabu.search
     monkeypatch.setattr(tabu, "search", lambda *a, **b: said.update(n=a[3:], b=b) or search(*a[:3], 2, **b))
-    got = {r.start_id: (list(r.repr), r.value) for r in catalog.tabu_search(spark, str(tmp_path)).collect()}
+    got = {r.start_id: (r.key, r.value) for r in catalog.tabu_search(spark, str(tmp_path)).collect()}
     assert said == {"n": (), "b": {"given": ["values", "weights"]}}
     want = {}
     for k in range(3):
         items = parts[12 * k : 12 * k + 12]
         one = spark.createDataFrame([(3 * k + s, [i % 3 == s for i in range(len(items))]) for s in range(3)], "start_id long, repr array<boolean>")
         value = tabu.knapsack([x[1] for x in items], [x[2] for x in items], 120)
-        want |= {r.start_id: (list(r.repr), r.value) for r in search(one, tabu.composite([tabu.SWAP, tabu.INSERT]), value, 2).collect()}
-    assert got == want and sorted(got) == list(range(9)) and [len(got[i][0]) for i in (0, 3, 6)] == [12, 12, 6]
+        found = search(one, tabu.composite([tabu.SWAP, tabu.INSERT]), value, 2).withColumn("key", tabu.key_of(F.col("repr")))
+        want |= {r.start_id: (r.key, r.value) for r in found.collect()}
+    assert got == want and sorted(got) == list(range(9)) and [len(got[i][0].split(",")) for i in (0, 3, 6)] == [12, 12, 6]
+
+
+def plain_tabu(x, value, moves, most, tenure, aspired, intensified=False, patience=None):
+    """One start, by lists and dicts."""
+    best, best_value, best_at, tabu_until, seen = x, value(x), 0, {}, {}
+    key = lambda y: ",".join(str(v).lower() for v in y)
+    for i in range(1, most + 1):
+        free = lambda y: key(y) not in tabu_until  # noqa: B023, E731
+        able = [y for y in moves(x) if (free(y) or aspired(value(y), best_value, seen.get(key(y), (0,))[0])) and not (intensified and seen.get(key(y), (0,))[0] >= 3)]
+        tabu_until = {k: u for k, u in tabu_until.items() if u > i}
+        if able:
+            x = min(able, key=lambda y: (-value(y), key(y)))
+            tabu_until[key(x)] = i + tenure
+            seen[key(x)] = (seen.get(key(x), (0,))[0] + 1, key(x), x)
+            if value(x) > best_value:
+                best, best_value, best_at = x, value(x), i
+        if patience is not None and seen and i - best_at > patience:
+            x = min(seen.values())[2]
+    return best, best_value, best_at
+
+
+def plain_swaps(x):
+    for i, j in itertools.combinations(range(len(x)), 2):
+        y = list(x)
+        y[i], y[j] = y[j], y[i]
+        yield y
+
+
+@pytest.mark.parametrize("per_pass", [5, 100])
+def test_tabu_search_step_by_step(spark, per_pass):
+    rng = random.Random(3)
+    values, weights = [rng.randint(1, 9) / 8 for _ in range(7)], [rng.randint(1, 9) for _ in range(7)]
+    starts = [[rng.random() < 0.4 for _ in range(7)] for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(starts)), "start_id int, repr array<boolean>")
+    worth = lambda x: sum(v for t, v in zip(x, values) if t) if sum(w for t, w in zip(x, weights) if t) <= 14 else -1.0
+    better, rare = (lambda v, b, n: v > b), (lambda v, b, n: v > b or n < 2)
+    for own, plain in (
+        ({"max_iterations": 15, "tenure": 4}, (15, 4, better)),
+        ({"max_iterations": 15, "tenure": 12, "aspiration": None}, (15, 12, lambda *_: False)),
+        ({"max_iterations": 15, "tenure": 3, "aspiration": tabu.aspired, "intensification": True, "diversification": True, "patience": 2}, (15, 3, rare, True, 2)),
+    ):
+        got = {r.start_id: (list(r.repr), r.value, r.best_iteration) for r in tabu.search(df, tabu.SWAP, tabu.knapsack(values, weights, 14), per_pass=per_pass, **own).collect()}
+        assert got == {i: plain_tabu(x, worth, plain_swaps, *plain) for i, x in enumerate(starts)}
 
 
 def test_insert_moves(spark):
@@ -318,6 +362,14 @@ def test_insert_moves(spark):
     assert [r.repr for r in tabu.neighbors(df, tabu.INSERT).orderBy("pos").collect()] == want
 
 
+@pytest.mark.parametrize("kind", [tabu.SWAP, tabu.INSERT, tabu.composite([tabu.SWAP, tabu.INSERT])])
+def test_different_neighbours_are_all_neighbours(spark, kind):
+    solutions = [list(x) for n in range(1, 7) for x in itertools.product([True, False], repeat=n)] + [[1, 2, 2, 3, 1, 1], [None, 1, None, 2]]
+    df = spark.createDataFrame([(i, [None if v is None else int(v) for v in x]) for i, x in enumerate(solutions)], "start_id int, repr array<int>")
+    for r in df.select(kind.generate(F.col("repr")).alias("all"), kind.different(F.col("repr")).alias("some")).collect():
+        assert {tuple(x) for x in r.all} == {tuple(x) for x in r.some}
+
+
 # Readers and writers
 
 
