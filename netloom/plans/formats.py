@@ -5,9 +5,6 @@ The files lie in the shared folder and are deleted when the driver's process end
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from netloom.operators import clean, graph, idmap
 from netloom.plans import fixtures as fx
 from netloom.plans.fixtures import table, with_
 from netloom.plans.registry import query
-from netloom.sources import readers, sinks
+from netloom.sources import archives, readers, sinks
 from netloom.storage import Store
 
 
@@ -130,25 +127,25 @@ def read_ppi_tolerant(spark, d):
 
 # Groups
 
-_PORTAL = '<interactor id="{0}"><interactorType><names><shortLabel>{1}</shortLabel></names></interactorType><xref><primaryRef db="{2}" id="N{0}"/></xref></interactor>'
+_PORTAL = '<interactor id="%s"><interactorType><names><shortLabel>%s</shortLabel></names></interactorType><xref><primaryRef db="%s" id="N%s"/></xref></interactor>'
 
 
-@query("SELECT list_sort(list('N' || n_nationkey)) AS proteins FROM nation WHERE n_nationkey % 5 > 0 AND n_nationkey % 7 > 0 GROUP BY n_regionkey")
+@query("SELECT l_orderkey AS k, list_sort(list(DISTINCT 'N' || l_partkey)) AS proteins FROM lineitem WHERE l_partkey % 5 > 0 AND l_partkey % 7 > 0 GROUP BY 1")
 def read_portal_complexes(spark, d):
-    """An archive with a file for each region, whose participants are its nations, two of each kind that do not count."""
-    members: dict[int, list[int]] = {}
-    for r in table(spark, d, "nation").select("n_regionkey", "n_nationkey").collect():
-        members.setdefault(r[0], []).append(r[1])
-    folder, content = _folder(spark), io.BytesIO()
-    with zipfile.ZipFile(content, "w") as z:
-        z.writestr("yeast/readme.txt", "no complex")
-        for region, nations in members.items():
-            who = "".join(_PORTAL.format(n, "protein" if n % 5 else "rna", "uniprotkb" if n % 7 else "refseq") for n in nations)
-            parts = "".join(f'<participant id="p{n}"><interactorRef>{n}</interactorRef></participant>' for n in nations)
-            z.writestr(f"yeast/{region}.xml", f'<entrySet><entry><interactorList>{who}</interactorList><interactionList><abstractInteraction id="c"><participantList>{parts}</participantList></abstractInteraction></interactionList></entry></entrySet>')
-    archive = readers.create(spark, f"{folder}/portal.zip", content.getvalue())
-    sets = readers.portal_complexes(spark, readers.unzip(spark, archive, f"{folder}/xml"))
-    return sets.groupBy("complex_id").agg(F.sort_array(F.collect_set("protein")).alias("proteins")).select("proteins")
+    """Archives with a file for each order, whose participants are its parts, two of each kind that do not count."""
+    def lines(template, *fields):
+        return F.array_join(F.transform("parts", lambda n: F.format_string(template, *[f(n) for f in fields])), "")
+
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    n = lambda x: x.cast("string")
+    who = lines(_PORTAL, n, lambda x: F.when(x % 5 > 0, "protein").otherwise("rna"), lambda x: F.when(x % 7 > 0, "uniprotkb").otherwise("refseq"), n)
+    content = F.concat(F.lit("<entrySet><entry><interactorList>"), who, F.lit('</interactorList><interactionList><abstractInteraction id="c"><participantList>'), lines('<participant id="p%s"><interactorRef>%s</interactorRef></participant>', n, n), F.lit("</participantList></abstractInteraction></interactionList></entry></entrySet>"))
+    names = F.concat(F.lit("yeast/"), F.col("l_orderkey").cast("string"))
+    files = parts.select(F.explode(F.array(F.struct(F.concat(names, F.lit(".xml")).alias("entry"), content.alias("content")), F.struct(F.concat(names, F.lit(".txt")).alias("entry"), F.lit("no complex").alias("content")))).alias("x")).select("x.*")
+    folder = _folder(spark)
+    archives.write_zips(files, folder)
+    sets = readers.portal_archive(spark, folder).groupBy("complex_id").agg(F.sort_array(F.collect_set("protein")).alias("proteins"))
+    return sets.select(F.regexp_extract("complex_id", "/([0-9]+)[.]xml#0$", 1).cast("long").alias("k"), "proteins")
 
 
 _LISTED = """listed AS (SELECT l_orderkey AS k, 'CORUM_' || l_orderkey AS complex_id, list_sort(list_distinct(list(CASE WHEN l_orderkey % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END))) AS proteins FROM lineitem GROUP BY 1),

@@ -6,8 +6,6 @@ place that grows along a file, and over several files by their names.
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import text
 from netloom.operators.fusion import load_scores
+from netloom.sources.archives import zip_entries
 
 # The columns of the formats.
 MITAB = ("ID_A", "ID_B", "Alt_IDs_A", "Alt_IDs_B", "Aliases_A", "Aliases_B", "Method", "Author", "PubIDs", "TaxID_A", "TaxID_B", "IntType", "SourceDB", "IntIDs", "Confidence")
@@ -88,39 +87,35 @@ def dip_interactions(spark: SparkSession, path: str) -> DataFrame:
     return ends.join(first, "ref1").join(second, "ref2").where("protein1 <> protein2").select("protein1", "protein2", "confidence")
 
 
-def create(spark: SparkSession, name: str, content: bytes) -> str:
-    """Write a small file from the driver through Spark's file system; returns its name."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
-    stream.write(bytearray(content))
-    stream.close()
-    return name
+#: What is read of an entry of a complex's XML.
+_COMPLEX = "entry array<struct<interactorList: struct<interactor: array<struct<_id: string, interactorType: struct<names: struct<shortLabel: string>>, xref: struct<primaryRef: struct<_db: string, _id: string>>>>>, interactionList: struct<abstractInteraction: array<struct<participantList: struct<participant: array<struct<interactorRef: string>>>>>>>>"
 
 
-def unzip(spark: SparkSession, archive: str, target: str) -> str:
-    """Write the XML files of a zip archive to the folder ``target`` through Spark's file system; returns ``target``.
+def complexes_of(files: DataFrame) -> DataFrame:
+    """(complex_id, protein) of XML files (file, content): the accessions of the protein participants of each complex.
 
-    The driver does it, so that any file system will do: it holds the archive, which is a download of some megabytes,
-    and one of its files at a time. Larger collections are given as folders of XML files, which tasks read.
+    Ids are file and place. References hold within a file, so they are resolved where its row is. A file that cannot be
+    parsed gives no rows.
     """
-    content = spark.read.format("binaryFile").load(archive).select("content").head()[0]
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for name in z.namelist():
-            if name.endswith(".xml"):
-                create(spark, f"{target.rstrip('/')}/{name.replace('/', '_')}", z.read(name))
-    return target
+    rows = files.select("file", F.from_xml(F.col("content").cast("string"), _COMPLEX, {"mode": "PERMISSIVE"})["entry"].alias("entry"))
+    every = lambda name, part: F.flatten(F.filter(F.transform("entry", lambda e: e[name][part]), lambda x: x.isNotNull()))
+    good = lambda x: (x["interactorType"]["names"]["shortLabel"] == "protein") & (x["xref"]["primaryRef"]["_db"] == "uniprotkb") & x["xref"]["primaryRef"]["_id"].isNotNull()
+    known = F.transform(F.filter(every("interactorList", "interactor"), good), lambda x: F.named_struct(F.lit("ref"), x["_id"], F.lit("protein"), x["xref"]["primaryRef"]["_id"]))
+    rows = rows.select("file", known.alias("known"), F.posexplode(every("interactionList", "abstractInteraction")).alias("pos", "complex"))
+    refs = F.filter(F.transform("complex.participantList.participant", lambda p: p["interactorRef"]), lambda r: r.isNotNull())
+    rows = rows.select(F.concat_ws("#", "file", F.col("pos").cast("string")).alias("complex_id"), "known", refs.alias("refs"))
+    proteins = F.array_distinct(F.transform(F.filter("known", lambda k: F.array_contains(F.col("refs"), k["ref"])), lambda k: k["protein"]))
+    return rows.select("complex_id", F.explode(proteins).alias("protein"))
 
 
 def portal_complexes(spark: SparkSession, path: str) -> DataFrame:
-    """(complex_id, protein): the accessions of the protein participants of each complex; ids are file and place.
+    """:func:`complexes_of` the XML files of a folder."""
+    return complexes_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")))
 
-    References hold within a file. A file that cannot be parsed gives no rows.
-    """
-    parts = _xml(spark, path, "abstractInteraction", "_id string, participantList struct<participant: array<struct<interactorRef: string>>>").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), F.array_distinct(F.transform("participantList.participant", lambda p: p["interactorRef"])).alias("refs"))
-    parts = parts.select(F.concat_ws("#", "file", F.col("pos").cast("string")).alias("complex_id"), "file", F.explode("refs").alias("ref"))
-    who = _xml(spark, path, "interactor", "_id string, interactorType struct<names: struct<shortLabel: string>>, xref struct<primaryRef: struct<_db: string, _id: string>>").select(F.input_file_name().alias("file"), F.col("_id").alias("ref"), F.col("interactorType.names.shortLabel").alias("kind"), F.col("xref.primaryRef._db").alias("db"), F.col("xref.primaryRef._id").alias("protein"))
-    known = who.where("kind = 'protein' AND db = 'uniprotkb' AND protein IS NOT NULL")
-    return parts.join(known, ["file", "ref"]).select("complex_id", "protein").distinct()
+
+def portal_archive(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`complexes_of` the XML files in a zip archive, or in those of a folder, as tasks read them there."""
+    return complexes_of(zip_entries(spark, path, ".xml").select(F.concat_ws("!", "archive", "entry").alias("file"), "content"))
 
 
 def _listed(rows: DataFrame, key: Column, items: Column, separator: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netloom.functions import text
 from netloom.operators import clean, clusters, evaluation, fusion, ga, graph, idmap, similarity, tabu
 from netloom.plans import catalog
-from netloom.sources import readers, sinks
+from netloom.sources import archives, readers, sinks
 from netloom.streaming.evidence import evidence_counts
 
 
@@ -431,18 +431,43 @@ PORTAL = """<entrySet xmlns="http://psi.hupo.org/mi/mif300"><entry><interactorLi
 <interactionList><abstractInteraction id="9"><participantList><participant id="a"><interactorRef>1</interactorRef></participant><participant id="b"><interactorRef>2</interactorRef></participant><participant id="c"><interactorRef>3</interactorRef></participant></participantList></abstractInteraction></interactionList></entry></entrySet>"""
 
 
-def test_portal(spark, tmp_path):
-    archive = tmp_path / "c.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for x in "AB":
-            z.writestr(f"yeast/{x}.xml", PORTAL.format(x))
-        z.writestr("yeast/bad.xml", "<entrySet")
-        z.writestr("readme.txt", "no")
-    folder = readers.unzip(spark, str(archive), str(tmp_path / "xml"))
+def complexes(frame):
     groups: dict = {}
-    for r in readers.portal_complexes(spark, folder).collect():
+    for r in frame.collect():
         groups.setdefault(r.complex_id, set()).add(r.protein)
-    assert sorted(map(sorted, groups.values())) == [["A1", "A2"], ["B1", "B2"]]
+    return sorted(map(sorted, groups.values()))
+
+
+def test_portal(spark, tmp_path):
+    """Files of a folder, an archive, and a folder of archives give the same complexes; a damaged file gives none."""
+    (tmp_path / "xml").mkdir()
+    for k, names in enumerate(("AB", "C")):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            for x in names:
+                z.writestr(f"yeast/{x}.xml", PORTAL.format(x))
+                write(tmp_path / "xml" / f"{x}.xml", PORTAL.format(x))
+            z.writestr("yeast/bad.xml", "<entrySet")
+            z.writestr("readme.txt", "no")
+    write(tmp_path / "xml" / "bad.xml", "<entrySet")
+    want = [["A1", "A2"], ["B1", "B2"], ["C1", "C2"]]
+    assert complexes(readers.portal_complexes(spark, str(tmp_path / "xml"))) == complexes(readers.portal_archive(spark, str(tmp_path))) == want
+    assert complexes(readers.portal_archive(spark, str(tmp_path / "0.zip"))) == want[:2]
+
+
+def test_archives_are_read_in_parts(spark, tmp_path):
+    files = [(f"d/{i}.{'xml' if i % 3 else 'txt'}", f"é{i}\0" * i if i else None) for i in range(50)]
+    df = spark.createDataFrame(files, "entry string, content string").repartition(3)
+    archives.write_zips(df, str(tmp_path / "z"), archive_bytes=400)
+    names = [p for p in (tmp_path / "z").iterdir() if p.suffix == ".zip"]
+    assert len(names) > 5 and all(zipfile.ZipFile(p).testzip() is None for p in names)
+    for size in (1, 1 << 20):
+        got = archives.zip_entries(spark, str(tmp_path / "z"), ".xml", bytes_per_task=size)
+        assert (got.rdd.getNumPartitions() > len(names)) == (size == 1)
+        assert sorted((r.entry, bytes(r.content).decode()) for r in got.collect()) == sorted((n, c or "") for n, c in files if n.endswith("xml"))
+    assert archives.zip_entries(spark, str(tmp_path / "z"), ".none").count() == 0
+    (tmp_path / "bad.zip").write_bytes(names[0].read_bytes()[:40])
+    with pytest.raises(Exception, match="not a zip file"):
+        archives.zip_entries(spark, str(tmp_path / "bad.zip")).collect()
 
 
 def lines(path):
