@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from netloom.functions.text import guarded
 from netloom.operators.components import component_labels
 from netloom.storage import Store
 
-#: Members that a node group may have for its connection to be followed inside one row.
-LARGEST_GROUP = 2_000
+#: Nodes that a task remembers while it builds forests, and edges of one group that it merges.
+HELD_NODES, MERGED_EDGES = 1_000_000, 1_000_000
 
 
 def simple(edges: DataFrame, a: str = "protein1", b: str = "protein2") -> DataFrame:
@@ -47,53 +50,87 @@ def network_stats(edges: DataFrame, weight: str = "weight", a: str = "protein1",
     return totals.crossJoin(F.broadcast(n)).select("proteins", "interactions", "mean_weight", guarded(F.col("interactions"), pairs).alias("density"))
 
 
+def _inside(own: DataFrame, both: DataFrame) -> DataFrame:
+    """(complex_id, a, b), a < b, of the edges between two members of a group.
+
+    A member is looked up with the others of its group or with its neighbours, whichever are fewer.
+    """
+    known = own.join(degrees(both).withColumnRenamed("node", "protein"), "protein")
+    known = known.join(own.groupBy("complex_id").agg(F.count(F.lit(1)).alias("n")), "complex_id").withColumnRenamed("protein", "a")
+    ends = own.select("complex_id", F.col("protein").alias("b"))
+    half = both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = known.where("n <= degree").select("complex_id", "a").join(ends, "complex_id").where("a < b").join(half, ["a", "b"], "left_semi")
+    edges = known.where("n > degree").select("complex_id", "a").join(half, "a").join(ends, ["complex_id", "b"], "left_semi")
+    return pairs.select("complex_id", "a", "b").union(edges.select("complex_id", "a", "b"))
+
+
+def spanning_forest(edges: DataFrame, by_group: bool = False) -> DataFrame:
+    """Of (complex_id, a, b) the edges that join two trees of their group's forest, as each task sees them.
+
+    A task keeps the roots of the nodes that it has met. It forgets them after HELD_NODES, or with ``by_group``, for rows
+    in the order of their groups, behind each group; what it then lets through again is one more edge, which joins no
+    trees when forests are merged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+        last = None
+
+        def find(x: tuple) -> tuple:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            kept = []
+            for i, (group, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if group != last if by_group else len(root) > HELD_NODES:
+                    root, last = {}, group
+                x, y = find((group, a)), find((group, b))
+                if x != y:
+                    root[x] = y
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def _trees(edges: DataFrame, store: Store) -> DataFrame:
+    """(complex_id, joined): the edges of each group's spanning forest, which are its nodes less its trees.
+
+    Forests of the tasks are merged group by group. A group whose forests have more than MERGED_EDGES edges between them
+    is not for one task; its nodes are labelled together with those of all such groups.
+    """
+    parts = store.put(spanning_forest(edges))
+    giant = parts.groupBy("complex_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MERGED_EDGES).select("complex_id")
+    giant = store.put(giant)
+    some = not giant.isEmpty()
+    rest = parts.join(giant, "complex_id", "left_anti") if some else parts
+    merged = spanning_forest(rest.repartition("complex_id").sortWithinPartitions("complex_id"), by_group=True)
+    trees = merged.groupBy("complex_id").agg(F.count(F.lit(1)).alias("joined"))
+    if not some:
+        return trees
+    a, b = (F.struct("complex_id", F.col(c).alias("protein")) for c in ("a", "b"))
+    labels = component_labels(parts.join(giant, "complex_id", "left_semi").select(a.alias("a"), b.alias("b")), store)
+    # A tree's label is one of its nodes; all others of its nodes are one edge each.
+    return trees.union(labels.groupBy(F.col("node.complex_id").alias("complex_id")).agg(F.count_if(F.col("node") != F.col("label")).alias("joined")))
+
+
 def connected_groups(members: DataFrame, both: DataFrame, empty: bool = True, single: bool = True) -> DataFrame:
     """(complex_id, connected) for each group of ``members`` (complex_id, protein) over a symmetric graph.
 
-    Only edges inside the group count. A group of at most LARGEST_GROUP members becomes one row that follows its edges
-    from one member; one aggregate finds the larger ones, whose edges stay rows and are labelled all together.
+    Only edges inside the group count; it holds together if its spanning forest has one edge less than it has members.
+    ``empty`` and ``single`` are the answers for groups without members and of one. Null members do not count.
     """
     own = members.where(F.col("protein").isNotNull()).distinct()
-    large = own.groupBy("complex_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST_GROUP)
-    if large.isEmpty():
-        return _connected_rows(members, both, empty, single)
-    ids = large.select("complex_id")
-    small = _connected_rows(members.join(ids, "complex_id", "left_anti"), both, empty, single)
-    return small.union(_connected_labels(own.join(ids, "complex_id", "left_semi"), both))
-
-
-def _inside(own: DataFrame, both: DataFrame) -> DataFrame:
-    """(complex_id, src, dst) of the edges between two members of a group, without loops."""
-    ends = own.select("complex_id", F.col("protein").alias("src"))
-    return ends.join(both, "src").join(own.select("complex_id", F.col("protein").alias("dst")), ["complex_id", "dst"], "left_semi").where("src <> dst")
-
-
-def _connected_labels(own: DataFrame, both: DataFrame) -> DataFrame:
-    """Whether all members of a group of two or more carry one label of a component."""
-    a, b = (F.struct("complex_id", F.col(c).alias("protein")) for c in ("src", "dst"))
-    labels = component_labels(_inside(own, both).select(a.alias("a"), b.alias("b")), Store(own.sparkSession))
-    found = labels.groupBy(F.col("node.complex_id").alias("complex_id")).agg(F.count(F.lit(1)).alias("met"), (F.min("label") == F.max("label")).alias("one"))
-    sizes = own.groupBy("complex_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(found, "complex_id", "left").select("complex_id", F.coalesce(F.col("one") & (F.col("met") == F.col("n")), F.lit(False)).alias("connected"))
-
-
-def _connected_rows(members: DataFrame, both: DataFrame, empty: bool, single: bool) -> DataFrame:
-    """Each group as one row."""
-    inside = _inside(members.where(F.col("protein").isNotNull()).distinct(), both)
-    near = inside.groupBy("complex_id", "src").agg(F.collect_list("dst").alias("to")).groupBy("complex_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "to"))).alias("edges"))
-    groups = members.groupBy("complex_id").agg(F.collect_set("protein").alias("proteins")).join(near, "complex_id", "left")
-    size = F.size("proteins")
-    start = F.slice("proteins", 1, 1)
-    none = F.filter("proteins", lambda x: F.lit(False))
-
-    def spread(acc, _):
-        new = F.array_except(F.array_distinct(F.flatten(F.transform(acc["edge"], lambda v: F.coalesce(F.col("edges")[v], none)))), acc["seen"])
-        return F.when(F.size(acc["edge"]) == 0, acc).otherwise(F.struct(F.array_union(acc["seen"], new).alias("seen"), new.alias("edge")))
-
-    steps = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    reached = F.aggregate(steps, F.struct(start.alias("seen"), start.alias("edge")), spread)["seen"]
-    connected = F.when(size == 0, F.lit(empty)).when(size == 1, F.lit(single)).when(F.col("edges").isNull(), F.lit(False)).otherwise(F.size(reached) == size)
-    return groups.select("complex_id", connected.cast("boolean").alias("connected"))
+    trees = _trees(_inside(own, both), Store(members.sparkSession))
+    sizes = members.groupBy("complex_id").agg(F.count_distinct("protein").alias("n"))
+    whole = F.coalesce("joined", F.lit(0)) == F.col("n") - 1
+    connected = F.when(F.col("n") == 0, F.lit(empty)).when(F.col("n") == 1, F.lit(single)).otherwise(whole)
+    return sizes.join(trees, "complex_id", "left").select("complex_id", connected.alias("connected"))
 
 
 def filter_groups(members: DataFrame, both: DataFrame, min_size: int = 3) -> DataFrame:

@@ -286,7 +286,8 @@ def sim_hcn(spark, d):
 
 @query(with_("nb", _HCN) + "SELECT u AS protein1, v AS protein2, c AS common_neighbors, du AS degree_v, dv AS degree_u FROM x")
 def sim_hcn_triangles(spark, d):
-    return similarity.hcn(fx.part_edges(spark, d).select("u", "v"), array_degree=0).drop("HCN_score")
+    """Neighbourhoods in many parts, as those of hubs are."""
+    return similarity.hcn(fx.part_edges(spark, d).select("u", "v"), part=16).drop("HCN_score")
 
 
 @query("""SELECT a.vec_id AS protein1, b.vec_id AS protein2, round((corr(x, y) + 1) / 2, 6) AS "PCC" FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id,

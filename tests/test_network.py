@@ -92,10 +92,12 @@ def random_graph(seed, n=14, p=0.35, loops=True):
     return edges + ([(i, i) for i in range(0, n, 5)] if loops else [])
 
 
-@pytest.mark.parametrize("degree", [0, 1000])
-def test_shared_neighbours(spark, degree):
+@pytest.mark.parametrize(("part", "hub"), [(1, False), (2, True), (1000, True)])
+def test_shared_neighbours(spark, part, hub):
     edges = random_graph(3)
-    near = {i: set() for i in range(14)}
+    if hub:
+        edges = sorted({*edges, *((0, i) for i in range(1, 80)), *((1, i) for i in range(2, 60, 3)), (2, 70)})
+    near = {i: set() for i in range(80)}
     for a, b in edges:
         near[a].add(b)
         near[b].add(a)
@@ -103,7 +105,7 @@ def test_shared_neighbours(spark, degree):
     for a, b in edges:
         c, u = len(near[a] & near[b]), len(near[a] | near[b])
         want.append((a, b, round(c * c / (len(near[a]) * len(near[b]) * u), 12), c, len(near[a]), len(near[b])))
-    got = similarity.hcn(spark.createDataFrame(edges, "u long, v long"), degree).withColumn("HCN_score", F.round("HCN_score", 12))
+    got = similarity.hcn(spark.createDataFrame(edges, "u long, v long"), part).withColumn("HCN_score", F.round("HCN_score", 12))
     assert rows(got) == sorted(want, key=repr)
 
 
@@ -149,14 +151,54 @@ def test_connected_groups(spark):
     assert rows(graph.connected_groups(path, line)) == [(9, True)]
 
 
-def test_connected_groups_of_any_size(spark):
-    n = graph.LARGEST_GROUP + 500
+@pytest.mark.parametrize(("held", "merged"), [(1_000_000, 1_000_000), (3, 1_000_000), (10, 100), (1_000_000, 0)])
+def test_connected_groups_of_any_size(spark, monkeypatch, held, merged):
+    """Whatever tasks remember of forests, and whether one of them merges a group's or its nodes are labelled."""
+    monkeypatch.setattr(graph, "HELD_NODES", held)
+    monkeypatch.setattr(graph, "MERGED_EDGES", merged)
+    n = 300
     star = [(0, i) for i in range(1, n)]
-    sets = {1: range(n), 2: range(1, n), 3: [*range(n - 1), n + 7], 4: range(3), 5: [1, 2, 3], 6: range(n + 9, 2 * n + 9)}
-    both = graph.symmetric(spark.createDataFrame([*star, (1, 2), (n + 7, n + 8)], "u long, v long"))
+    sets = {1: range(n), 2: range(1, n), 3: [*range(n - 1), n + 7], 4: range(3), 5: [1, 2, 3], 6: range(n + 9, 2 * n + 9), 7: [5], 8: [None], 9: [0, None, 5, 5]}
+    both = graph.symmetric(spark.createDataFrame([*star, (1, 2), (n + 7, n + 8), (4, 4)], "u long, v long"))
     m = spark.createDataFrame([(k, p) for k, v in sets.items() for p in v], "complex_id int, protein long")
-    assert dict(rows(graph.connected_groups(m, both))) == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
-    assert {r.complex_id: r.status for r in graph.filter_groups(m, both).collect()} == {1: "kept", 2: "disconnected", 3: "disconnected", 4: "kept", 5: "disconnected", 6: "missing"}
+    assert dict(rows(graph.connected_groups(m, both))) == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False, 7: True, 8: True, 9: True}
+    assert dict(rows(graph.connected_groups(m, both, empty=False, single=False).where("complex_id > 6"))) == {7: False, 8: False, 9: True}
+    assert {r.complex_id: r.status for r in graph.filter_groups(m.where("complex_id < 7"), both).collect()} == {1: "kept", 2: "disconnected", 3: "disconnected", 4: "kept", 5: "disconnected", 6: "missing"}
+
+
+@pytest.mark.parametrize("held", [1_000_000, 4])
+def test_connected_groups_are_those_of_a_walk(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD_NODES", held)
+    rng = random.Random(11)
+    edges = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(28)}
+    sets = {k: rng.sample(range(25), rng.randint(1, 9)) for k in range(60)}
+    want = {}
+    for k, own in sets.items():
+        seen, todo = {own[0]}, [own[0]]
+        while todo:
+            x = todo.pop()
+            for y in own:
+                if y not in seen and ((x, y) in edges or (y, x) in edges):
+                    seen.add(y)
+                    todo.append(y)
+        want[k] = len(seen) == len(own)
+    m = spark.createDataFrame([(k, p) for k, v in sets.items() for p in v], "complex_id int, protein long").repartition(4)
+    assert dict(rows(graph.connected_groups(m, graph.symmetric(spark.createDataFrame(sorted(edges), "u long, v long"))))) == want
+
+
+def test_a_term_that_all_have(spark):
+    """Its proteins meet in blocks; the pairs are the same, and no block pair has many of them."""
+    terms = [(i, "all") for i in range(90)] + [(i, f"t{i % 7}") for i in range(0, 90, 2)] + [(3, "all"), (None, "all"), (5, None)]
+    df = spark.createDataFrame(terms, "protein long, term string")
+    sets: dict = {}
+    for p, t in terms:
+        if p is not None and t is not None:
+            sets.setdefault(p, set()).add(t)
+    sim = lambda a, b: len(sets[a] & sets[b]) ** 2 / (len(sets[a]) * len(sets[b]))
+    want = sorted((a, b, sim(a, b)) for a in sets for b in sets if a <= b and sets[a] & sets[b])
+    for block in (1, 10, 1000):
+        assert rows(similarity.localization_matrix(df, block=block)) == sorted(want, key=repr)
+        assert rows(similarity.localization_matrix(df, 0.5, block)) == sorted((w for w in want if w[2] >= 0.5), key=repr)
 
 
 def test_unique_groups(spark):
