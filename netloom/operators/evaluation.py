@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import guarded
@@ -63,6 +63,47 @@ def matching_ratio(detected: DataFrame, known: DataFrame, pairs: DataFrame | Non
     return total.crossJoin(_count(known, "nk")).select(guarded(F.col("total"), F.col("nk")).alias("mmr"))
 
 
+def matching_pairs(detected: DataFrame, known: DataFrame, epsilon: float = 1e-3, pairs: DataFrame | None = None) -> DataFrame:
+    """(kid, did, score) of a matching of known to detected groups, one to one, whose total is the largest but for epsilon.
+
+    It is an auction. Each known group without a partner bids for the detected group that is worth most to it, its
+    overlap less its price: up to where the second best would be worth as much, and epsilon more. The highest bid sets the
+    price and takes the group from whom it had; of equal bids that of the smallest id does. Whoever would have to pay all
+    that an overlap is worth stays alone. The total is less than the largest by epsilon for each known group at most.
+    Detected groups with the same members are one, that of the smallest id. Each round is written, and reads only the
+    pairs of those who bid; there are as many rounds as bids follow each other on one group.
+    """
+    store = Store(detected.sparkSession)
+    pairs = overlaps(detected, known) if pairs is None else pairs
+    content = detected.groupBy(F.col("cid").alias("did")).agg(F.sort_array(F.collect_set("p")).alias("content"))
+    first = content.groupBy("content").agg(F.min("did").alias("did")).select("did")
+    worth = store.put(pairs.join(first, "did").select("kid", "did", overlap_score().alias("score")))
+    prices = store.put(worth.select("did", F.lit(0.0).alias("price"), F.col("kid").alias("owner")).where("false"))
+    bidders = store.put(worth.select("kid").distinct())
+    order = Window.partitionBy("kid").orderBy(F.desc("gain"), "did")
+    while not bidders.isEmpty():
+        offers = worth.join(bidders, "kid").join(prices.select("did", "price"), "did", "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
+        ranked = offers.withColumn("gain", F.col("score") - F.col("price")).withColumn("r", F.row_number().over(order)).where("r <= 2 AND gain > 0")
+        best = ranked.groupBy("kid").agg(F.min_by(F.struct("did", "price", "gain"), "r").alias("b"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("gain"))), F.lit(0.0)).alias("next"))
+        bids = store.put(best.select("kid", "b.did", (F.col("b.price") + F.col("b.gain") - F.col("next") + epsilon).alias("bid")))
+        won = bids.groupBy("did").agg(F.max_by("kid", F.struct("bid", -F.col("kid"))).alias("kid"), F.max("bid").alias("bid"))
+        held = prices.join(won, "did", "full")
+        changed = store.put(held.select("did", F.coalesce("bid", "price").alias("price"), F.coalesce("kid", "owner").alias("owner"), F.when(F.col("kid").isNotNull(), F.col("owner")).alias("out")))
+        lost = bids.join(changed.select("did", "owner"), "did").where("kid <> owner").select("kid")
+        after = store.put(lost.union(changed.where("out IS NOT NULL").select(F.col("out").alias("kid"))))
+        store.free(prices, bidders, bids)
+        prices, bidders = changed, after
+    return prices.select("did", F.col("owner").alias("kid")).join(worth, ["kid", "did"]).select("kid", "did", "score")
+
+
+def best_matching_ratio(detected: DataFrame, known: DataFrame, epsilon: float = 1e-3) -> DataFrame:
+    """One row, mmr and optimal: the ratio of :func:`matching_ratio`, and that of a largest matching, never below it."""
+    pairs = Store(detected.sparkSession).put(overlaps(detected, known))
+    total = matching_pairs(detected, known, epsilon, pairs).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"))
+    row = total.crossJoin(_count(known, "nk")).crossJoin(matching_ratio(detected, known, pairs))
+    return row.select("mmr", F.greatest("mmr", guarded(F.col("total"), F.col("nk"))).alias("optimal"))
+
+
 def jaccard_index(detected: DataFrame, known: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row: jc and jg, the mean best Jaccard of detected and of known groups, and their harmonic mean; 0 if empty."""
     pairs = overlaps(detected, known) if pairs is None else pairs

@@ -549,6 +549,12 @@ def eval_mmr(spark, d):
     return rounded(evaluation.matching_ratio(*_groups(spark, d)), "mmr")
 
 
+@query()
+def eval_best_matching(spark, d):
+    """The groups of orders and of nations, matched as well as they can be."""
+    return rounded(evaluation.matching_pairs(*_groups(spark, d)), "score")
+
+
 @query(with_("det kno", _EV) + "SELECT round(jc, 9) AS jc, round(jg, 9) AS jg, round(2 * jc * jg / (jc + jg), 9) AS jaccard FROM jj")
 def eval_jaccard(spark, d):
     return rounded(evaluation.jaccard_index(*_groups(spark, d)), "jc", "jg", "jaccard")

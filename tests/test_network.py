@@ -281,6 +281,27 @@ def test_evaluation(spark):
     assert evaluation.total_score(none, k).head().total == 0.0 and evaluation.total_score(none, none).head().total == 0.0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_largest_matching(spark, seed):
+    """Against all ways to match; the greedy rule gets less in one of the cases."""
+    rng = random.Random(seed)
+    known = {i: set(rng.sample("abcdefgh", rng.randint(1, 4))) for i in range(6)}
+    detected = {10 + i: set(rng.sample("abcdefgh", rng.randint(1, 4))) for i in range(5)}
+    detected |= {20: detected[10], 21: {"z"}}
+    score = lambda d, k: len(d & k) ** 2 / (len(d) * len(k))
+    sets = sorted({tuple(sorted(d)) for d in detected.values()})
+    most = max(sum(score(set(d), known[k]) for d, k in zip(sets, ks, strict=True) if k is not None) for ks in itertools.permutations([*known, *[None] * len(sets)], len(sets)))
+    as_frame = lambda g: spark.createDataFrame([(k, p) for k, v in g.items() for p in sorted(v)], "cid long, p string")
+    got = evaluation.matching_pairs(as_frame(detected), as_frame(known)).collect()
+    assert len({r.kid for r in got}) == len({r.did for r in got}) == len(got) and not {20, 21} & {r.did for r in got}
+    assert all(r.score == pytest.approx(score(detected[r.did], known[r.kid])) for r in got)
+    assert most >= sum(r.score for r in got) >= most - 6e-3
+    both = evaluation.best_matching_ratio(as_frame(detected), as_frame(known)).head()
+    assert both.optimal >= both.mmr and both.optimal == pytest.approx(max(both.mmr, sum(r.score for r in got) / 6))
+    none = as_frame(detected).where("false")
+    assert evaluation.best_matching_ratio(none, as_frame(known)).head().optimal == 0.0
+
+
 # Optimisers
 
 
