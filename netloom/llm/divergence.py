@@ -66,6 +66,7 @@ def count_terms(df: DataFrame, text: str = "text", lang: str = "lang", source: s
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in held.items():
+                del n[b""], docs[b""]
                 terms = [b"", *n]
                 columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
@@ -73,12 +74,9 @@ def count_terms(df: DataFrame, text: str = "text", lang: str = "lang", source: s
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(terms_of(text))
-                own.pop(b"", None)
-                before = len(n)
-                for term, k in own.items():
-                    n[term] += k
-                    docs[term] += 1
+                before, terms = len(n), terms_of(text)
+                n.update(terms)
+                docs.update(set(terms))
                 size += len(n) - before
                 if size > HELD_TERMS:
                     yield from out()
