@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netloom.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, queries, sharding, token_count, toxicity
+from netloom.llm import decontam, divergence, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, queries, runs, sharding, token_count, toxicity, warc
+from netloom.storage import Store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ROWS = [
@@ -24,6 +25,7 @@ ROWS = [
 CLASH = (
     *("key", "class", "gram", "content", "salt", "pii", "tokens", "label", "shard", "part", "block", "votes", "level_0", "draw", "epoch"),
     *("stays", "end", "leaf_0", "dropped", "row", "parts", "first", "place", "n", "at", "text_key", "check", "item_id", "hot", "head", "digest"),
+    *("keep", "copied", "free", "revisit", "refers_to", "archive", "runs", "collapsed", "term", "docs", "gid", "tile", "v", "own", "all"),
     *("__stays", "__last", "__leaf_0", "__shard", "size", "doc", "total", "features", "weight", "places", "least"),
 )
 
@@ -36,7 +38,15 @@ def benchmark(spark):
     return spark.createDataFrame([(1, "brown fox jumps over the lazy dog"), (2, None), (None, "zzz"), (3, ""), (4, "ab")], "item_id long, text string")
 
 
+def archived(spark, docs):
+    folder = Store(spark).folder()
+    warc.write_archives(docs, folder, "doc_id", "source", "text")
+    return warc.index_of(warc.read_archives(spark, folder))
+
+
 OPERATORS = {
+    "runs": lambda s, d: runs.find_runs(d),
+    "archives": archived,
     "pii": lambda s, d: pii.pii_report(d),
     "tokens": lambda s, d: token_count.count_tokens(d, queries.tokenizer_file()),
     "jaccard": lambda s, d: jaccard_join.near_duplicates(d, 4, 85),
@@ -47,6 +57,7 @@ OPERATORS = {
     "lines": lambda s, d: line_dedup.drop_boilerplate(d, "doc_id", line_dedup.host_of(F.col("source")), line_dedup.lines_of_html(F.col("text"))),
 }
 OTHERS = {
+    "audit": lambda s, d: divergence.audit_sources(d, min_docs=1),
     "mixing": lambda s, d: mixing.mix(d, queries.TREE, queries.TREE_WEIGHTS, 0.8, 2, queries.TREE_DEFAULTS),
     "passages": lambda s, d: decontam.contaminated(d, benchmark(s)),
     "redact": lambda s, d: pii.redact(pii.find_pii(d)),
