@@ -130,3 +130,14 @@ def only(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
 def missing(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """The distinct values that are no key of ``known``."""
     return df.select(column).distinct().join(known.select(F.col(key).alias("__known")), F.col(column) == F.col("__known"), "left_anti")
+
+
+def counted_in_sets(rows: DataFrame, columns: Sequence[str], sets: Sequence[Sequence[str]], **flags: Column) -> DataFrame:
+    """(columns, level, n and a count for each flag) of several groupings of one table, in one pass over it.
+
+    Each of ``sets`` names the columns that it groups by; the others are null in its rows, and ``level`` has a bit for
+    each of them, the first column's the highest, so that these nulls differ from those of the table.
+    """
+    named = rows.select(*columns, *[c.cast("boolean").alias(f"__{k}") for k, c in flags.items()])
+    grouped = named.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    return grouped.agg(F.grouping_id(*columns).alias("level"), F.count(F.lit(1)).alias("n"), *[F.count_if(f"__{k}").alias(k) for k in flags])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import math
 import random
@@ -10,10 +11,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions import text
-from netloom.operators import clean, clusters, evaluation, fusion, ga, graph, idmap, similarity, tabu
+from netloom.functions import registered, text
+from netloom.operators import clean, clusters, evaluation, fusion, ga, graph, idmap, similarity, sketches, tabu, versions
 from netloom.plans import catalog
 from netloom.sources import archives, readers, sinks
+from netloom.streaming.best import best_pairs
 from netloom.streaming.evidence import evidence_counts
 
 
@@ -569,3 +571,84 @@ def test_stream(spark, tmp_path):
         assert [(r.protein1, r.protein2, r.n) for r in spark.table("counts").collect()] == [("A", "B", 2)]
     finally:
         q.stop()
+
+
+# Versions, sketches, state and registered functions
+
+
+def test_versions_as_of(spark):
+    rng = random.Random(8)
+    day = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    known = [(rng.randrange(4), day(rng.randrange(300)), i, f"v{i % 7}") for i in range(60)] + [(1, day(5), 99, "z"), (1, day(5), 99, "a"), (None, day(1), 1, "x"), (2, None, 1, "y")]
+    events = [(i, rng.randrange(6), day(rng.randrange(320))) for i in range(200)] + [(900, None, day(3)), (901, 1, None), (902, 1, day(5))]
+    a = spark.createDataFrame(events, "id int, k int, at timestamp").repartition(3)
+    b = spark.createDataFrame(known, "k int, at timestamp, n int, name string")
+    want = []
+    for i, k, t in events:
+        able = [(u, n, name) for q, u, n, name in known if q == k is not None and u is not None and t is not None and u <= t]
+        want.append((i, *(max(able)[1:] if able else (None, None))))
+    for days in (1, 3, 100):
+        assert rows(versions.as_of(a, b, "k", "at", ["n", "name"], days), "id", "n", "name") == sorted(want, key=repr)
+    assert versions.as_of(a.where("false"), b, "k", "at", ["n"]).count() == 0
+    assert rows(versions.as_of(a, b.where("false"), "k", "at", ["n"]), "n") == [(None,)] * len(events)
+    with pytest.raises(ValueError, match="names"):
+        versions.as_of(a.withColumn("N", F.lit(1)), b, "k", "at", ["n"])
+
+
+def test_sketches_stay_within_their_error(spark):
+    edges = spark.range(60_000).selectExpr("id % 20 AS day", "IF(id < 40000, 'x', 'y') AS net", "concat('a', id % 30000) AS protein1", "IF(id % 50 = 0, NULL, concat('b', id % 7000)) AS protein2")
+    days = sketches.node_sketches(edges, "net", "day", lg_k=12)
+    assert days.count() == 40
+    exact = {r.net: r.n for r in edges.selectExpr("net", "explode(array(protein1, protein2)) AS n").groupBy("net").agg(F.count_distinct("n").alias("n")).collect()}
+    for r in sketches.node_counts(sketches.merged(days, "net", lg_k=12)).collect():
+        assert abs(r.nodes - exact[r.net]) < 5 * exact[r.net] / 64
+    nets = edges.selectExpr("net", "explode(array(protein1, protein2)) AS n").where("n IS NOT NULL").distinct().groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    either, shared = nets.count(), nets.where("k = 2").count()
+    got = sketches.shared_nodes(sketches.merged(days, "net", lg_k=12), "net").head()
+    assert (got.net, got.other) == ("x", "y")
+    assert abs(got.either - either) < 5 * either / 64 and abs(got.shared - shared) < 5 * shared / 64 * (either / shared) ** 0.5
+
+
+def test_groupings_tell_their_nulls(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), (None, "x", 3)], "p string, q string, v int")
+    got = rows(clean.counted_in_sets(df, ["p", "q"], [["p", "q"], ["p"], []], big=F.col("v") > 1))
+    assert got == sorted([("a", None, 0, 1, 0), ("a", "x", 0, 1, 1), (None, "x", 0, 1, 1), ("a", None, 1, 2, 1), (None, None, 1, 1, 1), (None, None, 3, 3, 2)], key=repr)
+
+
+def test_registered_functions(spark):
+    fitness = registered.register_fitness(spark, "total", lambda genes: genes.sum(axis=1))
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0]), (3, []), (4, [5.0, 5.0])], "id int, genes array<double>")
+    assert rows(df.select("id", fitness(F.col("genes")).alias("f"))) == rows(spark.sql("SELECT id, total(genes) AS f FROM {df}", df=df)) == [(0, 3.0), (1, None), (2, 3.0), (3, 0.0), (4, 10.0)]
+    registered.register_neighbors(spark)
+    for x, kind in (([1, 2, 2], "int"), (["a", "b"], "string"), ([], "string")):
+        one = spark.createDataFrame([("s", x)], f"name string, repr array<{kind}>")
+        got = spark.sql("SELECT * FROM swap_neighbors(TABLE(SELECT * FROM {one}))", one=one)
+        assert got.columns == ["name", "pos", "repr"]
+        assert [list(r.repr) for r in got.orderBy("pos").collect()] == list(plain_swaps(x))
+    with pytest.raises(Exception, match="an id and an array"):
+        spark.sql("SELECT * FROM swap_neighbors(TABLE(SELECT 1))").collect()
+
+
+def test_best_pairs_of_a_stream(spark, tmp_path):
+    """Better rows come through, others don't; late ones are left out, and a pair that was silent starts anew."""
+    kind = "ts timestamp, protein1 string, protein2 string, score double, row_id long"
+    batches = [
+        [("01 00:00", "a", "b", 0.5, 2), ("01 00:01", "b", "a", 0.5, 1), ("01 00:02", "c", "d", 0.9, 3), ("01 00:03", None, "d", 0.9, 4)],
+        [("01 02:00", "a", "b", 0.4, 5), ("01 02:00", "d", "c", 0.95, 6), ("01 02:01", "c", "d", None, 7)],
+        [("01 00:30", "a", "b", 0.99, 8), ("01 02:30", "e", "f", 0.1, 9)],
+        [("03 00:00", "x", "y", 0.2, 10)],
+        [("03 00:01", "a", "b", 0.3, 11)],
+    ]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seen: list = []
+    try:
+        for i, batch in enumerate(batches):
+            made = spark.createDataFrame([(f"2024-01-{t}:00", *r) for t, *r in batch], kind.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
+            made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            found = best_pairs(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+            q = found.writeStream.outputMode("update").foreachBatch(lambda df, n, i=i: seen.extend((i, *r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+    finally:
+        spark.conf.unset(key)
+    assert sorted(seen) == [(0, "a", "b", 0.5, 1), (0, "c", "d", 0.9, 3), (1, "c", "d", 0.95, 6), (2, "e", "f", 0.1, 9), (3, "x", "y", 0.2, 10), (4, "a", "b", 0.3, 11)]
