@@ -6,7 +6,7 @@ function of the column of genes, built from Spark functions or a vectorised Pyth
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,22 +60,35 @@ def normalised(population: DataFrame) -> DataFrame:
     return population.join(most, "island").withColumn("normalised", F.coalesce(F.col("fitness") / F.nullif("__most", F.lit(0.0)), F.lit(0.0))).drop("__most")
 
 
-def tournament(population: DataFrame, seed: int | str, generation: int, purpose: str, k: int = 3) -> DataFrame:
-    """(island, slot, genes): for each slot the fittest of ``k`` drawn with replacement; the first idx of equals."""
+def _drawn(population: DataFrame, seed: int | str, generation: int, purposes: Sequence[str], k: int) -> DataFrame:
+    """(island, slot, purpose, idx, genes, fitness) of the ``k`` rows that each slot draws for each purpose, with replacement."""
     n = population.groupBy("island").agg(F.count(F.lit(1)).alias("n"))
     slots = population.select("island", F.col("idx").alias("slot")).join(n, "island")
-    draws = slots.select("island", "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw")).withColumn("idx", F.floor(uniform(seed, generation, F.col("island"), F.col("slot"), purpose, F.col("draw")) * F.col("n")).cast("long"))
-    met = draws.join(population.withColumn("idx", F.col("idx").cast("long")), ["island", "idx"])
-    return met.groupBy("island", "slot").agg(F.max_by("genes", F.struct("fitness", -F.col("idx"))).alias("genes"))
+    turns = F.explode(F.array(*[F.struct(F.lit(p).alias("purpose"), F.lit(i).alias("draw")) for p in purposes for i in range(k)]))
+    draws = slots.select("island", "slot", "n", turns.alias("turn")).select("island", "slot", "n", "turn.*")
+    place = F.floor(uniform(seed, generation, F.col("island"), F.col("slot"), F.col("purpose"), F.col("draw")) * F.col("n")).cast("long")
+    return draws.withColumn("idx", place).join(population.withColumn("idx", F.col("idx").cast("long")), ["island", "idx"])
+
+
+def _fittest(purpose: str) -> Column:
+    mine = F.col("purpose") == purpose
+    return F.max_by("genes", F.when(mine, F.struct("fitness", -F.col("idx"))))
+
+
+def tournament(population: DataFrame, seed: int | str, generation: int, purpose: str, k: int = 3) -> DataFrame:
+    """(island, slot, genes): for each slot the fittest of ``k`` drawn with replacement; the first idx of equals."""
+    return _drawn(population, seed, generation, [purpose], k).groupBy("island", "slot").agg(_fittest(purpose).alias("genes"))
 
 
 def next_generation(population: DataFrame, fitness: Fitness, seed: int | str, generation: int, crossover: Crossover = uniform_crossover, mutator: Mutator | None = None, k: int = 3) -> DataFrame:
-    """The children of one generation, which replace all parents. Islands number their rows from 0."""
+    """The children of one generation, which replace all parents. Islands number their rows from 0.
+
+    A child's parents are drawn together, so a generation moves its rows once to where they are drawn and once to the slots.
+    """
     mutator = mutator or gaussian_mutator()
-    p1 = tournament(population, seed, generation, "first", k).withColumnRenamed("genes", "p1")
-    p2 = tournament(population, seed, generation, "second", k).withColumnRenamed("genes", "p2")
+    met = _drawn(population, seed, generation, ["first", "second"], k)
     draw = (seed, generation, F.col("island"), F.col("slot"))
-    child = p1.join(p2, ["island", "slot"]).withColumn("genes", crossover(F.col("p1"), F.col("p2"), draw))
+    child = met.groupBy("island", "slot").agg(_fittest("first").alias("p1"), _fittest("second").alias("p2")).withColumn("genes", crossover(F.col("p1"), F.col("p2"), draw))
     return evaluate(child.select("island", F.col("slot").alias("idx"), mutator(F.col("genes"), draw).alias("genes")), fitness)
 
 

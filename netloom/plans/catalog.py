@@ -627,16 +627,55 @@ def ga_split(spark, d):
     return ga.split_population(e, 7).select("vec_id", "island", "idx")
 
 
-@query()
+def _ga_sql(steps: list[int | None], rate: float, history: bool = False) -> str:
+    """SQL that follows a run from the fitness of the vectors on: a number is a generation, None an exchange of the best."""
+    parts = ["e0 AS MATERIALIZED (SELECT island, idx::BIGINT AS idx, genes, fitness FROM ev)"]
+    seen = []
+    for n, g in enumerate(steps):
+        if g is None:
+            parts.append(f"b{n} AS (SELECT island, max(idx) AS last, first({{'genes': genes, 'fitness': fitness}} ORDER BY fitness DESC, idx) AS best FROM e{n} GROUP BY 1)")
+            parts.append(f"e{n + 1} AS MATERIALIZED (SELECT e.island, e.idx, CASE WHEN e.idx = b.last THEN t.best.genes ELSE e.genes END AS genes, CASE WHEN e.idx = b.last THEN t.best.fitness ELSE e.fitness END AS fitness FROM e{n} e JOIN b{n} b ON b.island = e.island JOIN b{n} t ON t.island = (e.island + 1) % (SELECT count(*) FROM b{n}))")
+            continue
+        draw = ("'7'", f"'{g}'", "a.island", "a.slot")
+        parents = [f"(SELECT island, slot, first(genes ORDER BY fitness DESC, idx) AS genes FROM (SELECT a.island, a.slot, p.idx, p.genes, p.fitness FROM (SELECT island, idx AS slot, count(*) OVER (PARTITION BY island) AS n, unnest(range(3)) AS k FROM e{n}) a JOIN e{n} p ON p.island = a.island AND p.idx = floor({_u(*draw, f"'{purpose}'", 'k')} * n)::BIGINT) GROUP BY 1, 2)" for purpose in ("first", "second")]
+        noise = "md5(concat_ws('|', " + ", ".join([*draw, "'noise'", "i - 1"]) + "))"
+        moved = f"0.1 * sqrt(-2.0 * ln((('0x' || substr({noise}, 1, 8))::BIGINT + 1.0::DOUBLE) / 4294967297.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (('0x' || substr({noise}, 9, 8))::BIGINT / 4294967296.0::DOUBLE))"
+        gene = f"CASE WHEN {_u(*draw, chr(39) + 'cross' + chr(39), 'i - 1')} < 0.5 THEN a.genes[i] ELSE b.genes[i] END + CASE WHEN {_u(*draw, chr(39) + 'mutate' + chr(39), 'i - 1')} < {rate} THEN {moved} ELSE 0 END"
+        parts.append(f"c{n} AS (SELECT a.island, a.slot AS idx, list_transform(range(1, len(a.genes) + 1), lambda i: {gene}) AS genes FROM {parents[0]} a JOIN {parents[1]} b ON a.island = b.island AND a.slot = b.slot)")
+        parts.append(f"e{n + 1} AS MATERIALIZED (SELECT *, -list_sum(list_transform(genes, lambda g: g * g)) AS fitness FROM c{n})")
+        seen.append(f"SELECT island, {g}::INT AS generation, round(max(fitness), 9) AS best, round(avg(fitness), 9) AS avg FROM e{n + 1} GROUP BY 1")
+    last = " UNION ALL ".join(seen) if history else f"SELECT island, idx, list_transform(genes, lambda g: round(g, 6)) AS genes, round(fitness, 6) AS fitness FROM e{len(steps)}"
+    return with_("pop", _FIT + ", " + ", ".join(parts)) + last
+
+
+def _epochs(epochs: int, length: int) -> list[int | None]:
+    """The steps of so many epochs of generations, an exchange behind each."""
+    return [step for e in range(epochs) for step in (*range(e * length, (e + 1) * length), None)]
+
+
+def _ran(spark, d, generations, interval, **named):
+    return ga.run(fx.population(spark, d), sphere, generations, interval, 7, mutator=ga.gaussian_mutator(0.1), **named)
+
+
+def _final(population):
+    genes = F.transform("genes", lambda g: F.round(g, 6))
+    return population.select("island", F.col("idx").cast("long").alias("idx"), genes.alias("genes"), F.round("fitness", 6).alias("fitness"))
+
+
+@query(_ga_sql(_epochs(4, 5), 0.1))
 def ga_islands(spark, d):
-    final, _ = ga.run(fx.population(spark, d), sphere, 20, 5, 7, mutator=ga.gaussian_mutator(0.1))
-    return final
+    return _final(_ran(spark, d, 20, 5)[0])
 
 
-@query()
+@query(_ga_sql(_epochs(2, 2), 0.1, history=True))
 def ga_history(spark, d):
-    _, history = ga.run(fx.population(spark, d), sphere, 4, 2, 7, mutator=ga.gaussian_mutator(0.1))
-    return history
+    return rounded(_ran(spark, d, 4, 2)[1], "best", "avg")
+
+
+@query(_ga_sql(_epochs(2, 4), 0.1))
+def ga_full_epochs(spark, d):
+    """Epochs that are each as long as the whole run."""
+    return _final(_ran(spark, d, 4, 2, epoch_generations="reference")[0])
 
 
 @query(with_("det", "g AS (SELECT cid, count(*) AS n FROM det GROUP BY 1)") + "SELECT cid, n, row_number() OVER (ORDER BY n, cid) AS complex_id FROM g")
