@@ -125,8 +125,14 @@ def connected_groups(members: DataFrame, both: DataFrame, empty: bool = True, si
     Only edges inside the group count; it holds together if its spanning forest has one edge less than it has members.
     ``empty`` and ``single`` are the answers for groups without members and of one. Null members do not count.
     """
-    own = members.where(F.col("protein").isNotNull()).distinct()
-    trees = _trees(_inside(own, both), Store(members.sparkSession))
+    store = Store(members.sparkSession)
+    return _judged(store.put(members.select("complex_id", "protein").distinct()), store.put(both.select("src", "dst")), store, empty, single)
+
+
+def _judged(members: DataFrame, both: DataFrame, store: Store, empty: bool = True, single: bool = True) -> DataFrame:
+    """:func:`connected_groups` of distinct members, both frames written before."""
+    own = members.where(F.col("protein").isNotNull())
+    trees = _trees(_inside(own, both), store)
     sizes = members.groupBy("complex_id").agg(F.count_distinct("protein").alias("n"))
     whole = F.coalesce("joined", F.lit(0)) == F.col("n") - 1
     connected = F.when(F.col("n") == 0, F.lit(empty)).when(F.col("n") == 1, F.lit(single)).otherwise(whole)
@@ -135,10 +141,12 @@ def connected_groups(members: DataFrame, both: DataFrame, empty: bool = True, si
 
 def filter_groups(members: DataFrame, both: DataFrame, min_size: int = 3) -> DataFrame:
     """(complex_id, status) by the first rule that fails: small, missing, disconnected, or kept."""
+    store = Store(members.sparkSession)
+    members, both = store.put(members.select("complex_id", "protein").distinct()), store.put(both.select("src", "dst"))
     known = both.select(F.col("src").alias("protein"), F.lit(True).alias("known")).distinct()
-    sizes = members.distinct().join(known, "protein", "left").groupBy("complex_id").agg(F.count("protein").alias("size"), F.count("known").alias("present"))
+    sizes = members.join(known, "protein", "left").groupBy("complex_id").agg(F.count("protein").alias("size"), F.count("known").alias("present"))
     whole = sizes.where((F.col("size") >= min_size) & (F.col("present") == F.col("size")))
-    judged = connected_groups(members.join(whole.select("complex_id"), "complex_id", "left_semi"), both)
+    judged = _judged(members.join(whole.select("complex_id"), "complex_id", "left_semi"), both, store)
     status = F.when(F.col("size") < min_size, "small").when(F.col("present") < F.col("size"), "missing").when(F.col("connected"), "kept").otherwise("disconnected")
     return sizes.join(judged, "complex_id", "left").select("complex_id", "size", status.alias("status"))
 
