@@ -275,7 +275,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 
 
 def clean_of(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
-    """The rows of ``documents`` without any such stretch, with all their columns; rows are judged where they are."""
+    """The rows of ``documents`` without any such stretch, with all their columns; rows are judged where they are.
+
+    Null and empty texts contain nothing and stay; null and empty passages are in nothing.
+    """
     store = Store(documents.sparkSession)
     for items, last in passage_blocks(benchmark, item_id, item_text):
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.session import ship_code
 from netloom.storage import Store
 
 #: Documents of a language that a kept term is in; the top terms of a group.
@@ -83,6 +84,7 @@ def count_terms(df: DataFrame, text: str = "text", lang: str = "lang", source: s
                     held, size = {}, 0
         yield from out()
 
+    ship_code(df.sparkSession)
     rows = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (lang, source)], F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
     counted = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

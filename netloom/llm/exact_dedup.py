@@ -85,7 +85,8 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parti
 
 
 def unique_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id stays; rows that share the id of one that stays come along."""
+    """The rows of ``df`` whose id stays; rows that share the id of one that stays come along, and so do rows without an id
+    where one of them stays. Null and empty texts are equal."""
     mark = fresh(df, "stays")[0]
     stays = dedup_exact(df, doc_id, text).where("kept").select(F.col("doc_id").alias(mark))
     return df.join(stays, F.col(f"`{doc_id}`").eqNullSafe(F.col(mark)), "left_semi")

@@ -375,8 +375,8 @@ def _outside(percent: int) -> Column:
 def _product(cells: DataFrame, percent: int, store: Store) -> DataFrame:
     """The pairs of texts of different classes whose overlap, added up over the columns, lets them be similar enough.
 
-    As with any sparse product, first its entries are found and then their values, from the two texts' open cells. The
-    bound on what the overlap must be: of the two, let a's last cell in the product come first in the order. Then all
+    As with any sparse product, first its entries are found and then their values: the sum over the columns of both
+    texts' open cells, which is the number that they share, taken for each entry at once. The bound on what the overlap must be: of the two, let a's last cell in the product come first in the order. Then all
     cells of a in the product that b has are in the product for b too, so the whole overlap is at most theirs and the
     cells of a that are not in it, ``ceil(t a) - 1`` of them.
     """
@@ -394,6 +394,9 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
     fewer words, the whole sequence is the one element. Two documents link if their similarity is ``percent`` of 100
     or more. A null text, or one without words, has an empty set and links with nothing. Rows with one id are judged
     by their own texts; a null id can be linked, but is no component's id unless all of it have none.
+
+    Links are decided on the words themselves. ``n_shingles`` counts 64-bit hashes of the n-grams: two of a set's m are
+    expected to fall together in one of 2^65 / m^2 texts, which for a text of a million words is one in 37 million.
     """
     store = Store(df.sparkSession)
     rows = _texts(df, doc_id, text)

@@ -182,7 +182,10 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def pii_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, how many spans each base kind has, a digest of the base spans, and all spans."""
+    """Per row: the id, how many spans each base kind has, a digest of the base spans, and all spans.
+
+    A null or empty text has none: counts of 0, the digest of an empty string, and empty ``spans``.
+    """
     found = find_pii(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.session import ship_code
+
 #: The least number of words of a run, and how often its period must fit.
 MIN_WORDS, MIN_TIMES = 24, 3
 #: Places of the grid that are looked at together.
@@ -153,6 +155,7 @@ def find_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
             runs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["start", "length", "period"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), runs, pa.array(texts, pa.binary())], ["doc_id", "runs", "collapsed"])
 
+    ship_code(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"doc_id {kind}, runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed binary")

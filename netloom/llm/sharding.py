@@ -71,6 +71,9 @@ def assign_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
 
 
 def write_shards(df: DataFrame, path: str, doc_id: str = "doc_id", weights: Sequence[float] = (1.0,) * 24) -> None:
-    """Write the rows of ``df`` as Parquet, one folder for each shard; ``__shard``, marked if ``df`` has it, names them."""
+    """Write the rows of ``df`` as Parquet, one folder for each shard; ``__shard``, marked if ``df`` has it, names them.
+
+    Rows without an id share a shard; texts are not looked at, and an empty table leaves an empty folder.
+    """
     name = fresh(df, "__shard")[0]
     df.withColumn(name, shard_of(key_of(F.col(f"`{doc_id}`")), weights)).write.partitionBy(name).parquet(path)

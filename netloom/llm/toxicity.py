@@ -332,12 +332,15 @@ def score_of(text: Column, model: Model) -> Column:
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, score and predicted (1 from a score of 0.5). Every row is scored, labelled or not."""
+    """Per row: doc_id, held_out, score and predicted (1 from a score of 0.5). Every row is scored, labelled or not.
+
+    A null text counts as empty, and an empty one gets the score of a text without features; an empty table gives no rows.
+    """
     model = fit(documents, labels, doc_id, text)
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), held_out(F.col(f"`{doc_id}`")).alias("held_out"), score_of(F.col(f"`{text}`"), model).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that score below 0.5, with their columns."""
+    """The rows that score below 0.5, with their columns; null and empty texts are judged as :func:`score_toxicity` does."""
     return documents.where(score_of(F.col(f"`{text}`"), fit(documents, labels, doc_id, text)) < 0.5)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.columns import fresh
+from netloom.session import ship_code
 from netloom.storage import Store
 
 #: Compressed bytes after which a task begins another archive.
@@ -208,7 +208,7 @@ def parse_record(record: bytes) -> tuple:
 
 
 def with_first_copies(pages: DataFrame, page_id: str, payload: str, min_bytes: int, store: Store) -> DataFrame:
-    """``pages`` as (page_id, url-free columns kept by the caller) with ``revisit`` and ``refers_to``.
+    """``pages`` with ``revisit``, whether a row's payload is that of a smaller id, and ``refers_to``, that id.
 
     A payload is told by its SHA-256. The smallest id of each repeated payload is found by a partial aggregation; a
     frequent payload takes no task of its own, as its id goes to where the rows are.
@@ -246,6 +246,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     archives without.
     """
     spark = pages.sparkSession
+    ship_code(spark)
     store = Store(spark)
     rows = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = with_first_copies(rows, "id", "payload", min_bytes, store)
@@ -288,6 +289,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     off or no archive is an error. A task holds one archive, and hands on one record at a time. A folder without
     archives gives no rows.
     """
+    ship_code(spark)
     schema = READ_SCHEMA + (", payload binary" if payloads else "")
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     names = [part.split()[0] for part in schema.split(", ")]
