@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.session import ship_code
+from netloom.sources.archives import end_names
 from netloom.storage import Store
 
 #: Compressed bytes after which a task begins another archive.
@@ -268,20 +269,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     held = rows.select(F.col("id").cast("string").alias("id"), "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "revisit", F.col("refers_to").cast("string").alias("refers_to"))
     archives = held.mapInArrow(pack, "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.option("maxRecordsPerFile", 1).option("lineSep", SKIP_NOTHING.decode("latin-1")).text(path)
-    _rename(spark, path)
+    end_names(spark, path, ".warc.zst")
     store.clear()
 
 
-def _rename(spark: SparkSession, path: str) -> None:
-    """Give the files of a folder the ending of archives."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("part-"):
-            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst"))
-
-
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the archives in a folder: where it is, its type, ids, address, payload's size and digest.
 
