@@ -4,8 +4,9 @@ Each labeller looks at one property of a text and votes good, bad or nothing. A
 there are at most three to the power of the labellers, and a few hundred as a rule; the counts of these strings over
 all documents are all that expectation-maximisation needs. It gives each labeller's accuracy, and each string of votes
 the chance that its texts are good. With these as targets, a logistic scorer over hashed features of a bounded sample
-of rows is trained. Texts are read once: their votes and the steps of their properties, a few dozen bytes, are written
-out, and all else works on these.
+of rows is trained: the steps of a text's properties, and its words, which no labeller looks at. Texts are read once:
+their votes, the steps and the buckets of their words, two bytes a different word, are written out, and all else works
+on these.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import operator
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,10 @@ from pyspark.sql.pandas.functions import PandasUDFType
 
 from netloom.storage import Store
 
-#: Rows that the scorer is trained on; buckets of its features.
-SAMPLE, BUCKETS = 8_000, 1 << 16
+#: Rows that the scorer is trained on; buckets of its properties, and of words, the most that a text can have.
+SAMPLE, BUCKETS, WORDS = 8_000, 1 << 16, 1 << 14
+#: What draws the weights of properties and of words towards 0. Words are many, so each of them is held back more.
+PENALTY, WORD_PENALTY = 1e-5, 1e-4
 #: A text is kept from this score.
 KEEP = 0.9
 _RATIO_STEPS = np.array([0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
@@ -125,61 +129,85 @@ def hashed(steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_scorer(rows: np.ndarray, targets: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer for targets from 0 to 1; the bucket for none keeps the weight 0."""
+def word_buckets(words: Iterable[str]) -> bytes:
+    """The buckets of a text's different words, two bytes each, low byte first, ascending."""
+    return np.unique(np.fromiter((crc32(w.encode("utf-8", "replace")) % WORDS for w in words), "<u2")).tobytes()
+
+
+def word_sums(weights: np.ndarray, buckets: list[bytes]) -> np.ndarray:
+    """The weights of each text's word buckets, added up and divided by the root of how many they are; 0 for none."""
+    n = np.array([len(x) // 2 for x in buckets], np.int64)
+    rows = np.repeat(np.arange(len(n)), n)
+    return np.bincount(rows, weights[np.frombuffer(b"".join(buckets), "<u2")], len(n)) / np.sqrt(np.maximum(n, 1))
+
+
+def train_scorer(rows: np.ndarray, targets: np.ndarray, buckets: list[bytes], rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of properties and of words, and the bias, of a logistic scorer for targets from 0 to 1.
+
+    The bucket for none keeps the weight 0. A text's words together weigh as much as one of its properties.
+    """
     r, c = np.repeat(np.arange(len(rows)), rows.shape[1]), rows.ravel()
     r, c = r[c < BUCKETS], c[c < BUCKETS]
-    w, b = np.zeros(BUCKETS + 1), 0.0
-    sums, sum_b = np.full(BUCKETS + 1, 1e-8), 1e-8
+    n = np.array([len(x) // 2 for x in buckets], np.int64)
+    at, word = np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(buckets), "<u2")
+    share = 1 / np.sqrt(np.maximum(n, 1))
+    w, words, b = np.zeros(BUCKETS + 1), np.zeros(WORDS), 0.0
+    sums, sums_words, sum_b = np.full(BUCKETS + 1, 1e-8), np.full(WORDS, 1e-8), 1e-8
     for _ in range(rounds if len(rows) else 0):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], len(rows)) + b, -60, 60)))
-        g = (p - targets) / len(rows)
-        step = np.bincount(c, g[r], BUCKETS + 1) + 1e-5 * w
-        sums, sum_b = sums + step**2, sum_b + g.sum() ** 2
-        w, b = w - 0.1 * step / np.sqrt(sums), b - 0.1 * g.sum() / np.sqrt(sum_b)
-    return w, float(b)
+        total = np.bincount(r, w[c], len(rows)) + np.bincount(at, words[word], len(rows)) * share + b
+        g = (1 / (1 + np.exp(-np.clip(total, -60, 60))) - targets) / len(rows)
+        step = np.bincount(c, g[r], BUCKETS + 1) + PENALTY * w
+        step_words = np.bincount(word, (g * share)[at], WORDS) + WORD_PENALTY * words
+        sums, sums_words, sum_b = sums + step**2, sums_words + step_words**2, sum_b + g.sum() ** 2
+        w, words, b = w - 0.1 * step / np.sqrt(sums), words - 0.1 * step_words / np.sqrt(sums_words), b - 0.1 * g.sum() / np.sqrt(sum_b)
+    return w, words, float(b)
 
 
 def _looked_at(rows: DataFrame) -> DataFrame:
-    """(doc_id, draw, votes, steps) of rows (doc_id, draw, text)."""
+    """(doc_id, draw, votes, steps, words) of rows (doc_id, draw, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cast, steps = [], []
+            cast, steps, buckets = [], [], []
             for text in batch.column(2).to_pylist():
                 words = text.split()
                 counts = Counter(words)
                 p = properties(text, words, counts)
                 cast.append(votes(p))
                 steps.append(steps_of(p, counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cast, pa.string()), pa.array(steps, pa.list_(pa.int8()))], ["doc_id", "draw", "votes", "steps"])
+                buckets.append(word_buckets(counts))
+            columns = pa.array(cast, pa.string()), pa.array(steps, pa.list_(pa.int8())), pa.array(buckets, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "draw", "votes", "steps", "words"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, draw long, votes string, steps array<tinyint>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, draw long, votes string, steps array<tinyint>, words binary")
 
 
 def score_quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, quality (0 to 1) and kept (from ``KEEP``).
 
     No given label is used. Votes are counted over all rows; the scorer learns from ``sample`` different rows at most,
-    in the order of a hash of id and text, whatever their lengths. Null and empty texts are scored like any other, as
+    in the order of a hash of id and text, whatever their lengths; of each it takes all different words, as ``WORDS``
+    buckets at most. Null and empty texts are scored like any other, as
     bad ones. An empty table gives no rows.
     """
     store = Store(df.sparkSession)
-    words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = store.put(_looked_at(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{doc_id}`"), words).alias("draw"), words.alias("text"))))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = store.put(_looked_at(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{doc_id}`"), whole).alias("draw"), whole.alias("text"))))
     counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
     chance, _ = expectation_maximisation(counts)
     # Three times the sample is ample for copies; the hash is spread evenly from -2^63.
     rate = 3 * sample / max(1, sum(counts.values()))
     drawn = rows.where(F.col("draw") < int(-(2**63) + rate * 2**64)) if rate < 1 else rows
-    drawn = drawn.groupBy("draw").agg(F.first("votes").alias("votes"), F.first("steps").alias("steps")).orderBy("draw").limit(sample).collect()
+    drawn = drawn.groupBy("draw").agg(F.first("votes").alias("votes"), F.first("steps").alias("steps"), F.first("words").alias("words")).orderBy("draw").limit(sample).collect()
     targets = np.array([chance[r["votes"]] for r in drawn])
-    weights, bias = train_scorer(hashed(np.array([list(r["steps"]) for r in drawn], np.int64).reshape(-1, PROPERTIES + len(SHAPES))), targets)
+    steps = np.array([list(r["steps"]) for r in drawn], np.int64).reshape(-1, PROPERTIES + len(SHAPES))
+    weights, words_weigh, bias = train_scorer(hashed(steps), targets, [bytes(r["words"]) for r in drawn])
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for steps in batches:
-            total = weights[hashed(np.array(steps.tolist(), np.int64).reshape(-1, PROPERTIES + len(SHAPES)))].sum(1) + bias
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for steps, buckets in batches:
+            own = hashed(np.array(steps.tolist(), np.int64).reshape(-1, PROPERTIES + len(SHAPES)))
+            total = weights[own].sum(1) + word_sums(words_weigh, buckets.tolist()) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
-    scored = rows.select("doc_id", F.pandas_udf(judge, "double", PandasUDFType.SCALAR_ITER)(F.col("steps")).alias("quality"))
+    scored = rows.select("doc_id", F.pandas_udf(judge, "double", PandasUDFType.SCALAR_ITER)("steps", "words").alias("quality"))
     return scored.withColumn("kept", F.col("quality") >= KEEP)
