@@ -30,13 +30,16 @@ def _count(groups: DataFrame, name: str) -> DataFrame:
     return groups.agg(F.count_distinct("cid").cast("double").alias(name))
 
 
-def precision_recall(detected: DataFrame, known: DataFrame, threshold: float = 0.2, pairs: DataFrame | None = None) -> DataFrame:
-    """One row: precision, recall and f_measure. Both rates count detected groups that a known one overlaps enough."""
+def precision_recall(detected: DataFrame, known: DataFrame, threshold: float = 0.2, pairs: DataFrame | None = None, undefined: float = 0.0) -> DataFrame:
+    """One row: precision, recall and f_measure. Both rates count detected groups that a known one overlaps enough.
+
+    ``undefined`` is the f_measure of two rates that are 0.
+    """
     pairs = overlaps(detected, known) if pairs is None else pairs
     hits = pairs.where(overlap_score() >= threshold).agg(F.count_distinct("did").cast("double").alias("tp"))
     row = hits.crossJoin(_count(detected, "nd")).crossJoin(_count(known, "nk"))
     p, r = guarded(F.col("tp"), F.col("nd")), guarded(F.col("tp"), F.col("nk"))
-    return row.select(p.alias("precision"), r.alias("recall")).withColumn("f_measure", guarded(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return row.select(p.alias("precision"), r.alias("recall")).withColumn("f_measure", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))).otherwise(F.lit(undefined)))
 
 
 def coverage_rate(detected: DataFrame, known: DataFrame) -> DataFrame:
@@ -113,10 +116,10 @@ def jaccard_index(detected: DataFrame, known: DataFrame, pairs: DataFrame | None
     return row.select(guarded(F.col("sc"), F.col("nd")).alias("jc"), guarded(F.col("sg"), F.col("nk")).alias("jg")).withColumn("jaccard", guarded(2 * F.col("jc") * F.col("jg"), F.col("jc") + F.col("jg")))
 
 
-def total_score(detected: DataFrame, known: DataFrame, threshold: float = 0.2) -> DataFrame:
+def total_score(detected: DataFrame, known: DataFrame, threshold: float = 0.2, undefined: float = 0.0) -> DataFrame:
     """One row with f_measure, coverage, accuracy, mmr, jaccard and their sum; the overlaps are found once and written."""
     pairs = Store(detected.sparkSession).put(overlaps(detected, known))
-    pr = precision_recall(detected, known, threshold, pairs).select("f_measure", F.sqrt(F.col("precision") * F.col("recall")).alias("accuracy"))
+    pr = precision_recall(detected, known, threshold, pairs, undefined).select("f_measure", F.sqrt(F.col("precision") * F.col("recall")).alias("accuracy"))
     row = pr.crossJoin(coverage_rate(detected, known)).crossJoin(matching_ratio(detected, known, pairs)).crossJoin(jaccard_index(detected, known, pairs).select("jaccard"))
     return row.withColumn("total", F.col("f_measure") + F.col("coverage") + F.col("accuracy") + F.col("mmr") + F.col("jaccard"))
 
