@@ -88,9 +88,12 @@ def key_of(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
 
 
-def neighbors(solutions: DataFrame, neighborhood: Neighborhood) -> DataFrame:
-    """(start_id, pos, repr, neighborhood) of each solution's neighbours, in the order in which they are generated."""
-    return solutions.select("start_id", F.posexplode(neighborhood.generate(F.col("repr"))).alias("pos", "repr")).withColumn("neighborhood", F.lit(neighborhood.name))
+def neighbors(solutions: DataFrame, neighborhood: Neighborhood, *given: str) -> DataFrame:
+    """(start_id, pos, repr, neighborhood) of each solution's neighbours, in the order in which they are generated.
+
+    ``given`` names columns of ``solutions`` that come along.
+    """
+    return solutions.select("start_id", *given, F.posexplode(neighborhood.generate(F.col("repr"))).alias("pos", "repr")).withColumn("neighborhood", F.lit(neighborhood.name))
 
 
 def knapsack(values: Sequence[float] | Column, weights: Sequence[float] | Column, capacity: float) -> Value:
@@ -154,7 +157,8 @@ def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iter
             return ok & rarely_visited(met) if intensification else ok
 
         moves = F.transform((neighborhood.different or neighborhood.generate)(at["repr"]), lambda x: F.struct((-value(x)).alias("cost"), key_of(x).alias("key"), x.alias("next")))
-        return _let(F.array_min(F.filter(moves, allowed)), lambda to: moved(at, i, to))
+        new = _let(F.array_min(F.filter(moves, allowed)), lambda to: moved(at, i, to))
+        return F.when(stop(i - 1, at["best_value"], at["best_iteration"]), at).otherwise(new) if stop else new
 
     def moved(at: Column, i: Column, to: Column) -> Column:
         goes = to.isNotNull()
@@ -170,8 +174,7 @@ def search(starts: DataFrame, neighborhood: Neighborhood, value: Value, max_iter
         if diversification:
             stuck = i - best_at > patience
             here = _let(F.array_min(seen), lambda least: F.when(stuck & least.isNotNull(), least["repr"]).otherwise(here))
-        new = F.struct(here.alias("repr"), F.when(better, to["next"]).otherwise(at["best"]).alias("best"), F.when(better, -to["cost"]).otherwise(at["best_value"]).alias("best_value"), best_at.alias("best_iteration"), tabu.alias("tabu"), seen.alias("seen"))
-        return F.when(stop(i - 1, at["best_value"], at["best_iteration"]), at).otherwise(new) if stop else new
+        return F.struct(here.alias("repr"), F.when(better, to["next"]).otherwise(at["best"]).alias("best"), F.when(better, -to["cost"]).otherwise(at["best_value"]).alias("best_value"), best_at.alias("best_iteration"), tabu.alias("tabu"), seen.alias("seen"))
 
     no_tabu = F.slice(F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("until"))), 1, 0)
     not_seen = F.slice(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("key"), F.col("repr").alias("repr"))), 1, 0)
