@@ -40,7 +40,7 @@ def _networks(spark, d):
     return lines.select(F.concat("l_returnflag", "l_linestatus").alias("network"), F.to_date("l_shipdate").alias("day"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("protein1"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("protein2"))
 
 
-#: Sketches that are exact for the nodes of the tables with SQL, so that both say the same.
+#: Sketches that are exact for a share of the nodes, so that they and SQL say the same however many there are.
 _EXACT = 17
 _NODES = "nodes AS (SELECT DISTINCT l_returnflag || l_linestatus AS network, unnest(['P' || l_partkey, 'S' || l_suppkey]) AS node FROM lineitem)"
 
@@ -48,14 +48,16 @@ _NODES = "nodes AS (SELECT DISTINCT l_returnflag || l_linestatus AS network, unn
 @query(f"WITH {_NODES} SELECT network, count(*) AS nodes FROM nodes GROUP BY 1")
 def sketch_nodes(spark, d):
     """The nodes of each network, from sketches of its days."""
-    days = sketches.node_sketches(_networks(spark, d), "network", "day", lg_k=_EXACT)
-    return sketches.node_counts(sketches.merged(days, "network", lg_k=_EXACT))
+    lines = _networks(spark, d)
+    days = sketches.node_sketches(lines, "network", "day", lg_k=_EXACT, shares=sketches.shares_for(lines, lg_k=_EXACT))
+    return sketches.node_counts(sketches.merged(days, "network", sketches.SHARE, lg_k=_EXACT))
 
 
 @query(f"WITH {_NODES} SELECT a.network, b.network AS other, count(*) FILTER (x.node IS NOT NULL AND y.node IS NOT NULL) AS shared, count(*) AS either FROM (SELECT DISTINCT network FROM nodes) a JOIN (SELECT DISTINCT network FROM nodes) b ON a.network < b.network JOIN (SELECT DISTINCT node FROM nodes) n ON true LEFT JOIN nodes x ON x.network = a.network AND x.node = n.node LEFT JOIN nodes y ON y.network = b.network AND y.node = n.node WHERE x.node IS NOT NULL OR y.node IS NOT NULL GROUP BY 1, 2")
 def sketch_shared(spark, d):
     """The nodes that two networks share, from their sketches."""
-    return sketches.shared_nodes(sketches.node_sketches(_networks(spark, d), "network", lg_k=_EXACT), "network")
+    lines = _networks(spark, d)
+    return sketches.shared_nodes(sketches.node_sketches(lines, "network", lg_k=_EXACT, shares=sketches.shares_for(lines, lg_k=_EXACT)), "network", _EXACT)
 
 
 @query(SQL["ga_generation"])
