@@ -80,6 +80,10 @@ pairs AS (SELECT a.protein AS protein1, b.protein AS protein2, CASE WHEN l_order
 """
 
 
+#: Rows of one XML file at most, as a task reads whole files.
+XML_ROWS = 100_000
+
+
 def _dip(spark, d):
     """A path of interactors and interactions as XML files."""
     key = F.col("s_suppkey")
@@ -92,7 +96,7 @@ def _dip(spark, d):
     facts = ends.select(F.col("l_orderkey").alias("_id"), parts.alias("participantList"), note.alias("confidenceList"))
     folder = _folder(spark)
     for tag, rows in (("interactor", who), ("interaction", facts)):
-        rows.write.format("xml").options(rootTag="entrySet", rowTag=tag).save(f"{folder}/{tag}")
+        rows.write.format("xml").options(rootTag="entrySet", rowTag=tag, maxRecordsPerFile=XML_ROWS).save(f"{folder}/{tag}")
     return f"{folder}/*"
 
 
