@@ -1,4 +1,8 @@
-"""Identifiers translated through mapping tables of (uniprot, db, db_id, line_no)."""
+"""Identifiers translated through mapping tables of (uniprot, db, db_id, line_no).
+
+Mapping tables compress to far less than they are, so their joins say that they are merged; a guess by the size of the
+files would send whole tables through the driver.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +32,7 @@ def map_edges(edges: DataFrame, table: DataFrame, unmapped: str = "drop", canoni
     how = "inner" if unmapped == "drop" else "left"
     for end in (a, b):
         to = table.select(F.col("key").alias("__key"), F.col("to").alias("__to"))
-        edges = edges.join(to, F.col(end) == F.col("__key"), how).withColumn(end, F.coalesce("__to", end)).drop("__key", "__to")
+        edges = edges.join(to.hint("merge"), F.col(end) == F.col("__key"), how).withColumn(end, F.coalesce("__to", end)).drop("__key", "__to")
     if canonicalize:
         edges = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
     return edges
@@ -38,7 +42,7 @@ def cascade(df: DataFrame, column: str, tables: Sequence[tuple[Column, DataFrame
     """``df`` with the first hit of several tables (key, to), each asked with its own expression of ``column``."""
     hits = []
     for i, (ask, table) in enumerate(tables):
-        df = df.withColumn(f"__ask{i}", ask).join(table.select(F.col("key").alias(f"__key{i}"), F.col("to").alias(f"__to{i}")), F.col(f"__ask{i}") == F.col(f"__key{i}"), "left")
+        df = df.withColumn(f"__ask{i}", ask).join(table.select(F.col("key").alias(f"__key{i}"), F.col("to").alias(f"__to{i}")).hint("merge"), F.col(f"__ask{i}") == F.col(f"__key{i}"), "left")
         hits.append(F.col(f"__to{i}"))
     helpers = [f"__{h}{i}" for h in ("ask", "key", "to") for i in range(len(tables))]
     return df.withColumn(name, F.coalesce(*hits)).drop(*helpers)
