@@ -1,6 +1,6 @@
 """Files inside zip archives, read and written by tasks.
 
-Reading is a Spark data source: a partition is an archive and every n-th of its entries, so that a large archive is read
+Reading is a Spark data source: a partition is an archive and a stretch of its entries, so that a large archive is read
 by many tasks. A task looks up the archive's directory, which stands at its end, and reads its own entries alone. Spark
 lists the archives; tasks open them through the filesystems that pyarrow has (local, HDFS, S3, GCS).
 """
@@ -8,7 +8,9 @@ lists the archives; tasks open them through the filesystems that pyarrow has (lo
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -20,10 +22,12 @@ from netloom.session import ship_code
 SCHEMA = "archive string, entry string, content binary"
 #: Compressed bytes of an archive that one more task is worth; bytes of entries that a task hands on together.
 BYTES_PER_TASK, BATCH_BYTES = 32 << 20, 4 << 20
+#: Bytes of an archive that a task reads ahead, and entries of an archive that is written; the plain format counts to 65,535.
+AHEAD, ENTRIES = 1 << 20, 60_000
 
 
 class EntryPartition(InputPartition):
-    """The entries of an archive whose places leave the remainder ``turn`` by ``turns``."""
+    """The stretch ``turn`` of the entries of an archive in ``turns`` stretches."""
 
     def __init__(self, archive: str, turn: int, turns: int) -> None:
         self.archive, self.turn, self.turns = archive, turn, turns
@@ -48,9 +52,9 @@ class EntryReader(DataSourceReader):
 
     def read(self, partition: EntryPartition) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        with open_file(partition.archive) as file, zipfile.ZipFile(file) as z:
+        with open_file(partition.archive) as file, zipfile.ZipFile(io.BufferedReader(file, AHEAD)) as z:
             names = [x for x in z.infolist() if not x.is_dir() and x.filename.endswith(self.suffix)]
-            for entry in names[partition.turn :: partition.turns]:
+            for entry in names[len(names) * partition.turn // partition.turns : len(names) * (partition.turn + 1) // partition.turns]:
                 rows.append((partition.archive, entry.filename, z.read(entry)))
                 size += entry.file_size
                 if size > BATCH_BYTES:
@@ -92,6 +96,17 @@ def zip_entries(spark: SparkSession, path: str, suffix: str = "", bytes_per_task
     return spark.read.format("zip_entries").option("archives", archives).option("suffix", suffix).load()
 
 
+def _entry(name: str, data: bytes, offset: int) -> tuple[bytes, bytes]:
+    """An entry at a place of an archive, compressed where that makes it shorter, and its line in the directory."""
+    deflate = zlib.compressobj(wbits=-15)
+    short = deflate.compress(data) + deflate.flush() if len(data) > 32 else data
+    method, body = (zipfile.ZIP_DEFLATED, short) if len(short) < len(data) else (zipfile.ZIP_STORED, data)
+    called = name.encode()
+    # Version 2.0, names in UTF-8, the first day that the format knows.
+    known = struct.pack("<5H3L2H", 20, 0x800, method, 0, 33, zlib.crc32(data), len(body), len(data), len(called), 0)
+    return b"".join((b"PK\3\4", known, called, body)), b"".join((b"PK\1\2\x14\0", known, struct.pack("<3H2L", 0, 0, 0, 0, offset), called))
+
+
 def write_zips(files: DataFrame, path: str, name: str = "entry", content: str = "content", archive_bytes: int = BYTES_PER_TASK) -> None:
     """Write (name, content) rows into ``*.zip`` archives of the new folder ``path``, as each task has them.
 
@@ -100,24 +115,26 @@ def write_zips(files: DataFrame, path: str, name: str = "entry", content: str =
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, z, size = io.BytesIO(), None, 0
+        held, listed, size = bytearray(), [], 0
 
         def end() -> pa.RecordBatch:
-            z.comment = b"\n"
-            z.close()
-            return pa.RecordBatch.from_arrays([pa.array([held.getvalue()[:-1]], pa.binary())], ["archive"])
+            directory = b"".join(listed)
+            closing = struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, len(listed), len(listed), len(directory), len(held), 1)
+            return pa.RecordBatch.from_arrays([pa.array([b"".join((held, directory, closing))], pa.binary())], ["archive"])
 
         for batch in batches:
             for entry, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                z = z or zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED)
-                z.writestr(zipfile.ZipInfo(entry), data or b"", zipfile.ZIP_DEFLATED)
+                local, central = _entry(entry, data or b"", len(held))
+                held += local
+                listed.append(central)
                 size += len(data or b"")
-                if size >= archive_bytes:
+                if size >= archive_bytes or len(listed) >= ENTRIES:
                     yield end()
-                    held, z, size = io.BytesIO(), None, 0
-        if z:
+                    held, listed, size = bytearray(), [], 0
+        if listed:
             yield end()
 
+    ship_code(files.sparkSession)
     rows = files.selectExpr(f"cast(`{name}` as string)", f"cast(`{content}` as binary)").mapInArrow(pack, "archive binary")
     rows.selectExpr("cast(archive as string) as value").write.option("maxRecordsPerFile", 1).text(path)
     end_names(files.sparkSession, path, ".zip")
