@@ -23,6 +23,18 @@ def _mean(columns: list[Column]) -> Column:
     return F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(present), F.lit(0))
 
 
+def mean_of_any(columns: list[Column]) -> Column:
+    """The mean of the scores that are there; a zero is a score, a NaN or null is none, and without any it is null."""
+    return _mean([F.nanvl(c, F.lit(None)) for c in columns])
+
+
+def mean_of_all(columns: list[Column]) -> Column:
+    """The mean of the scores that are not 0, of which none may be missing; null if one is or all are 0."""
+    total, used = reduce(lambda a, b: a + b, columns), reduce(lambda a, b: a + b, [(c != 0).cast("int") for c in columns])
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in columns])
+    return F.when(whole, total / F.nullif(used, F.lit(0)))
+
+
 def fuse_union(scores: Mapping[str, DataFrame]) -> DataFrame:
     """Every pair of any source with the mean of the scores it has; a zero is a score, a NaN or null is none.
 

@@ -19,8 +19,8 @@ def _sources(spark, d):
     e, p = fx.part_edges(spark, d), table(spark, d, "part")
     k, size, s = F.col("p_partkey"), F.col("p_size"), F.col("u") + F.col("v")
     scores = e.select("u", "v", (600 + s % 400).alias("combined_score"), F.when(s % 7 > 0, F.col("w") * 50).alias("experimental"), (60 + s % 100).alias("coexpression"), F.lit(0).alias("database"), F.lit(None).cast("long").alias("textmining"))
-    named = lambda a, b, i: scores.select(F.concat(F.lit("4932.YP"), a).alias("protein1"), F.concat(F.lit("4932.YP"), b).alias("protein2"), "combined_score", "experimental", "coexpression", "database", "textmining", (F.col("u") * 100_000_000 + F.col("v") * 2 + i).alias("row_id"))
-    links = named("u", "v", 0).union(named("v", "u", 1))
+    both = F.explode(F.array(*[F.struct(F.concat(F.lit("4932.YP"), a).alias("protein1"), F.concat(F.lit("4932.YP"), b).alias("protein2"), (F.col("u") * 100_000_000 + F.col("v") * 2 + i).alias("row_id")) for a, b, i in (("u", "v", 0), ("v", "u", 1))]))
+    links = scores.withColumn("link", both).select("link.protein1", "link.protein2", "combined_score", "experimental", "coexpression", "database", "textmining", "link.row_id")
 
     own = F.concat(F.lit("P"), F.when(size < 3, k - 1).otherwise(k))
     line = lambda rows, accession, db, name, more=0: rows.select(accession.alias("uniprot"), F.lit(db).alias("db"), name.alias("db_id"), (k + more).alias("line_no"))
@@ -74,8 +74,8 @@ def _stats_sql(name: str) -> str:
 @query(with_("pe", _BUILT) + f"SELECT network, proteins, interactions, round(mean_weight, 6) AS mean_weight, round(interactions / (proteins * (proteins - 1) / 2), 9) AS density FROM ({_stats_sql('net')} UNION ALL {_stats_sql('uni')})")
 def network_summary(spark, d):
     """Nodes, edges, mean weight and density of the networks by both ways to fuse."""
-    sources, store = _sources(spark, d), Store(spark)
-    built = {name: store.put(construction.build_network(sources, fused=how)) for name, how in (("net", "intersection"), ("uni", "union"))}
+    scored = Store(spark).put(construction.scored_network(_sources(spark, d)))
+    built = {name: construction.fused_network(scored, how) for name, how in (("net", "intersection"), ("uni", "union"))}
     return rounded(rounded(construction.network_summaries(built), "mean_weight", digits=6), "density")
 
 

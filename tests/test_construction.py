@@ -68,3 +68,21 @@ def test_groups_and_summaries(spark, sources):
 def test_a_source_without_rows_leaves_no_edge_with_all_scores(sources, empty):
     parts = {**sources.__dict__, empty: getattr(sources, empty).limit(0)}
     assert construction.build_network(construction.Sources(**parts)).count() == 0
+
+
+def test_scores_of_an_edge_are_one_row(spark, sources):
+    """No term, place or score of an edge is a row of its own, and both ways to fuse go by the same scores."""
+    scored = construction.scored_network(sources)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and not any("hashpartitioning(protein1" in line for line in plan.splitlines())
+    got = {(r.protein1, r.protein2): [r.FS, r.SL, r.CO, r.HCN] for r in scored.collect()}
+    assert set(got) == {("P1", "P2"), ("P1", "P3"), ("P2", "P3"), ("P3", "P4"), ("P4", "P4")}
+    assert got["P2", "P3"][0] is None and got["P4", "P4"][2] is None and got["P4", "P4"][0] == 1
+    assert len(rows(construction.fused_network(scored))) == 2 and len(rows(construction.fused_network(scored, "union"))) == 5
+
+
+def test_links_by_number_are_links_by_name(spark, sources):
+    edges, nodes = construction.numbered_links(sources.links, sources.mapping, construction.Store(spark))
+    name = {r.id: r.protein for r in nodes.collect()}
+    assert sorted(name.values()) == [name[i] for i in range(len(name))]
+    assert sorted((name[r.u], name[r.v]) for r in edges.collect()) == rows(construction.mapped_links(sources.links, sources.mapping))
